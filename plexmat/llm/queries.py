@@ -5,21 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from plexmat.llm import decontaminate, langid, licenses, minhash, sharding
 from plexmat.llm.tuning import bounded_batches
 from plexmat.session import table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plexmat.llm.minhash import near_duplicates
+    return minhash.near_duplicates(table(bounded_batches(spark), sf_dir, "documents"))
 
-    return near_duplicates(table(bounded_batches(spark), sf_dir, "documents"))
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(bounded_batches(spark), sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op6_decontaminate, op8_license_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.oracle()}
