@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmat.llm import decontaminate, langid, licenses, minhash, packing, sharding, suffixdedup
+from plexmat.llm import decontaminate, htmlextract, langid, licenses, minhash, packing, sharding, suffixdedup
 from plexmat.llm.tuning import bounded_batches
 from plexmat.session import table
 
@@ -39,6 +39,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(bounded_batches(spark), sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op6_decontaminate, op8_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op6_decontaminate, op7_html_extract, op8_license_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
