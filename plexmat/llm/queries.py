@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmat.llm import decontaminate, htmlextract, langid, licenses, minhash, packing, sharding, suffixdedup
+import corpus_pipeline
+from plexmat.llm import ctw, decontaminate, hnsw, htmlextract, langid, licenses, minhash, packing, sharding, suffixdedup
 from plexmat.llm.tuning import bounded_batches
 from plexmat.session import table
 
@@ -34,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digest(table(bounded_batches(spark), sf_dir, "documents"))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,12 +52,20 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(bounded_batches(spark), sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op6_decontaminate, op7_html_extract, op8_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_hnsw, op6_decontaminate, op7_html_extract, op8_license_scan, op9_ctw_scoring, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
