@@ -11,9 +11,10 @@ Plan, all of it on Spark:
    row a task);
 2. 25 bands of 5 compressed registers give bucket keys; a bucket links its members to its smallest member (a star, never
    all pairs); the collision-corrected estimate screens the links and the full sets confirm them;
-3. buckets whose members are still in different components are compared across components only, in blocks of
-   packed registers, first the likeliest partner of each component and then every partner that is left, so
-   that no link between different texts is lost.
+3. buckets whose members are still in different components are compared across components only, every pair in the first
+   band that it shares, so that no link between different texts is lost. Buckets of up to ``SMALL`` members report the
+   screened pairs, which the full sets then confirm; in larger ones the full sets are compared inside blocks of
+   ``BLOCK`` members and only links that join two components leave a block, so a hot group never becomes all its pairs.
 
 A pair at the threshold of 0.85 misses all bands with probability 4e-7, and is screened out by the estimate
 (bound 0.69, five standard deviations) with probability 3e-7.
@@ -46,6 +47,7 @@ SHINGLE = 5
 #: Estimates below the bound are five standard deviations away from 0.85.
 ESTIMATE_MARGIN_SD = 5.0
 BLOCK = 1000
+SMALL = 128
 PROBES = np.random.default_rng(7).integers(0, BUCKETS, (BUCKETS, 96))
 
 
@@ -143,7 +145,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(ROWS):
             key = mix64((key << U(1)) ^ (key >> U(33)) ^ (regs[:, :, i] + U(1)) * U(0xD6E8FEB86659FD93))
         rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(rep)], ["key", "rep"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep)], ["key", "band", "rep"])
 
 
 @F.pandas_udf(DoubleType())
@@ -181,39 +184,106 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _cross_pairs(only_best: bool, bound: float, percent: int):
-    """Pairs across components of one block pair of a bucket, from packed registers."""
+def first_shared_band(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """The first band in which aligned rows of registers agree (they share one at least)."""
+    return (sig_a.reshape(-1, BANDS, ROWS) == sig_b.reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
+
+
+def screened(left: np.ndarray, right: np.ndarray, n_l: np.ndarray, n_r: np.ndarray, band: int, bound: float, percent: int) -> np.ndarray:
+    """Which aligned pairs of one bucket are to be confirmed here."""
+    ok = 100 * np.minimum(n_l, n_r) >= percent * np.maximum(n_l, n_r)
+    at = np.flatnonzero(ok)
+    if len(at):
+        ok[at] &= estimate(left[at], right[at], n_l[at], n_r[at]) >= bound
+        at = np.flatnonzero(ok)
+        if len(at):
+            ok[at] &= first_shared_band(left[at], right[at]) == band
+    return ok
+
+
+def _small_buckets(bound: float, percent: int):
+    """Streams rows sorted by key; pairs across components that pass the screen."""
+
+    def pairs(band: int, reps: list, comps: list, ns: list, sigs: list) -> tuple[np.ndarray, np.ndarray]:
+        rep, comp, n, sig = np.array(reps), np.array(comps), np.array(ns), unpack(sigs)
+        i, j = np.triu_indices(len(rep), 1)
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        ok = screened(sig[i], sig[j], n[i], n[j], band, bound, percent)
+        return np.minimum(rep[i], rep[j])[ok], np.maximum(rep[i], rep[j])[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, band, held = None, 0, ([], [], [], [])
+        for b in batches:
+            out = []
+            columns = [b.column(c).to_pylist() for c in ("key", "band", "rep", "comp", "n", "sig")]
+            for k, at, *row in zip(*columns, strict=True):
+                if k != key:
+                    if len(held[0]) > 1:
+                        out.append(pairs(band, *held))
+                    key, band, held = k, at, ([], [], [], [])
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+        if len(held[0]) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(band, *held)], ["a", "b"])
+
+    return run
+
+
+def _large_bucket(bound: float, percent: int):
+    """Confirmed links that join components within one block pair of a bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
-        left = pdf[pdf.block == i]
-        right = pdf[pdf.block == j]
+        i, j, band = int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0]), int(pdf.band.iloc[0])
+        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
         sig_l, sig_r = unpack(list(left.sig)), unpack(list(right.sig))
         n_l, n_r = left.n.to_numpy(), right.n.to_numpy()
         rep_l, rep_r = left.rep.to_numpy(), right.rep.to_numpy()
-        comp_l, comp_r = left.comp.to_numpy(), right.comp.to_numpy()
-        found = []
-        for k in range(len(left)):
-            ok = (comp_r != comp_l[k]) & (100 * np.minimum(n_r, n_l[k]) >= percent * np.maximum(n_r, n_l[k]))
-            if i == j:
-                ok &= rep_r > rep_l[k]
-            at = np.flatnonzero(ok)
+        parent = {c: c for c in pd.unique(pdf.comp).tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        comp_l, comp_r = left.comp.tolist(), right.comp.tolist()
+        sets_r = [np.frombuffer(x, U) for x in right.shingles]
+        sets_l = [np.frombuffer(x, U) for x in left.shingles]
+        # a member that resembles many comes first: it joins most of the others at once
+        near = [int((estimate(np.broadcast_to(s, sig_r.shape), sig_r, np.full(len(n_r), n), n_r) >= percent / 100).sum()) for s, n in zip(sig_l, n_l, strict=True)]
+        links = []
+        for k in np.argsort(-np.array(near), kind="stable"):
+            own = root(comp_l[k])
+            at = np.array([x for x in range(len(rep_r)) if root(comp_r[x]) != own and (i != j or rep_r[x] != rep_l[k])], np.int64)
             if not len(at):
                 continue
-            est = estimate(np.broadcast_to(sig_l[k], (len(at), USED)), sig_r[at], np.full(len(at), n_l[k]), n_r[at])
-            at, est = at[est >= bound], est[est >= bound]
-            if only_best and len(at):
-                order = np.lexsort((rep_r[at], -est, comp_r[at]))
-                at = at[order]
-                first = np.ones(len(at), bool)
-                first[1:] = comp_r[at][1:] != comp_r[at][:-1]
-                at = at[first]
-            found.append(pd.DataFrame({"a": np.minimum(rep_l[k], rep_r[at]), "b": np.maximum(rep_l[k], rep_r[at])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+            at = at[screened(np.broadcast_to(sig_l[k], (len(at), USED)), sig_r[at], np.full(len(at), n_l[k]), n_r[at], band, bound, percent)]
+            for part in np.array_split(at, max(1, len(at) // 200)):
+                if not len(part):
+                    continue
+                sizes = n_r[part]
+                values = np.concatenate([sets_r[x] for x in part])
+                own_set = sets_l[k]
+                inside = own_set[np.minimum(np.searchsorted(own_set, values), len(own_set) - 1)] == values
+                both = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
+                for x in part[100 * both >= percent * (n_l[k] + sizes - both)]:
+                    if root(comp_r[x]) != root(comp_l[k]):
+                        parent[root(comp_r[x])] = root(comp_l[k])
+                        links.append((min(rep_l[k], rep_r[x]), max(rep_l[k], rep_r[x])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in text_chunks(batches, "text"):
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("rep"), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["rep", "shingles"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_exact) of every row of ``docs``.
 
@@ -230,9 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.count("*").alias("n_exact")),
         "minhash-classes")
     reps = classes.select("rep", "n", "sig")
-    bands = materialize(reps.mapInArrow(_bands, "key long, rep long"), "minhash-bands")
+    bands = materialize(reps.mapInArrow(_bands, "key long, band int, rep long"), "minhash-bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(bands.join(hubs, "key").select("key", "rep", "hub", "size"), "minhash-members")
+    members = materialize(bands.join(hubs, "key").select("key", "band", "rep", "hub", "size"), "minhash-members")
     bound = percent / 100 - ESTIMATE_MARGIN_SD * (percent / 100 * (1 - percent / 100) / USED) ** 0.5
 
     def signed(pairs: DataFrame) -> DataFrame:
@@ -250,24 +320,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = signed(stars).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
     tested = materialize(best, "minhash-tested")
     edges = materialize(confirm(tested, source, percent), "minhash-edges")
-    for only_best in (True, False):
-        labels = connected_components(edges, "a", "b")
-        comp = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-            "key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-        comp = materialize(comp, "minhash-comp")
-        open_keys = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        n_blocks = F.ceil(F.col("size") / BLOCK)
-        dealt = comp.join(open_keys, "key").join(reps, "rep").withColumn(
-            "block", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("n_blocks", n_blocks)
-        # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select(
-            "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "n", "sig")
-        found = dealt.groupBy("key", "bi", "bj").applyInPandas(_cross_pairs(only_best, bound, percent), "a long, b long").distinct()
-        fresh = materialize(found.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
-        if fresh.limit(1).count() == 0:
-            break
-        tested = tested.unionByName(fresh)
-        edges = edges.unionByName(materialize(confirm(fresh, source, percent), "minhash-edges"))
+    labels = connected_components(edges, "a", "b")
+    comp = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    comp = materialize(comp, "minhash-comp")
+    open_keys = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = comp.join(open_keys, "key").join(reps, "rep")
+    small = (
+        apart.where(F.col("size") <= SMALL).select("key", "band", "rep", "comp", "n", "sig")
+        .repartition("key").sortWithinPartitions("key").mapInArrow(_small_buckets(bound, percent), "a long, b long")
+    )
+    fresh = materialize(small.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
+    large = apart.where(F.col("size") > SMALL)
+    needed = large.select("rep").distinct()
+    own_sets = source.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep").dropDuplicates(["rep"]).mapInArrow(
+        _set_blobs, "rep long, shingles binary")
+    n_blocks = F.ceil(F.col("size") / BLOCK)
+    # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
+    dealt = (
+        large.join(own_sets, "rep").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+        .select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "n", "sig", "shingles")
+    )
+    joins = dealt.groupBy("key", "bi", "bj").applyInPandas(_large_bucket(bound, percent), "a long, b long")
+    edges = edges.unionByName(materialize(confirm(fresh, source, percent).unionByName(joins), "minhash-edges"))
     labels = connected_components(edges, "a", "b")
     final = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "d1", "d2", "n_exact", F.coalesce("component", "rep").alias("component_id"))
