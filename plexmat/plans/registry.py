@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmat.plans import basket
+from plexmat.plans import basket, points
 
-PLANS = [basket]
+PLANS = [basket, points]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
