@@ -66,7 +66,8 @@ def _dealt(points: DataFrame, side: str, groups: list[str], blocks: int, other_b
     return (
         points.withColumn(own, F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
-        .select(*groups, "ba", "bb", "cell_id", "vec")
+        # new attributes: two sides of one lineage must not share them in a cogroup
+        .select(*(F.col(c).alias(c) for c in (*groups, "ba", "bb", "cell_id", "vec")))
     )
 
 

@@ -33,7 +33,7 @@ def dense_labels(labels: DataFrame, column: str, by: list[str] = ()) -> DataFram
 
 def gaussian_similarity(a: DataFrame, b: DataFrame, least: int = 5) -> DataFrame:
     """(label, sim): exp(-d^2 / avg^2) of mean nearest distances within and across; labels with few members are skipped."""
-    keep = lambda p: p.join(p.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label"), "label", "left_semi")
+    keep = lambda p: p.withColumn("__n", F.count("*").over(Window.partitionBy("label"))).where(F.col("__n") >= least)
     a, b = keep(a).select("label", "cell_id", "vec"), keep(b).select("label", "cell_id", "vec")
     mean = lambda x, y, same, name: knn(x, y, 1, groups=["label"], exclude_self=same).groupBy("label").agg(F.avg("dist").alias(name))
     j = mean(a, a, True, "aa").join(mean(b, b, True, "bb"), "label").join(mean(a, b, False, "ab"), "label").join(mean(b, a, False, "ba"), "label")

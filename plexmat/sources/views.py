@@ -43,7 +43,7 @@ def embedding_points(spark: SparkSession, sf_dir: str, datasets: int = 2) -> Dat
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """counts by week of the events: slice, user, event type."""
     e = table(spark, sf_dir, "events")
-    week = F.floor((F.unix_seconds("ts")) / (7 * 86400)).cast("int")
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / 7).cast("int")
     return e.groupBy(week.alias("dataset_id"), F.col("user_id").alias("cell_id"), F.col("event_type").alias("gene_id")).agg(
         F.count("*").cast("double").alias("x"))
 
