@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmat.plans import basket, points
+from plexmat.plans import basket, fitted, points
 
-PLANS = [basket, points]
+PLANS = [basket, points, fitted]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
