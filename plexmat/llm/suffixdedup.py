@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ GRAM = 32
 GROUP = 4096
 BITS_PER_HASH = 64
 MAX_SIEVE_BITS = 1 << 29
+PAGE_BITS = 1 << 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = MIN_LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,17 +217,21 @@ def _scan(salted_hashes: set[int]):
     return run
 
 
+def _page(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(PAGE_BITS, np.uint8)
+    bits[pdf["place"].to_numpy()] = 1
+    return pd.DataFrame({"page": pdf["page"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
 def _sieve(repeated: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of the repeated hashes, or-ed together on Spark."""
-    bits = 1 << max(10, (n * BITS_PER_HASH - 1).bit_length())
-    words = (
-        repeated.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("bit"))
-        .groupBy(F.shiftright("bit", 5).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("value"))
-    ).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words.word.to_numpy(dtype=np.int64)] = words.value.to_numpy(dtype=np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+    """A bitmap of the repeated hashes, made page by page on Spark; only its bytes reach the driver."""
+    bits = 1 << max(PAGE_BITS.bit_length() - 1, (n * BITS_PER_HASH - 1).bit_length())
+    bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    pages = repeated.select(F.floor(bit / PAGE_BITS).cast("long").alias("page"), (bit % PAGE_BITS).cast("int").alias("place"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in pages.groupBy("page").applyInPandas(_page, "page long, bits binary").toLocalIterator():
+        out[row.page * PAGE_BITS // 8 : (row.page + 1) * PAGE_BITS // 8] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def repeated_spans(docs: DataFrame, max_sieve_bits: int = MAX_SIEVE_BITS, group: int = GROUP) -> DataFrame:
