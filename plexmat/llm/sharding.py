@@ -6,7 +6,8 @@ residual in bytes is largest enough, so that bytes, tokens and rows fill up toge
 
 At any size the driver places a bounded number of items: groups below ``1 / (SHARE * shards)`` of every total are gathered
 into ``LIGHT_BUCKETS`` items by a hash of their text, and each of the at most ``3 * SHARE * shards`` heavier
-groups is an item or, beyond that share, is dealt into pieces of about that share (a hot text would not fit a shard whole).
+groups is an item of its own. Groups stay whole; only one beyond half a shard's share (a hot text that would not fit) is dealt into
+pieces of the size of a small item.
 Slots are numbered inside items, with the items' offsets added, so that no task sorts a whole shard.
 
 Edge cases: a null text has size 1 and checksum 0, the same as an empty text; rows that repeat a doc_id are placed and numbered
@@ -54,7 +55,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     limit = [max(1.0, float(x or 0) / (SHARE * shards)) for x in total]
     groups = base.groupBy("text_key").agg(*sums)
     weight = F.greatest(*(F.col(c) / F.lit(x) for c, x in zip(("bytes", "tokens", "n"), limit, strict=True)))
-    heavy = groups.withColumn("pieces", F.ceil(weight).cast("long")).where("pieces > 1").select("text_key", "pieces")
+    heavy = groups.withColumn("weight", weight).where("weight > 1").select(
+        "text_key", F.when(F.col("weight") > SHARE / 2, F.ceil("weight")).otherwise(1).cast("long").alias("pieces"))
     # at most 3 * SHARE * shards rows: each takes more than a 1 / (SHARE * shards) share of one of three totals
     tagged = base.join(F.broadcast(heavy), "text_key", "left").withColumn(
         "item", F.when(F.col("pieces").isNull(), F.pmod("text_key", F.lit(LIGHT_BUCKETS)).cast("string"))
