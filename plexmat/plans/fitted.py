@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, metrics, models
+from plexmat.operators import align, assignment, distance, grouped, matrix, metrics, models
+from plexmat.plans import basket
 from plexmat.plans.basket import r
-from plexmat.plans.points import halves, points
+from plexmat.plans.points import D, W, halves, points
 from plexmat.session import materialize
+from plexmat.sources import views
 
 QUERIES, ORACLES = {}, {}
 
@@ -179,3 +181,109 @@ def ts6(spark, sf):
     n = j.groupBy("slice_a", "slice_b", "label_a", "label_b").agg(F.count("*").alias("n"))
     row, col = Window.partitionBy("slice_a", "slice_b", "label_a"), Window.partitionBy("slice_a", "slice_b", "label_b")
     return n.withColumn("kept", (F.col("n") == F.max("n").over(row)) | (F.col("n") == F.max("n").over(col)))
+
+
+@query("clu3_louvain")
+def clu3(spark, sf):
+    return grouped.neighbour_communities(points(spark, sf), 8)
+
+
+@query("clu3_leiden")
+def clu3b(spark, sf):
+    return grouped.neighbour_communities(points(spark, sf), 8, 0.5, connected=True)
+
+
+@query("clu6_mean_shift")
+def clu6d(spark, sf):
+    return grouped.mean_shift(models.joint_pca(points(spark, sf), 3), 0.25, 10)
+
+
+@query("clu7_core_distances", f"{W} SELECT cell_id, round(max(d), 6) AS core FROM (SELECT a.cell_id, {D} AS d, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS r FROM emb a, emb b) WHERE r <= 5 GROUP BY 1")
+def clu7b(spark, sf):
+    return grouped.core_distances(points(spark, sf)).select("cell_id", r("core"))
+
+
+@query("clu8_coclust")
+def clu8(spark, sf):
+    """Joint clustering of the stacked halves, reported per half."""
+    return models.kmeans(points(spark, sf), 6).groupBy("dataset_id", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("clu13_agglomerative")
+def clu13(spark, sf):
+    return grouped.hierarchical(points(spark, sf, 5), 6)
+
+
+@query("clu19_constrained_kmeans")
+def clu19(spark, sf):
+    p = points(spark, sf, 5)
+    must = p.where("cell_id % 30 < 5").select("dataset_id", F.col("cell_id").alias("a"), (F.col("cell_id") + 5).alias("b"))
+    cannot = p.where("cell_id % 60 < 5").select("dataset_id", F.col("cell_id").alias("a"), (F.col("cell_id") + 10).alias("b"))
+    return grouped.constrained_kmeans(p, must, cannot, 5)
+
+
+@query("aln13_leaf_sets")
+def aln13(spark, sf):
+    return grouped.leaves(grouped.merge_tree(points(spark, sf, 5)))
+
+
+@query("mat6_single_linkage_cut", f"WITH RECURSIVE {basket.COSINE[5:]}, e AS (SELECT ds_a AS s, ds_b AS t FROM sim WHERE value >= 0.99 UNION SELECT ds_b, ds_a FROM sim WHERE value >= 0.99), reach AS (SELECT DISTINCT dataset_id AS node, dataset_id AS root FROM scores UNION SELECT e.t, reach.root FROM reach JOIN e ON e.s = reach.node) SELECT node::BIGINT AS dataset_id, min(root)::BIGINT AS cluster FROM reach GROUP BY 1")
+def mat6(spark, sf):
+    return grouped.dataset_groups(metrics.cosine(basket.scores(spark, sf)), 0.99)
+
+
+@query("mat12_ari_by_components")
+def mat12(spark, sf):
+    """Agreement of matched labels over the number of components."""
+    p, out = points(spark, sf), None
+    lab = lambda c: p.select(F.col("cell_id").alias(c), F.col("label").alias(f"label_{c[-1]}"))
+    full = materialize(models.joint_pca(p, 8), "pca")
+    for k in (2, 4, 8):
+        q = full.withColumn("vec", F.slice("vec", 1, k))
+        m = assignment.match(q.where("dataset_id = 0"), q.where("dataset_id = 1")).join(lab("cell_a"), "cell_a").join(lab("cell_b"), "cell_b")
+        row = metrics.adjusted_rand(m, "label_a", "label_b").select(F.lit(k).alias("components"), "ari", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("met14_tree_vs_class")
+def met14(spark, sf):
+    """Agreement of cut trees with the classes, per slice, best over the number of clusters."""
+    p, out = points(spark, sf, 5), None
+    for k in (5, 10, 15):
+        c = grouped.hierarchical(p, k).join(p.select("cell_id", "label"), "cell_id")
+        row = metrics.adjusted_rand(c, "label", "cluster", ["dataset_id"]).withColumn("k", F.lit(k))
+        out = row if out is None else out.unionByName(row)
+    return out.groupBy("dataset_id").agg(F.max_by("k", F.struct("ari", -F.col("k"))).alias("k"), F.max("ari").alias("ari"))
+
+
+@query("noi3_noise_curve")
+def noi3(spark, sf):
+    """Cosine of the noisy to the clean gene totals over the noise level."""
+    c, obs = basket.counts(spark, sf).where("gene_id % 20 = 0"), views.basket_obs(spark, sf)
+    c, out = materialize(c, "noise"), None
+    sums = lambda d: d.groupBy("dataset_id", "gene_id").agg(F.sum("x").alias("s"))
+    clean = sums(c).withColumnRenamed("s", "t")
+    for level in (0, 50, 100):
+        j = sums(matrix.noisy(c, obs, level / 100, 5)).join(clean, ["dataset_id", "gene_id"], "full").na.fill(0.0)
+        row = j.agg(F.lit(level).alias("level"), (F.sum(F.col("s") * F.col("t")) / F.sqrt(F.sum(F.col("s") * F.col("s")) * F.sum(F.col("t") * F.col("t")))).alias("cosine"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("gra1_block_graph")
+def gra1(spark, sf):
+    """Inner neighbours of both halves and their matches across."""
+    p = points(spark, sf)
+    inner = distance.knn(p, p, 3, groups=["dataset_id"], exclude_self=True).select("src", "dst")
+    return inner.unionByName(assignment.match_edges(best_match(spark, sf)))
+
+
+@query("ts1_slice_models")
+def ts1(spark, sf):
+    """Mixture size per slice by the knee of the AIC curve."""
+    p, out = materialize(models.joint_pca(points(spark, sf, 5), 3), "pca"), None
+    for s in (4, 3, 2, 1, 0):
+        row = align.choose_size(models.mixture_curve(p.where(F.col("dataset_id") == s), [2, 3, 4], rounds=10), "uberAIC").withColumn("slice", F.lit(s))
+        out = row if out is None else out.unionByName(row)
+    return out
