@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, distance, grouped, matrix, metrics, models
+from plexmat.operators import align, assignment, distance, grouped, lineage, matrix, metrics, models
 from plexmat.plans import basket
 from plexmat.plans.basket import r
 from plexmat.plans.points import D, W, halves, points
@@ -287,3 +287,72 @@ def ts1(spark, sf):
         row = align.choose_size(models.mixture_curve(p.where(F.col("dataset_id") == s), [2, 3, 4], rounds=10), "uberAIC").withColumn("slice", F.lit(s))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("ts7_continuing_labels")
+def ts7(spark, sf):
+    p = points(spark, sf, 5)
+    return lineage.continuing_labels(p, materialize(lineage.slice_canvas(p), "canvas"))
+
+
+@query("ts9_differentiation")
+def ts9(spark, sf):
+    return lineage.differentiation(points(spark, sf, 5))[1]
+
+
+@query("ts10_slice_canvases")
+def ts10(spark, sf):
+    return lineage.slice_canvas(points(spark, sf, 5))
+
+
+@query("aln9_split_and_merge")
+def aln9(spark, sf):
+    a, b, _ = lineage.split_and_merge(*(h.select("cell_id", "label", "vec") for h in halves(spark, sf)))
+    return a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+
+
+@query("aln11_alignment_report")
+def aln11(spark, sf):
+    return lineage.split_and_merge(*(h.select("cell_id", "label", "vec") for h in halves(spark, sf)))[2]
+
+
+@query("met2_ranked_rand")
+def met2(spark, sf):
+    from plexmat.operators import clustering
+
+    a, b = halves(spark, sf)
+    c = lambda h: materialize(clustering.centres(h, ["label"]), "centres")
+    return lineage.ranked_rand(labelled(spark, sf), "label_a", "label_b", c(a), c(b))
+
+
+@query("met7_misplaced_matches")
+def met7(spark, sf):
+    """Matches outside the label pairing, over all matches, with the agreement."""
+    l = labelled(spark, sf)
+    a, b = halves(spark, sf)
+    pairs = materialize(assignment.match_labels(align.canvas(l.select("cell_a", "cell_b", "dist"), a, b)), "pairs").select("label_a", "label_b", F.lit(True).alias("paired"))
+    j = l.join(F.broadcast(pairs), ["label_a", "label_b"], "left").agg(F.count_if(F.col("paired").isNull()).alias("misplaced"), F.count("*").alias("n_matches"))
+    return j.join(metrics.adjusted_rand(l, "label_a", "label_b").select(r("ari")))
+
+
+@query("met12_single_vs_joint")
+def met12(spark, sf):
+    """Best F1 per true label of clustering one half alone and both together."""
+    p = points(spark, sf)
+    one, joint = models.kmeans(p.where("dataset_id = 0"), 10), models.kmeans(p, 10).where("dataset_id = 0")
+    f1 = lambda c, name: metrics.best_f1(c.join(p.select("cell_id", "label"), "cell_id"), "label", "cluster").select("label", F.col("f1").alias(name))
+    return f1(one, "alone").join(f1(joint, "together"), "label")
+
+
+@query("sim5_cluster_similarity")
+def sim5(spark, sf):
+    """Ranked Rand index of a mixture on the matched halves."""
+    from plexmat.operators import clustering
+
+    p = materialize(models.joint_pca(points(spark, sf), 5), "pca")
+    c = materialize(models.kmeans(p, 6).join(p, ["dataset_id", "cell_id"]), "clusters")
+    m = assignment.match(p.where("dataset_id = 0"), p.where("dataset_id = 1"))
+    side = lambda d, x: c.where(f"dataset_id = {d}").select(F.col("cell_id").alias(f"cell_{x}"), F.col("cluster").alias(f"label_{x}"))
+    l = materialize(m.join(side(0, "a"), "cell_a").join(side(1, "b"), "cell_b"), "labelled")
+    cen = lambda d: materialize(clustering.centres(c.where(f"dataset_id = {d}").withColumnRenamed("cluster", "label"), ["label"]), "centres")
+    return lineage.ranked_rand(l, "label_a", "label_b", cen(0), cen(1))
