@@ -155,3 +155,31 @@ def reproducibility(scores: DataFrame, n: int, step: float = 0.5) -> DataFrame:
     a = t.withColumnRenamed("dataset_id", "ds_a").join(F.broadcast(datasets)).where("ds_a <> ds_b")
     return a.join(b, ["ds_b", "gene_id"], "left").groupBy("ds_a", "ds_b", "bin").agg(
         F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("share"), F.count("*").alias("n"))
+
+
+def hvg_variance_stabilised(counts: DataFrame, n_cells: DataFrame) -> DataFrame:
+    """(dataset_id, gene_id, score): variance of clipped standardised counts, raw counts in.
+
+    The expected variance is a quadratic of log10 variance on log10 mean per dataset (one regression over all genes, from sums on Spark);
+    standardised values are clipped at the square root of the number of cells, zeros included.
+    """
+    s = counts.groupBy("dataset_id", "gene_id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("nnz"))
+    m = s.join(F.broadcast(n_cells), "dataset_id").withColumn("mean", F.col("s") / F.col("n_cells")).withColumn(
+        "var", (F.col("q") - F.col("s") * F.col("mean")) / (F.col("n_cells") - 1)).where("mean > 0 AND var > 0")
+    m = m.withColumn("u", F.log10("mean")).withColumn("v", F.log10("var"))
+    powers = [F.sum(F.pow("u", F.lit(i))).alias(f"u{i}") for i in range(5)] + [F.sum(F.pow("u", F.lit(i)) * F.col("v")).alias(f"v{i}") for i in range(3)]
+    sums = m.groupBy("dataset_id").agg(*powers)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        a = np.array([[r[f"u{i + j}"] for j in range(3)] for i in range(3)], float)
+        c = np.linalg.lstsq(a, np.array([r[f"v{i}"] for i in range(3)], float), rcond=None)[0]
+        return pd.DataFrame([{"dataset_id": r.dataset_id, "c0": c[0], "c1": c[1], "c2": c[2]}])
+
+    key = counts.schema["dataset_id"].dataType.simpleString()
+    fit = sums.groupBy("dataset_id").applyInPandas(solve, f"dataset_id {key}, c0 double, c1 double, c2 double")
+    e = m.join(F.broadcast(fit), "dataset_id").withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("c0") + F.col("c1") * F.col("u") + F.col("c2") * F.col("u") * F.col("u"))))
+    z = F.least((F.col("x") - F.col("mean")) / F.col("sd"), F.sqrt("n_cells"))
+    own = counts.join(e.select("dataset_id", "gene_id", "mean", "sd", "n_cells"), ["dataset_id", "gene_id"]).groupBy("dataset_id", "gene_id").agg(F.sum(z * z).alias("zz"))
+    zero = F.pow(F.col("mean") / F.col("sd"), 2) * (F.col("n_cells") - F.col("nnz"))
+    return e.join(own, ["dataset_id", "gene_id"]).select("dataset_id", "gene_id", ((F.col("zz") + zero) / (F.col("n_cells") - 1)).alias("score"))

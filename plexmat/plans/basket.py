@@ -256,6 +256,12 @@ def sel6_cell_ranger(spark, sf):
     return selection.hvg_cell_ranger(preprocess.normlog(k), preprocess.cell_numbers(k)).select("dataset_id", "gene_id", "bin", r("score", 5))
 
 
+@query("sel6_variance_stabilised")
+def sel6_v3(spark, sf):
+    k = kept(spark, sf)
+    return selection.top_genes(selection.hvg_variance_stabilised(k, preprocess.cell_numbers(k)), TOP)
+
+
 @query("sel7_thresholds", f"{FILTERED} SELECT dataset_id, gene_id FROM scores WHERE x > 0.0125 AND x < 3 AND score > 5")
 def sel7(spark, sf):
     return selection.between(scores(spark, sf), 0.0125, 3.0, 5.0).select("dataset_id", "gene_id")

@@ -188,3 +188,73 @@ def test_stage_table_round_trip(spark, tmp_path):
     df = spark.range(10)
     readers.write_stage(df, str(tmp_path / "stage"))
     assert spark.read.parquet(str(tmp_path / "stage")).count() == 10
+
+
+def labelled_slices(spark, shift=0):
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in range(3):
+        for i in range(24):
+            c = i % 3
+            rows.append((s, s * 100 + i, (c + shift * s) % 3, [10.0 * c + rng.normal() * 0.1, float(rng.normal() * 0.1)]))
+    return spark.createDataFrame(rows, "dataset_id int, cell_id long, label int, vec array<double>")
+
+
+def test_continuing_clusters_keep_their_names(spark):
+    from plexmat.operators import lineage
+
+    labels, links = lineage.differentiation(labelled_slices(spark, shift=1))
+    by_group = {}
+    for r in labels.collect():
+        by_group.setdefault(r.cell_id % 100 % 3, set()).add(r.label)
+    assert all(len(x) == 1 for x in by_group.values()) and len({min(x) for x in by_group.values()}) == 3
+    assert {(r.parent, r.child) for r in links.collect()} == {(i, i) for i in range(3)}
+
+
+def test_split_and_merge_makes_labels_correspond(spark):
+    from plexmat.operators import lineage
+
+    p = labelled_slices(spark)
+    a = p.where("dataset_id = 0").withColumn("label", F.when(F.col("label") == 2, 1).otherwise(F.col("label")))
+    one, two, _ = lineage.split_and_merge(a.select("cell_id", "label", "vec"), p.where("dataset_id = 1").select("cell_id", "label", "vec"))
+    x, y = ({r.cell_id % 100: r.label for r in d.collect()} for d in (one, two))
+    assert len(set(x.values())) == 3 and x == y
+
+
+def test_ranked_rand_of_equal_labels_is_one(spark):
+    from plexmat.operators import lineage
+
+    p = labelled_slices(spark).where("dataset_id = 0")
+    c = clustering.centres(p, ["label"])
+    same = p.select(F.col("label").alias("a"), F.col("label").alias("b"))
+    assert math.isclose(lineage.ranked_rand(same, "a", "b", c, c).first().rari, 1.0)
+    other = p.select(F.col("label").alias("a"), (F.col("cell_id") % 2).cast("int").alias("b"))
+    assert lineage.ranked_rand(other, "a", "b", c, c.where("label < 2")).first().rari < 0.5
+
+
+def test_trees(spark):
+    from plexmat.operators import grouped
+
+    p = labelled_slices(spark)
+    got = {r.cell_id: r.cluster for r in grouped.hierarchical(p, 3).collect()}
+    assert all(got[s * 100 + i] == got[s * 100 + i % 3] for s in range(3) for i in range(24))
+    leaves = grouped.leaves(grouped.merge_tree(p)).groupBy("dataset_id", "node").count().collect()
+    assert max(r["count"] for r in leaves) == 24 and len(leaves) == 3 * 23
+
+
+def test_constrained_kmeans_respects_its_links(spark):
+    from plexmat.operators import grouped
+
+    p = labelled_slices(spark).where("dataset_id = 0")
+    must = spark.createDataFrame([(0, 0, 1)], "dataset_id int, a long, b long")
+    cannot = spark.createDataFrame([(0, 3, 6)], "dataset_id int, a long, b long")
+    got = {r.cell_id: r.cluster for r in grouped.constrained_kmeans(p, must, cannot, 3).collect()}
+    assert got[0] == got[1] and got[3] != got[6]
+
+
+def test_communities_of_two_cliques(spark):
+    from plexmat.operators import grouped
+
+    edges = [(a + s, b + s, 1.0) for s in (0, 10) for a in range(5) for b in range(a)] + [(0, 10, 0.1)]
+    got = {r.node: r.community for r in grouped.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"), levels=2).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i + 10] for i in range(5)}) == 1 and got[0] != got[10]
