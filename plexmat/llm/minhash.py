@@ -359,3 +359,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = near_duplicates(docs, id_col, text_col, percent)
     gone = links.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
+def oracle() -> str:
+    """The same result from exact set joins in DuckDB SQL, for small tables."""
+    return r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c, a.n AS na, b.n AS nb FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1),
+same AS (SELECT node, count(*) AS k FROM (SELECT x AS node FROM l WHERE c = na AND c = nb UNION ALL SELECT y FROM l WHERE c = na AND c = nb) GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept, 1 + coalesce(same.k, 0) AS n_exact
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id LEFT JOIN same ON same.node = d.doc_id"""

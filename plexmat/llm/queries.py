@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.oracle()}
+    return {"op1_minhash_dedup": minhash.oracle(), "op8_license_scan": licenses.oracle()}
