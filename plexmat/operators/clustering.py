@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plexmat.functions.expressions import md5_number
 from plexmat.operators.components import connected_components
 from plexmat.operators.distance import distance, knn, within
 
 
 def random_labels(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """A baseline: a stable random cluster from md5 of seed and id."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    h = md5_number(seed, "cell_id")
     return points.withColumn("cluster", (h % k).cast("int"))
 
 

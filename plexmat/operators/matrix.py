@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plexmat.functions.expressions import md5_uniform
+
 
 def pair_jobs(datasets: DataFrame, repeats: int) -> DataFrame:
     """(ds_a, ds_b, rep): the upper triangle with its diagonal times the repeats."""
@@ -68,7 +70,7 @@ def noisy(counts: DataFrame, obs: DataFrame, p: float, seed: int = 0) -> DataFra
     Draws are md5 hashes of seed, dataset, cell and gene: the first decides whether, the second names the donor cell. A pair of a cell and a gene that
     nobody expresses stays zero, so only expressed genes are gridded.
     """
-    u = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), "dataset_id", "cell_id", "gene_id")), 1, 8), 16, 10).cast("double") / 2**32
+    u = lambda salt: md5_uniform(f"{seed}{salt}", "dataset_id", "cell_id", "gene_id")
     cells = obs.select("dataset_id", "cell_id", (F.row_number().over(Window.partitionBy("dataset_id").orderBy("cell_id")) - 1).alias("at"))
     n = cells.groupBy("dataset_id").agg(F.count("*").alias("n"))
     genes = counts.select("dataset_id", "gene_id").distinct()

@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plexmat.functions.expressions import choose2
 from plexmat.operators.distance import knn
 
 
-def choose2(c: Column) -> Column:
-    return c * (c - 1) / 2.0
-
-
 def adjusted_rand(labels: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
     """(by..., ari, n) of two label columns; 1 where both are one cluster or all singletons."""
     by = list(by)
