@@ -38,7 +38,7 @@ GENERATIONS = 4
 WELL_FILLED = 0.97
 ACCEPT = 0.995
 LEVELS = 4
-CACHE_WORDS = 400_000
+CACHE_RUNS, CACHE_WORDS = 700_000, 200_000
 END_ID = 0
 #: Pre-tokens of the public vocabulary, and the characters for which the cache is exact (no case or normal-form surprises).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -46,33 +46,51 @@ PLAIN = r"[\t\n\r\x20-\x7e\xa1-ɏ]*"
 
 
 class WordTokenizer:
-    """Little-endian uint32 ids of whole texts; ``<|`` and characters beyond Latin take the tokenizer itself."""
+    """Little-endian uint32 ids of whole texts; ``<|`` and characters beyond Latin take the tokenizer itself.
+
+    No pre-token reaches over white space, so ids are looked up by run of other characters, then by pre-token.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.find = regex.compile(PRETOKEN).findall
         self.plain = regex.compile(PLAIN).fullmatch
-        self.cache: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: other bytes follow from 256
+        other = [b for b in range(256) if b not in set(printable)]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, w: str) -> bytes:
+        """The ids of one pre-token, straight from the merges."""
+        found = self.words.get(w)
+        if found is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            spelled = w if w.isascii() else "".join(self.letters[b] for b in w.encode())
+            found = self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return found
+
     def ids(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
             return self.whole(text)
-        found = self.find(text.lower())
-        cache = self.cache
-        missing = [w for w in set(found) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
+        runs, cache = text.lower().split(), self.runs
+        try:
+            return b"".join([cache[r] for r in runs])
+        except KeyError:
+            if len(cache) >= CACHE_RUNS:
                 cache.clear()
-                missing = list(set(found))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in found])
+            for r in runs:
+                if r not in cache:
+                    cache[r] = b"".join([self.word(w) for w in self.find(r)])
+            return b"".join([cache[r] for r in runs])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
