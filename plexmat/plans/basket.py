@@ -497,14 +497,20 @@ def mat13(spark, sf):
     return matrix.order_by_similarity(full_sim(spark, sf)).select("dataset_id", r("value"), "place")
 
 
-@query("noi1_noise", f"""{W}, small AS (SELECT * FROM basket WHERE gene_id % 50 = 0), c AS (SELECT dataset_id, cell_id, row_number() OVER (PARTITION BY dataset_id ORDER BY cell_id) - 1 AS pos FROM obs), n AS (SELECT dataset_id, count(*) AS n FROM c GROUP BY 1),
+def brand_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities by region, customer and brand."""
+    brand = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"), "p_brand")
+    return materialize(counts(spark, sf).join(brand, "gene_id").groupBy("dataset_id", "cell_id", F.col("p_brand").alias("gene_id")).agg(F.sum("x").alias("x")), "brands")
+
+
+@query("noi1_noise", f"""{W}, small AS (SELECT dataset_id, cell_id, p_brand AS gene_id, sum(x) AS x FROM basket JOIN part ON gene_id = p_partkey GROUP BY ALL), c AS (SELECT dataset_id, cell_id, row_number() OVER (PARTITION BY dataset_id ORDER BY cell_id) - 1 AS pos FROM obs), n AS (SELECT dataset_id, count(*) AS n FROM c GROUP BY 1),
 u AS (SELECT g.dataset_id, g.gene_id, cell_id, pos, n, ('0x' || substr(md5('3a:' || g.dataset_id || ':' || cell_id || ':' || gene_id), 1, 8))::BIGINT / 4294967296.0 AS ua,
  ('0x' || substr(md5('3b:' || g.dataset_id || ':' || cell_id || ':' || gene_id), 1, 8))::BIGINT / 4294967296.0 AS ub FROM (SELECT DISTINCT dataset_id, gene_id FROM small) g JOIN c USING (dataset_id) JOIN n USING (dataset_id)),
 d AS (SELECT dataset_id, gene_id, cell_id, CASE WHEN ua < 0.3 THEN floor(ub * n)::BIGINT ELSE pos END AS donor FROM u)
 SELECT d.dataset_id, d.cell_id, d.gene_id, s.x FROM d JOIN c ON c.dataset_id = d.dataset_id AND c.pos = d.donor JOIN small s ON s.dataset_id = d.dataset_id AND s.cell_id = c.cell_id AND s.gene_id = d.gene_id""")
 def noi1(spark, sf):
-    """Noise on the panel of parts whose key is divisible by 50."""
-    return matrix.noisy(counts(spark, sf).where("gene_id % 50 = 0"), views.basket_obs(spark, sf), 0.3, 3)
+    """Noise on the matrix of brands."""
+    return matrix.noisy(brand_counts(spark, sf), views.basket_obs(spark, sf), 0.3, 3)
 
 
 @query("pre1_venn", f"{FILTERED}, s AS (SELECT gene_id, string_agg(dataset_id::VARCHAR, '+' ORDER BY dataset_id) AS members FROM ranked WHERE place <= {TOP} GROUP BY 1) SELECT members, count(*) AS n FROM s GROUP BY 1")

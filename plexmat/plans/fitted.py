@@ -260,8 +260,7 @@ def met14(spark, sf):
 @query("noi3_noise_curve")
 def noi3(spark, sf):
     """Cosine of the noisy to the clean gene totals over the noise level."""
-    c, obs = basket.counts(spark, sf).where("gene_id % 20 = 0"), views.basket_obs(spark, sf)
-    c, out = materialize(c, "noise"), None
+    c, obs, out = basket.brand_counts(spark, sf), views.basket_obs(spark, sf), None
     sums = lambda d: d.groupBy("dataset_id", "gene_id").agg(F.sum("x").alias("s"))
     clean = sums(c).withColumnRenamed("s", "t")
     for level in (0, 50, 100):

@@ -54,10 +54,10 @@ CANBERRA = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: CASE WHEN
 def _pairwise(metric: str, sql: str):
     name = {"euclidean": "l2"}.get(metric, metric)
 
-    @query(f"joi1_pairwise_{name}", f"{W} SELECT a.cell_id AS src, b.cell_id AS dst, round({sql}, 6) AS dist FROM emb a JOIN emb b ON a.dataset_id = 0 AND b.dataset_id = 1 AND a.cell_id < 200")
+    @query(f"joi1_pairwise_{name}", f"{W} SELECT a.cell_id AS src, b.cell_id AS dst, round({sql}, 6) AS dist FROM emb a JOIN emb b ON a.dataset_id = 0 AND b.dataset_id = 1")
     def run(spark, sf):
         a, b = halves(spark, sf)
-        return distance.pairwise(a.where("cell_id < 200"), b, metric).withColumn("dist", F.round("dist", 6))
+        return distance.pairwise(a, b, metric).withColumn("dist", F.round("dist", 6))
 
 
 for _m, _s in (("euclidean", D), ("sqeuclidean", SQ), ("l1", L1), ("canberra", CANBERRA)):
@@ -103,10 +103,10 @@ def knn1(spark, sf):
     return slice_edges(spark, sf).withColumn("dist", F.round("dist", 6))
 
 
-@query("knn3_far_penalty", f"{W} SELECT a.cell_id AS src, b.cell_id AS dst, round({D} * CASE WHEN abs(a.label - b.label) > 0 THEN 2.0 ** (abs(a.label - b.label) - 1) ELSE 1 END, 6) AS dist FROM emb a JOIN emb b ON a.cell_id < 60 AND b.cell_id < 60 AND a.cell_id < b.cell_id")
+@query("knn3_far_penalty", f"{W} SELECT a.cell_id AS src, b.cell_id AS dst, round({D} * CASE WHEN abs(a.label - b.label) > 0 THEN 2.0 ** (abs(a.label - b.label) - 1) ELSE 1 END, 6) AS dist FROM emb a JOIN emb b ON a.cell_id < b.cell_id")
 def knn3(spark, sf):
     """The label plays the slice, so that gaps larger than one occur."""
-    p = points(spark, sf).where("cell_id < 60")
+    p = points(spark, sf)
     d = distance.pairwise(p, p).where("src < dst")
     lab = lambda c: p.select(F.col("cell_id").alias(c), F.col("label").alias(f"{c}_slice"))
     return neighbours.far_penalty(d.join(lab("src"), "src").join(lab("dst"), "dst")).select("src", "dst", r("dist"))
@@ -150,12 +150,12 @@ def clu4(spark, sf):
     return clustering.random_labels(points(spark, sf), 7, 5).select("cell_id", "cluster")
 
 
-@query("clu7_dbscan", f"""WITH RECURSIVE {views.EMB_SQL.format(k=2)}, near AS (SELECT a.cell_id AS s, b.cell_id AS t FROM emb a JOIN emb b ON a.cell_id < 400 AND b.cell_id < 400 AND {D} <= 1.05),
+@query("clu7_dbscan", f"""WITH RECURSIVE {views.EMB_SQL.format(k=2)}, near AS (SELECT a.cell_id AS s, b.cell_id AS t FROM emb a JOIN emb b ON {D} <= 1.05),
 core AS (SELECT s FROM near GROUP BY 1 HAVING count(*) >= 4), link AS (SELECT n.s, n.t FROM near n JOIN core a ON n.s = a.s JOIN core b ON n.t = b.s),
 reach AS (SELECT s AS node, s AS root FROM core UNION SELECT l.t, r.root FROM reach r JOIN link l ON l.s = r.node), comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1),
-border AS (SELECT n.s, min(c) AS c FROM near n JOIN comp ON n.t = comp.node GROUP BY 1) SELECT cell_id, coalesce(comp.c, border.c, -1) AS cluster FROM emb LEFT JOIN comp ON node = cell_id LEFT JOIN border ON border.s = cell_id WHERE cell_id < 400""")
+border AS (SELECT n.s, min(c) AS c FROM near n JOIN comp ON n.t = comp.node GROUP BY 1) SELECT cell_id, coalesce(comp.c, border.c, -1) AS cluster FROM emb LEFT JOIN comp ON node = cell_id LEFT JOIN border ON border.s = cell_id""")
 def clu7(spark, sf):
-    return clustering.dbscan(points(spark, sf).where("cell_id < 400"), 1.05, 4)
+    return clustering.dbscan(points(spark, sf), 1.05, 4)
 
 
 CURVE = "curve AS (SELECT label AS x, avg(list_sum(vec)) + 3.0 / (label + 1) AS y FROM emb GROUP BY label)"
@@ -213,12 +213,13 @@ def clu19b(spark, sf):
     return clustering.tolerance(points(spark, sf)).select(r("tolerance", 10))
 
 
-@query("clu20_mustlink_closure", """WITH RECURSIVE l AS (SELECT vec_id AS a, vec_id + 10 AS b FROM embeddings WHERE vec_id < 100 AND vec_id % 3 <> 0), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+@query("clu20_mustlink_closure", f"""WITH RECURSIVE {views.EMB_SQL.format(k=2)}, l AS (SELECT a, b FROM (SELECT cell_id AS a, lead(cell_id) OVER (PARTITION BY label ORDER BY cell_id) AS b FROM emb) WHERE b - a <= 8), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT t.b, r.root FROM reach r JOIN both_ways t ON t.a = r.node) SELECT node, min(root) AS "group" FROM reach GROUP BY 1""")
 def clu20(spark, sf):
-    e = points(spark, sf).where("cell_id < 100 AND cell_id % 3 <> 0")
-    must = e.select(F.col("cell_id").alias("a"), (F.col("cell_id") + 10).alias("b"))
-    return clustering.must_link_closure(must, must.select(F.col("a"), (F.col("a") + 1000).alias("b")))[0]
+    """Must-links join points of one label whose ids follow closely."""
+    following = F.lead("cell_id").over(Window.partitionBy("label").orderBy("cell_id"))
+    must = points(spark, sf).select(F.col("cell_id").alias("a"), following.alias("b")).where("b - a <= 8")
+    return clustering.must_link_closure(must, must.select("a", (-1 - F.col("b")).alias("b")))[0]
 
 
 @query("clu21_nearest_centres", f"""{W}, long AS (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM emb), cv AS (SELECT label, list(v ORDER BY dim) AS vec FROM (SELECT label, dim, avg(v) AS v FROM long GROUP BY 1, 2) GROUP BY 1)
@@ -304,13 +305,13 @@ def ts8(spark, sf):
     return align.compact(points(spark, sf, 5).where("label NOT IN (2, 5)")).select("cell_id", "label", "compact")
 
 
-LINEAGE = "lin AS (SELECT DISTINCT a.dataset_id AS slice, a.label AS parent, b.label AS child FROM emb a JOIN emb b ON b.dataset_id = a.dataset_id + 1 AND b.cell_id = a.cell_id + 1 WHERE a.cell_id % 7 = 0)"
+LINEAGE = "lin AS (SELECT DISTINCT a.dataset_id AS slice, a.label AS parent, b.label AS child FROM emb a JOIN emb b ON b.dataset_id = a.dataset_id + 1 AND b.cell_id = a.cell_id + 1)"
 
 
 @query("ts11_trace", f"WITH RECURSIVE {views.EMB_SQL.format(k=5)}, {LINEAGE}, t AS (SELECT 0 AS slice, 0 AS label UNION SELECT t.slice + 1, child FROM t JOIN lin ON lin.slice = t.slice AND parent = t.label) SELECT slice, label FROM t")
 def ts11(spark, sf):
     p = points(spark, sf, 5)
-    a = p.where("cell_id % 7 = 0").select(F.col("dataset_id").alias("slice"), F.col("label").alias("parent"), (F.col("cell_id") + 1).alias("next"))
+    a = p.select(F.col("dataset_id").alias("slice"), F.col("label").alias("parent"), (F.col("cell_id") + 1).alias("next"))
     b = p.select(F.col("dataset_id").alias("later"), F.col("cell_id").alias("next"), F.col("label").alias("child"))
     return align.trace(materialize(a.join(b, "next").where("later = slice + 1").select("slice", "parent", "child").distinct(), "lineage"), 0)
 
@@ -337,31 +338,31 @@ def ts12(spark, sf):
     return align.order_score(affinity(spark, sf))
 
 
-HOPS = f"""WITH RECURSIVE {views.EMB_SQL.format(k=2)}, e0 AS (SELECT cell_id AS s, cell_id + 3 AS t FROM emb WHERE cell_id < 57 UNION SELECT cell_id, cell_id + 11 FROM emb WHERE cell_id < 49 AND label < 5), e AS (SELECT s, t FROM e0 UNION SELECT t, s FROM e0),
-w AS (SELECT DISTINCT s AS src, s AS dst, 0 AS hops FROM e UNION SELECT w.src, e.t, w.hops + 1 FROM w JOIN e ON e.s = w.dst WHERE w.hops < 24), h AS (SELECT src, dst, min(hops) AS hops FROM w GROUP BY 1, 2)"""
+HOPS = f"""WITH RECURSIVE {views.EMB_SQL.format(k=2)}, e0 AS (SELECT src AS s, dst AS t FROM (SELECT a.cell_id AS src, b.cell_id AS dst, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS rank FROM emb a JOIN emb b ON a.cell_id <> b.cell_id) WHERE rank <= 3),
+e AS (SELECT s, t FROM e0 UNION SELECT t, s FROM e0), w AS (SELECT DISTINCT s AS src, s AS dst, 0 AS hops FROM e UNION SELECT w.src, e.t, w.hops + 1 FROM w JOIN e ON e.s = w.dst WHERE w.hops < 16), h AS (SELECT src, dst, min(hops) AS hops FROM w GROUP BY 1, 2)"""
 
 
-def chain_edges(spark, sf):
+def graph_edges(spark, sf):
+    """The three nearest neighbours of every point."""
     p = points(spark, sf)
-    a = p.where("cell_id < 57").select(F.col("cell_id").alias("src"), (F.col("cell_id") + 3).alias("dst"))
-    return a.unionByName(p.where("cell_id < 49 AND label < 5").select(F.col("cell_id").alias("src"), (F.col("cell_id") + 11).alias("dst")))
+    return materialize(distance.knn(p, p, 3, exclude_self=True).select("src", "dst"), "graph")
 
 
 @query("gra2_hops", f"{HOPS} SELECT src, dst, hops::INT AS hops FROM h")
 def gra2(spark, sf):
-    return graph.hop_distances(chain_edges(spark, sf))
+    return graph.hop_distances(graph_edges(spark, sf))
 
 
 @query("gra3_hop_similarity", f"{HOPS}, s AS (SELECT src, dst, (max(hops) OVER () - hops) / (max(hops) OVER () - min(hops) OVER ()) AS s FROM h), m AS (SELECT median(s) AS m FROM (SELECT DISTINCT s FROM s)) SELECT src, dst, round(CASE WHEN s < m THEN 0 ELSE s * s END, 6) AS sim FROM s, m")
 def gra3(spark, sf):
-    return graph.hop_similarity(graph.hop_distances(chain_edges(spark, sf))).withColumn("sim", F.round("sim", 6))
+    return graph.hop_similarity(graph.hop_distances(graph_edges(spark, sf))).withColumn("sim", F.round("sim", 6))
 
 
 @query("gra4_label_spreading")
 def gra4(spark, sf):
-    sim = materialize(graph.hop_similarity(graph.hop_distances(chain_edges(spark, sf))), "hop-sim")
-    seeds = points(spark, sf).where("cell_id < 12").select(F.col("cell_id").alias("node"), "label")
-    return graph.spread_labels(sim, seeds)
+    sim = materialize(graph.hop_similarity(graph.hop_distances(graph_edges(spark, sf))), "hop-sim")
+    seeds = halves(spark, sf)[0].select(F.col("cell_id").alias("node"), "label")
+    return graph.spread_labels(sim, seeds, rounds=10)
 
 
 @query("gra6_1nn_transfer", f"""{W}, k AS (SELECT a.cell_id, a.label AS truth, b.label AS label, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS rank FROM emb a JOIN emb b ON a.dataset_id = 1 AND b.dataset_id = 0)
