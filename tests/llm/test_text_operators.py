@@ -216,8 +216,8 @@ def test_base_scores_and_known_words(spark):
     c = Counter(w for i, t in tokens if not held(i) for w in t)
     n, v = sum(c.values()), len(c)
     want = {i: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for i, t in tokens}
-    for limit in (10_000, 0):
-        got = {r.doc_id: r for r in ctw.score(df, max_words=limit).collect()}
+    for limit in (10_000, 20, 0):
+        got = {r.doc_id: r for r in ctw.score(df, frequent_words=limit).collect()}
         for i, (a, b, total, base) in want.items():
             assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (a, b, total, held(i))
             assert math.isclose(got[i].base_score, base, abs_tol=1e-6)
