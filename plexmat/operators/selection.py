@@ -91,7 +91,7 @@ def top_genes(scores: DataFrame, n: int, ties: bool = False) -> DataFrame:
     return scores.withColumn("place", rank).where(F.col("place") <= n)
 
 
-def natto_like_scores(counts: DataFrame, min_genes: int = 200, min_counts: float = 3, normalise_first: bool = False) -> DataFrame:
+def annotated_scores(counts: DataFrame, min_genes: int = 200, min_counts: float = 3, normalise_first: bool = False) -> DataFrame:
     """Filter, normalise and score; ``normalise_first`` normalises over all genes before genes are dropped."""
     kept = basic_filter(counts, min_genes, min_counts)
     logged = normlog(counts).join(kept.select("dataset_id", "cell_id", "gene_id"), ["dataset_id", "cell_id", "gene_id"], "left_semi") if normalise_first else normlog(kept)

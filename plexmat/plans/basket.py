@@ -282,7 +282,7 @@ def sel9(spark, sf):
 m AS (SELECT dataset_id, gene_id, sum(v) / any_value(n) AS mean, sum(v * v) / any_value(n) AS q2 FROM alln SEMI JOIN kept USING (dataset_id, cell_id, gene_id) JOIN ncells USING (dataset_id) GROUP BY 1, 2)
 SELECT dataset_id, gene_id, round(ln((q2 - mean * mean) / mean), 6) AS y FROM m WHERE mean > 0 AND q2 - mean * mean > 1e-12 * q2 AND ln(1 + mean) > 0.015 AND ln(1 + mean) < 4""")
 def sel10(spark, sf):
-    return selection.natto_like_scores(counts(spark, sf), MIN_GENES, MIN_COUNTS, normalise_first=True).select("dataset_id", "gene_id", r("y"))
+    return selection.annotated_scores(counts(spark, sf), MIN_GENES, MIN_COUNTS, normalise_first=True).select("dataset_id", "gene_id", r("y"))
 
 
 @query("sel11_merge", f"""{FILTERED}, u AS (SELECT k.* FROM kept k SEMI JOIN (SELECT DISTINCT gene_id FROM ranked WHERE place <= {TOP}) g USING (gene_id)),
