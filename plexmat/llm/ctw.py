@@ -8,9 +8,10 @@ context seen. The code length in bits divided by the bytes is the usual code len
 
 Learning runs on Spark: byte n-grams and words are counted per task, then summed by key. The weighted trees below each pair of last
 bytes are independent, so one group per pair computes its part; the root and the first level follow from
-at most 65,536 pairs of summaries. Contexts that hardly any weight reaches, or seen once, stand as their parent's mixture. A model of up to ``MAX_NODES`` nodes is broadcast to the tasks that score (beyond it, the contexts with
-the fewest observations are folded into their parents, the statistics still cover all data). The counts of the at most ``FREQUENT_WORDS`` most
-frequent words are broadcast; all other tokens are joined with the rest of the counts, so no word is left out and no key is hot.
+at most 65,536 pairs of summaries. The group of a pair also has the n-grams of the held-out texts (with no count), and writes the code length of every
+n-gram of the table under the whole trees: no context is left out, and no model is collected. The code lengths of the at most ``FREQUENT_GRAMS``
+most frequent n-grams and the counts of the at most ``FREQUENT_WORDS`` most frequent words are broadcast; all others are joined with the written tables, so nothing is left out
+and no key is hot.
 
 Edge cases: a null or empty text has only the end token and end mark; without training rows every count is 0 and the byte model is
 uniform over bits; a null doc_id is held out; repeated rows count each time; other columns are not read; an empty table gives an empty result.
@@ -32,9 +33,7 @@ from plexmat.session import materialize
 
 DEPTH = 5
 END = 0xFF
-MAX_NODES = 6_000_000
-#: A context is kept if the weight that reaches it exceeds this, and if it was seen so often.
-NEGLIGIBLE, MIN_COUNT = 0.01, 2
+FREQUENT_GRAMS = 2_000_000
 FREQUENT_WORDS = 800_000
 CACHE_BITS = 22
 END_WORD = np.int64(-0x123456789ABCDEF)
@@ -114,6 +113,21 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(1, np.array([END_WORD], np.int64).view(U), np.array([ends]))
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, seen) of the n-grams of texts that are not learned."""
+    grams = _Sums()
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "key", "seen"])
+
+    for _, data, offsets in text_chunks(batches, "text", 1_000_000):
+        for k, c in grams.add(byte_grams(data, offsets)[0]):
+            yield out(k, c)
+    if grams.parts:
+        yield out(*grams.total())
+
+
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 _SMALL = _LGAMMA(np.arange(4096) + 0.5), _LGAMMA(np.arange(8192) + 1.0)
 
@@ -195,17 +209,36 @@ def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": top.key.view(np.int64), "n0": top.n0, "n1": top.n1, "weighted": top.weighted})
 
 
-def _solve(above: tuple[np.ndarray, np.ndarray, np.ndarray]):
+Table = tuple[np.ndarray, np.ndarray]
+NO_NODES: Table = np.zeros(0, U), np.zeros(0)
+
+
+def _solved(pdf: pd.DataFrame, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[Table]:
+    """(key, chance) of the nodes of one pair at depths 2 to DEPTH."""
+    tables, parents = [], above
+    for level in reversed(_levels(pdf)):
+        key, mixed, left, chance = mixed_down(level, parents)
+        parents = (key, mixed, left)
+        tables.append((key, chance))
+    return tables
+
+
+def _nodes(above: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(
+            [pd.DataFrame({"depth": np.int32(depth), "key": key.view(np.int64), "chance": chance}) for depth, (key, chance) in enumerate(_solved(pdf, above), 2)])
+
+    return run
+
+
+def _lengths(top: list[Table], above: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """Code lengths of one pair's n-grams (key, n learned, seen)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, parents = [], above
-        for depth, level in zip(range(2, DEPTH + 1), reversed(_levels(pdf)), strict=True):
-            key, mixed, left, chance = mixed_down(level, parents)
-            n = (level.n0 + level.n1).astype(np.int64)
-            reach = parents[2][np.searchsorted(parents[0], ((key >> U(16)) << U(8)) | (key & U(255)))]
-            keep = (reach > NEGLIGIBLE) & (n >= MIN_COUNT)  # the rest adds next to nothing: its parent's mixture stands for it
-            parents = (key, mixed, left)
-            found.append(pd.DataFrame({"depth": np.int32(depth), "key": key.view(np.int64)[keep], "chance": chance.astype(np.float32)[keep], "n": n[keep]}))
-        return pd.concat(found)
+        learned = pdf[pdf.n > 0]
+        below = _solved(learned, above) if len(learned) else [NO_NODES] * (DEPTH - 1)
+        bits = ContextModel([*top, *below]).bits_of(pdf.key.to_numpy(dtype=np.int64).view(U))
+        return pd.DataFrame({"key": pdf.key, "bits": bits, "seen": pdf.seen})
 
     return run
 
@@ -213,12 +246,8 @@ def _solve(above: tuple[np.ndarray, np.ndarray, np.ndarray]):
 class ContextModel:
     """Chance of a 1 at (context, binary node) for every depth, and code lengths of grams."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, tables: list[Table]):
         self.tables = tables
-        self.cache: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __getstate__(self) -> dict:
-        return {"tables": self.tables, "cache": None}
 
     def bits_of(self, grams: np.ndarray) -> np.ndarray:
         """Code length in bits of distinct grams."""
@@ -241,14 +270,31 @@ class ContextModel:
             bits -= np.log2(np.where(up, chance, 1 - chance))
         return bits
 
+
+class GramTable:
+    """Code lengths of the frequent grams (sorted keys)."""
+
+    def __init__(self, key: np.ndarray, bits: np.ndarray):
+        self.key, self.bits = key, bits
+        self.cache: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"key": self.key, "bits": self.bits, "cache": None}
+
+    def bits_of(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(grams), np.nan)
+        at = np.minimum(np.searchsorted(self.key, grams), len(self.key) - 1)
+        return np.where(self.key[at] == grams, self.bits[at], np.nan)
+
     def code_lengths(self, grams: np.ndarray) -> np.ndarray:
-        """Code length in bits of each gram, through a cache of the grams met before."""
+        """Code length in bits of each gram, NaN of one that isn't frequent, through a cache of the grams met before."""
         if self.cache is None:
-            self.cache = np.zeros(1 << CACHE_BITS, U), np.zeros(1 << CACHE_BITS, np.float32)
+            self.cache = np.zeros(1 << CACHE_BITS, U), np.zeros(1 << CACHE_BITS)
         keys, values = self.cache
         places = self.places(grams)
         hits = [keys[p] == grams + U(1) for p in places]
-        out = np.where(hits[0], values[places[0]], values[places[1]]).astype(float)
+        out = np.where(hits[0], values[places[0]], values[places[1]])
         missing = np.flatnonzero(~(hits[0] | hits[1]))
         if len(missing):
             fresh, back = np.unique(grams[missing], return_inverse=True)
@@ -272,13 +318,15 @@ def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: t.column(c).to_numpy() for c in t.column_names}
 
 
-def fit(counted: DataFrame, max_nodes: int = MAX_NODES) -> ContextModel:
-    """Solve the weighted context trees of counted grams (key, n)."""
-    grams = counted.withColumn("pair", F.shiftrightunsigned("key", 8 * (DEPTH - 1)))
-    summary = _arrays(grams.groupBy("pair").applyInPandas(_summary, "key long, n0 double, n1 double, weighted double"))
-    tables: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.float32))] * (DEPTH + 1)
+def _by_pair(counted: DataFrame):
+    return counted.withColumn("pair", F.shiftrightunsigned("key", 8 * (DEPTH - 1))).groupBy("pair")
+
+
+def _top(counted: DataFrame) -> tuple[list[Table], tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """(key, chance) of the nodes at depths 0 and 1 of counted grams (key, n), and what the deeper ones need of them."""
+    summary = _arrays(_by_pair(counted).applyInPandas(_summary, "key long, n0 double, n1 double, weighted double"))
     if not len(summary["key"]):
-        return ContextModel(tables)
+        return [NO_NODES, NO_NODES], None
     order = np.argsort(summary["key"].view(U))
     second = Level.__new__(Level)
     second.key = summary["key"].view(U)[order]
@@ -286,26 +334,28 @@ def fit(counted: DataFrame, max_nodes: int = MAX_NODES) -> ContextModel:
     first = second.parent()
     root = first.parent()
     key, mixed, left, chance = mixed_down(root, None)
-    tables[0] = (key, chance.astype(np.float32))
+    tables = [(key, chance)]
     key, mixed, left, chance = mixed_down(first, (key, mixed, left))
-    tables[1] = (key, chance.astype(np.float32))
-    nodes = materialize(grams.groupBy("pair").applyInPandas(_solve((key, mixed, left)), "depth int, key long, chance float, n long"), "ctw-nodes")
-    if nodes.count() > max_nodes:
-        sizes = nodes.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).toPandas()
-        fits = sizes[sizes["count"].cumsum() <= max_nodes]
-        least = 2 ** int(fits["size"].min()) if len(fits) else 1 << 62
-        nodes = nodes.where(F.col("n") >= least)
+    return [*tables, (key, chance)], (key, mixed, left)
+
+
+def fit(counted: DataFrame) -> ContextModel:
+    """The whole model of counted grams (key, n) in one place, for small tables; ``score`` never collects it."""
+    tables, above = _top(counted)
+    if above is None:
+        return ContextModel([*tables, *[NO_NODES] * (DEPTH - 1)])
+    nodes = _arrays(_by_pair(counted).applyInPandas(_nodes(above), "depth int, key long, chance double"))
     for depth in range(2, DEPTH + 1):
-        t = _arrays(nodes.where(F.col("depth") == depth).select("key", "chance"))
-        order = np.argsort(t["key"].view(U))
-        tables[depth] = (t["key"].view(U)[order], t["chance"][order])
+        key, chance = (nodes[c][nodes["depth"] == depth] for c in ("key", "chance"))
+        order = np.argsort(key.view(U))
+        tables.append((key.view(U)[order], chance[order]))
     return ContextModel(tables)
 
 
-def _frequent(vocabulary: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` words reach."""
-    steps = vocabulary.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-    fits = steps[steps.words.cumsum() <= most]
+def _frequent(counted: DataFrame, most: int, count: str = "n") -> int:
+    """The smallest count that at most ``most`` keys reach."""
+    steps = counted.groupBy(F.least(F.col(count), F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("keys")).toPandas().sort_values("n", ascending=False)
+    fits = steps[steps["keys"].cumsum() <= most]
     return int(fits.n.min()) if len(fits) else 1 << 62
 
 
@@ -314,7 +364,7 @@ def held_out(doc_id, folds: int):
 
 
 def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text",
-          max_nodes: int = MAX_NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+          frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_coded, bits_per_byte) of every row.
 
     base_score is the smoothed unigram log10 probability of the tokens, score the model's log10 probability of the text.
@@ -322,9 +372,17 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "held_out", held_out(F.col("doc_id"), folds))
+    learned = rows.where("NOT held_out").select("text").mapInArrow(_learn, "kind int, key long, n long").withColumn("seen", F.col("n"))
+    others = rows.where("held_out").select("text").mapInArrow(_grams, "kind int, key long, seen long").withColumn("n", F.lit(0).cast("long"))
     counted = materialize(
-        rows.where("NOT held_out").select("text").mapInArrow(_learn, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
-    model = fit(counted.where("kind = 0").select("key", "n"), max_nodes)
+        learned.unionByName(others).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "ctw-counts")
+    grams = counted.where("kind = 0").select("key", "n", "seen")
+    lengths = materialize(
+        _by_pair(grams).applyInPandas(_lengths(*_top(grams.where("n > 0").select("key", "n"))), "key long, bits double, seen long"), "ctw-lengths")
+    least_seen = _frequent(lengths, frequent_grams, "seen")
+    frequent = _arrays(lengths.where(F.col("seen") >= least_seen).select("key", "bits"))
+    order = np.argsort(frequent["key"].view(U))
+    model = GramTable(frequent["key"].view(U)[order], frequent["bits"][order])
     vocabulary = counted.where("kind = 1").select("key", "n")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = total + SMOOTH * (distinct + 1)
@@ -336,9 +394,11 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, counts = shared.value
         for b, data, offsets in text_chunks(batches, "text", 500_000):
-            grams, _ = byte_grams(data, offsets)
-            begin = np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])[:-1]
-            bits = np.add.reduceat(own.code_lengths(grams), begin) if len(grams) else np.zeros(b.num_rows)
+            grams, owner = byte_grams(data, offsets)
+            lengths = own.code_lengths(grams)
+            bits = np.bincount(owner, np.nan_to_num(lengths), b.num_rows)
+            far = np.flatnonzero(np.isnan(lengths))  # to be looked up among the other grams
+            far_ends = np.concatenate([[0], np.cumsum(np.bincount(owner[far], minlength=b.num_rows))]).astype(np.int32)
             low = LOWER[data]
             starts, stops, at = words(low, offsets)
             hashes = np.concatenate([span_hashes(low, starts, stops), np.full(b.num_rows, END_WORD, np.int64).view(U)])
@@ -353,15 +413,20 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
             ends = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=b.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(np.bincount(of, minlength=b.num_rows)), pa.array(np.diff(offsets) + 1), pa.array(bits),
-                 pa.array(np.bincount(of, c > 0, b.num_rows).astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[rare].view(np.int64)))],
-                ["doc_id", "held_out", "n_tokens", "n_coded", "bits", "known", "base", "rare"])
+                 pa.array(np.bincount(of, c > 0, b.num_rows).astype(np.int64)), pa.array(base), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[rare].view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(far_ends), pa.array(grams[far].view(np.int64)))],
+                ["doc_id", "held_out", "n_tokens", "n_coded", "bits", "known", "base", "rare", "far"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_coded long, bits double, known long, base double, rare array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_coded long, bits double, known long, base double, rare array<long>, far array<long>"
     scored = materialize(rows.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "ctw-scored")
     # a rare word has fewer than ``least`` occurrences in training, so no key of this join is hot but words never learned
     rare = scored.select("uid", F.explode("rare").alias("key")).join(vocabulary.where(F.col("n") < least), "key", "left").groupBy("uid").agg(
         F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + SMOOTH) / F.lit(scale))).alias("rest"))
-    return scored.drop("rare").join(rare, "uid", "left").select(
+    # every gram has its code length, and one that isn't frequent occurs fewer than ``least_seen`` times in the whole table
+    far = scored.select("uid", F.explode("far").alias("key")).join(lengths.where(F.col("seen") < least_seen).select("key", F.col("bits").alias("length")), "key").groupBy(
+        "uid").agg(F.sum("length").alias("far_bits"))
+    bits = F.col("bits") + F.coalesce("far_bits", F.lit(0.0))
+    return scored.drop("rare", "far").join(rare, "uid", "left").join(far, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (-F.col("bits") * math.log10(2)).alias("score"), "n_coded",
-        (F.col("bits") / F.col("n_coded")).alias("bits_per_byte"))
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (-bits * math.log10(2)).alias("score"), "n_coded",
+        (bits / F.col("n_coded")).alias("bits_per_byte"))

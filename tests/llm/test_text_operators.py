@@ -264,6 +264,57 @@ def test_byte_model_is_a_distribution(spark):
         assert math.isclose((2.0 ** -model.bits_of(grams)).sum(), 1, rel_tol=1e-5)
 
 
+def test_scores_use_the_whole_tree(spark):
+    """Contexts seen once count, however few grams are broadcast."""
+    rng = np.random.default_rng(9)
+    docs = [(i, bytes(rng.choice(list(b"abcde "), 40).tolist()).decode() if i else "") for i in range(40)]
+    counts = defaultdict(lambda: [0, 0])
+
+    def steps(text):
+        coded = bytes([255] * ctw.DEPTH) + text.encode() + b"\xff"
+        for i in range(ctw.DEPTH, len(coded)):
+            node = 1
+            for bit in range(8):
+                up = coded[i] >> (7 - bit) & 1
+                yield coded[i - ctw.DEPTH : i][::-1], node, up
+                node = node * 2 + up
+
+    for i, text in docs:
+        if zlib.crc32(str(i).encode()) % 10:
+            for context, node, up in steps(text):
+                for depth in range(ctw.DEPTH + 1):
+                    counts[context[:depth], node][up] += 1
+    below = defaultdict(list)
+    for context, node in list(counts):
+        below[context[:-1], node].append(context) if context else None
+    logs = {}
+    for context, node in sorted(counts, key=lambda x: -len(x[0])):
+        a, b = counts[context, node]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+        whole = own if len(context) == ctw.DEPTH else np.logaddexp(own, sum(logs[c, node][1] for c in below[context, node])) - math.log(2)
+        logs[context, node] = own, whole
+
+    def chance(context, node):
+        mixed, left, estimate = 0.0, 1.0, 0.5
+        for depth in range(ctw.DEPTH + 1):
+            at = context[:depth], node
+            if at not in logs:
+                break
+            a, b = counts[at]
+            estimate = (b + 0.5) / (a + b + 1)
+            stop = 1.0 if depth == ctw.DEPTH else math.exp(logs[at][0] - math.log(2) - logs[at][1])
+            mixed, left, held = mixed + left * stop * estimate, left * (1 - stop), mixed + left * estimate
+        else:
+            return mixed
+        return held if (b"", node) in logs else 0.5
+
+    want = {i: sum(math.log10(p if up else 1 - p) for c, v, up in steps(t) for p in [chance(c, v)]) for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({}, {"frequent_grams": 0}, {"frequent_grams": 50}):
+        got = {r.doc_id: r.score for r in ctw.score(df, **options).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_scores_beat_the_base_on_held_out_text(spark, sf):
     larger = sf.replace("sf0.001", "sf0.01")
     s = ctw.score(spark.read.parquet(f"{larger}/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
