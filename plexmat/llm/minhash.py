@@ -9,15 +9,15 @@ Plan, all of it on Spark:
 
 1. exact copies of a set collapse into a class by a 128-bit digest (partial aggregation, so a hot text costs one
    row a task);
-2. 25 bands of 5 compressed registers give bucket keys; a bucket links its members to its smallest member (a star, never
+2. bands of compressed registers (25 of 5 at 0.85, 31 of 4 at 0.80) give bucket keys; a bucket links its members to its smallest member (a star, never
    all pairs); the collision-corrected estimate screens the links and the full sets confirm them;
 3. buckets whose members are still in different components are compared across components only, every pair in the first
    band that it shares, so that no link between different texts is lost. Buckets of up to ``SMALL`` members report the
    screened pairs, which the full sets then confirm; in larger ones the full sets are compared inside blocks of
    ``BLOCK`` members and only links that join two components leave a block, so a hot group never becomes all its pairs.
 
-A pair at the threshold of 0.85 misses all bands with probability 4e-7, and is screened out by the estimate
-(bound 0.69, five standard deviations) with probability 3e-7.
+A pair at the threshold of 0.85 misses all bands with probability 4e-7 (0.80: 8e-8), and is screened out by the estimate
+(bound 0.69, five standard deviations; 0.80: 0.62) with probability 3e-7.
 
 Edge cases: a null or empty text, or one without words, has an empty set: n_shingles 0 and linked with nothing.
 Rows that repeat a doc_id are one node. A row without doc_id is returned unlinked, with a null component
@@ -40,17 +40,30 @@ from plexmat.operators.components import connected_components
 from plexmat.session import materialize
 
 BUCKETS = 128
-BANDS, ROWS = 25, 5
-USED = BANDS * ROWS
+USED = 125
+#: A pair at the threshold may miss all bands with this probability.
+MISS = 1e-6
 MANTISSA_BITS = 10
 SHINGLE = 5
-#: Estimates below the bound are five standard deviations away from 0.85.
+#: Estimates below the bound are five standard deviations away from the threshold.
 ESTIMATE_MARGIN_SD = 5.0
 BLOCK = 1000
 SMALL = 128
 PROBES = np.random.default_rng(7).integers(0, BUCKETS, (BUCKETS, 96))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, registers a band): the longest bands by which a pair at the threshold is missed with probability ``MISS`` at most."""
+    rows = next((r for r in range(USED, 1, -1) if (1 - (percent / 100) ** r) ** (USED // r) <= MISS), 1)
+    return USED // rows, rows
+
+
+def banded(sig: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of registers as (row, band, register)."""
+    bands, rows = banding(percent)
+    return sig[:, : bands * rows].reshape(-1, bands, rows)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     n = len(offsets) - 1
@@ -136,17 +149,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n", "d1", "d2", "sig"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        regs = unpack(b.column("sig").to_pylist()).reshape(-1, BANDS, ROWS).astype(U)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), regs.shape[:2]).copy()
-        for i in range(ROWS):
-            key = mix64((key << U(1)) ^ (key >> U(33)) ^ (regs[:, :, i] + U(1)) * U(0xD6E8FEB86659FD93))
-        rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep)], ["key", "band", "rep"])
+def _bands(percent: int):
+    bands, rows = banding(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            regs = banded(unpack(b.column("sig").to_pylist()), percent).astype(U)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), regs.shape[:2]).copy()
+            for i in range(rows):
+                key = mix64((key << U(1)) ^ (key >> U(33)) ^ (regs[:, :, i] + U(1)) * U(0xD6E8FEB86659FD93))
+            rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), bands)
+            band = np.tile(np.arange(bands, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep)], ["key", "band", "rep"])
+
+    return run
 
 
 @F.pandas_udf(DoubleType())
@@ -184,9 +202,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def first_shared_band(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+def first_shared_band(sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
     """The first band in which aligned rows of registers agree (they share one at least)."""
-    return (sig_a.reshape(-1, BANDS, ROWS) == sig_b.reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
+    return (banded(sig_a, percent) == banded(sig_b, percent)).all(axis=2).argmax(axis=1)
 
 
 def screened(left: np.ndarray, right: np.ndarray, n_l: np.ndarray, n_r: np.ndarray, band: int, bound: float, percent: int) -> np.ndarray:
@@ -197,7 +215,7 @@ def screened(left: np.ndarray, right: np.ndarray, n_l: np.ndarray, n_r: np.ndarr
         ok[at] &= estimate(left[at], right[at], n_l[at], n_r[at]) >= bound
         at = np.flatnonzero(ok)
         if len(at):
-            ok[at] &= first_shared_band(left[at], right[at]) == band
+            ok[at] &= first_shared_band(left[at], right[at], percent) == band
     return ok
 
 
@@ -300,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.count("*").alias("n_exact")),
         "minhash-classes")
     reps = classes.select("rep", "n", "sig")
-    bands = materialize(reps.mapInArrow(_bands, "key long, band int, rep long"), "minhash-bands")
+    bands = materialize(reps.mapInArrow(_bands(percent), "key long, band int, rep long"), "minhash-bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(bands.join(hubs, "key").select("key", "band", "rep", "hub", "size"), "minhash-members")
     bound = percent / 100 - ESTIMATE_MARGIN_SD * (percent / 100 * (1 - percent / 100) / USED) ** 0.5
