@@ -10,7 +10,8 @@ Leaves with a marginal above one half are the main text: character references de
 one space, trimmed, and joined by an empty line in page order.
 
 Edge cases: a null or empty page, or one without text, gives '' and 0; broken markup is read as far as it goes (open ``<p>`` and
-``<li>`` end at the next block, unknown end tags are skipped, an unclosed script or comment runs to the end); repeated rows
+``<li>`` end at the next block, unknown end tags are skipped, an unclosed script, style or comment runs to the end, of any other raw element
+without an end only the tag is skipped); repeated rows
 and null ids are returned as they are; other columns are not read; an empty table gives an empty result.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +30,18 @@ from pyspark.sql import functions as F
 
 #: Raw elements whose content is never text of the page, and elements without content.
 RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|title|object|canvas|audio|video"
+#: Raw elements that may end in their own tag, those that may stand in themselves, and those that run to the end of the page if nothing ends them.
+SELF_CLOSED, NESTED, ENDLESS = frozenset(["svg", "math"]), frozenset(["svg", "math", "template", "object"]), frozenset(["script", "style"])
 VOID = frozenset("br hr img input meta link wbr area base col embed source track param".split())
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption nav header footer aside "
     "form fieldset figure figcaption blockquote pre address details summary hgroup menu center dialog head button label".split())
 CLOSES_P = BLOCK - {"button", "label", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html", "head"}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(" + RAW + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(" + RAW + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.S | re.I)
+RAW_TAG = {n: re.compile(r"</" + n + r"\s*>|<" + n + r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>", re.I) for n in RAW.split("|")}
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-content|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -81,6 +86,37 @@ class Node:
         self.parts: list[tuple[str, bool]] = []
 
 
+class RawEnds:
+    """Where the raw elements of a page end; each kind of tag is looked for once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.paired: dict[str, dict[int, int]] = {}
+        self.ends: dict[str, list[tuple[int, int]]] = {}
+
+    def after(self, m: re.Match) -> int:
+        """The end of the element whose start tag this is."""
+        name = m[1].lower()
+        if name in SELF_CLOSED and m[0].endswith("/>"):
+            return m.end()
+        if name in NESTED:
+            if name not in self.paired:
+                self.paired[name], begun = {}, []
+                for tag in RAW_TAG[name].finditer(self.page):
+                    if tag[0][1] != "/":
+                        if name not in SELF_CLOSED or not tag[0].endswith("/>"):
+                            begun.append(tag.start())
+                    elif begun:
+                        self.paired[name][begun.pop()] = tag.end()
+            return self.paired[name].get(m.start(), m.end())
+        if name not in self.ends:
+            self.ends[name] = [tag.span() for tag in re.finditer(rf"</{name}\s*>", self.page, re.I)]
+        k = bisect_left(self.ends[name], (m.end(), 0))
+        if k < len(self.ends[name]):
+            return self.ends[name][k][1]
+        return len(self.page) if name in ENDLESS else m.end()
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; text runs are leaves with the tag ''."""
     nodes = [Node("", -1, 0)]
@@ -100,11 +136,11 @@ def parse(page: str) -> list[Node]:
                 nodes.append(leaf)
         run.clear()
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, raw_ends = 0, RawEnds(page)
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             run.append((page[at : m.start()], links > 0))
-        at = m.end()
+        at = raw_ends.after(m) if m[1] else m.end()
         name = m[3]
         if name is None:
             continue

@@ -2,6 +2,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 
 from plexmat.llm import hnsw, htmlextract
 from plexmat.llm.labelledpages import LABELLED_PAGES
@@ -87,3 +88,15 @@ def test_broken_and_empty_pages(spark):
     assert f"{body.strip()}\n\nA & B are two letters, aren't they? Yes." in out[4]
     assert out[None] == [body.strip()]
     assert htmlextract.extract(got.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("raw", [
+    '<svg class="icon"/>', "<math/>", '<svg class="icon">', "<svg><svg><text>no</text></svg><text>no</text></svg>", "<iframe src='x'>", "<video>", "<SELECT>",
+    "<svg><g/><svg/><text>no</text></svg>", "<script>'<p>no</p>'</script>", "<style>no</style>", "<title>no</title>"])
+def test_raw_elements_leave_the_rest_of_the_page(raw):
+    leaves = [n.text for n in htmlextract.parse(f"<body><a>{raw}</a><article><p>First text.</p>{raw}<p>Second text.</p></article>") if not n.tag]
+    assert leaves == ["First text.", "Second text."]
+
+
+def test_an_unclosed_script_runs_to_the_end():
+    assert [n.text for n in htmlextract.parse("<p>One</p><script>no <p>no") if not n.tag] == ["One"]
