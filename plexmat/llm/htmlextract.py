@@ -10,8 +10,8 @@ Leaves with a marginal above one half are the main text: character references de
 one space, trimmed, and joined by an empty line in page order.
 
 Edge cases: a null or empty page, or one without text, gives '' and 0; broken markup is read as far as it goes (open ``<p>`` and
-``<li>`` end at the next block, unknown end tags are skipped, an unclosed script, style or comment runs to the end, of any other raw element
-without an end only the tag is skipped); repeated rows
+``<li>`` end at the next block, unknown end tags are skipped, an unclosed script, style, comment or tag runs to the end, of any other raw element
+without an end only the tag is skipped); ``data-content`` has no meaning outside training pages; a page takes time linear in its length; repeated rows
 and null ids are returned as they are; other columns are not read; an empty table gives an empty result.
 """
 
@@ -37,11 +37,11 @@ BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption nav header footer aside "
     "form fieldset figure figcaption blockquote pre address details summary hgroup menu center dialog head button label".split())
 CLOSES_P = BLOCK - {"button", "label", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html", "head"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(" + RAW + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
-    re.S | re.I)
-RAW_TAG = {n: re.compile(r"</" + n + r"\s*>|<" + n + r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>", re.I) for n in RAW.split("|")}
+#: Where a comment, a declaration or a tag begins, and the rest of a tag whose quotes are closed.
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+RAW_NAMES = frozenset(RAW.split("|"))
+RAW_START = {n: re.compile(rf"</{n}\s*>|<{n}(?=[\s/>])", re.I) for n in RAW_NAMES}
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-content|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -86,6 +86,27 @@ class Node:
         self.parts: list[tuple[str, bool]] = []
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotes. Once a tag's quotes stay open to the end of the page, tags end at their first ``>``.
+
+    No part of a page is read again and again, whatever its tags look like.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def after(self, at: int) -> int:
+        """The place after the ``>`` of the tag whose name ends at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if self.quotes:
+            m = QUOTED.match(self.page, at)
+            if m:
+                return m.end()
+            self.quotes = False
+        return self.page.index(">", at) + 1
+
+
 class RawEnds:
     """Where the raw elements of a page end; each kind of tag is looked for once."""
 
@@ -94,34 +115,72 @@ class RawEnds:
         self.paired: dict[str, dict[int, int]] = {}
         self.ends: dict[str, list[tuple[int, int]]] = {}
 
-    def after(self, m: re.Match) -> int:
-        """The end of the element whose start tag this is."""
-        name = m[1].lower()
-        if name in SELF_CLOSED and m[0].endswith("/>"):
-            return m.end()
+    def pairs(self, name: str) -> dict[int, int]:
+        """Start of each element that may stand in itself -> end of its own end tag."""
+        tags, begun, at, out = TagEnds(self.page), [], 0, {}
+        while m := RAW_START[name].search(self.page, at):
+            at = m.end()
+            if m[0][1] == "/":
+                if begun:
+                    out[begun.pop()] = at
+                continue
+            end = tags.after(at)
+            if end < 0:
+                break
+            at = end
+            if name not in SELF_CLOSED or self.page[end - 2] != "/":
+                begun.append(m.start())
+        return out
+
+    def after(self, name: str, start: int, end: int) -> int:
+        """The end of the raw element whose start tag reaches from ``start`` to ``end``."""
+        if name in SELF_CLOSED and self.page[end - 2] == "/":
+            return end
         if name in NESTED:
             if name not in self.paired:
-                self.paired[name], begun = {}, []
-                for tag in RAW_TAG[name].finditer(self.page):
-                    if tag[0][1] != "/":
-                        if name not in SELF_CLOSED or not tag[0].endswith("/>"):
-                            begun.append(tag.start())
-                    elif begun:
-                        self.paired[name][begun.pop()] = tag.end()
-            return self.paired[name].get(m.start(), m.end())
+                self.paired[name] = self.pairs(name)
+            return self.paired[name].get(start, end)
         if name not in self.ends:
             self.ends[name] = [tag.span() for tag in re.finditer(rf"</{name}\s*>", self.page, re.I)]
-        k = bisect_left(self.ends[name], (m.end(), 0))
+        k = bisect_left(self.ends[name], (end, 0))
         if k < len(self.ends[name]):
             return self.ends[name][k][1]
-        return len(self.page) if name in ENDLESS else m.end()
+        return len(self.page) if name in ENDLESS else end
+
+
+class Open:
+    """The open elements, with the places of each tag, so that the nearest of some tags is known at once."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack = nodes, [0]
+        self.places: dict[str, list[int]] = {}
+
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, i: int) -> None:
+        self.places.setdefault(self.nodes[i].tag, []).append(len(self.stack))
+        self.stack.append(i)
+
+    def cut(self, k: int) -> None:
+        """Close everything from place k on."""
+        while len(self.stack) > k:
+            self.places[self.nodes[self.stack.pop()].tag].pop()
+
+
+#: Elements inside which an open paragraph further out isn't closed, and what a list item or a cell closes and stops at.
+HOLDS_P = ("div", "section", "article", "td", "li", "body")
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+}
 
 
-def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents first; text runs are leaves with the tag ''."""
+def parse(page: str, labelled: bool = False) -> list[Node]:
+    """Nodes in page order, parents first; text runs are leaves with the tag ''. Marks are read from labelled pages only."""
     nodes = [Node("", -1, 0)]
     nodes[0].tag = "html"
-    stack, links, run = [0], 0, []
+    opened, links, run = Open(nodes), 0, []
 
     def flush() -> None:
         if not run:
@@ -130,72 +189,67 @@ def parse(page: str) -> list[Node]:
         if raw.strip():
             text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
             if text:
-                leaf = Node("", stack[-1], len(stack))
+                leaf = Node("", opened.stack[-1], len(opened.stack))
                 leaf.text, leaf.size = text, len(text)
                 leaf.linked = min(len(text), sum(len(t.strip()) for t, linked in run if linked))
                 nodes.append(leaf)
         run.clear()
 
-    at, raw_ends = 0, RawEnds(page)
-    while m := TOKEN.search(page, at):
+    at, tags, raw_ends = 0, TagEnds(page), RawEnds(page)
+    while m := START.search(page, at):
         if m.start() > at:
             run.append((page[at : m.start()], links > 0))
-        at = raw_ends.after(m) if m[1] else m.end()
-        name = m[3]
+        name = m[2]
         if name is None:
+            closing = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            at = len(page) if closing < 0 else closing + (3 if m[0] == "<!--" else 1)
             continue
-        name = name.lower()
+        name, end = name.lower(), tags.after(m.end())
+        if end < 0:  # a tag that never ends
+            at = len(page)
+            break
+        attributes = page[m.end() : end - 1]
+        at = raw_ends.after(name, m.start(), end) if name in RAW_NAMES and not m[1] else end
         if name not in BLOCK:
             if name == "br":
                 run.append((" ", False))
             elif name == "hr":
                 flush()
             elif name == "a":
-                links = max(0, links - 1) if m[2] else links + 1
+                links = max(0, links - 1) if m[1] else links + 1
             continue
         flush()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    del stack[k:]
-                    break
+        if m[1]:
+            k = opened.nearest((name,))
+            if k > 0:
+                opened.cut(k)
             continue
         links = 0 if name in CLOSES_P and name != "li" else links
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag == "p":
-                    del stack[k:]
-                    break
-                if tag in ("div", "section", "article", "td", "li", "body"):
-                    break
-        if name in ("li", "dt", "dd", "tr", "td", "th"):
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}[name]
-            alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for k in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[k]].tag
-                if tag in alike:
-                    del stack[k:]
-                    break
-                if tag in stop:
-                    break
-        node = Node(name, stack[-1], len(stack))
-        if m[4]:
-            for key, a, b, c in ATTRIBUTE.findall(m[4]):
+            k = opened.nearest(("p",))
+            if k > opened.nearest(HOLDS_P):
+                opened.cut(k)
+        if name in CLOSES:
+            alike, stop = CLOSES[name]
+            k = opened.nearest(alike)
+            if k > opened.nearest(stop):
+                opened.cut(k)
+        node = Node(name, opened.stack[-1], len(opened.stack))
+        if attributes:
+            for key, a, b, c in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), (a or b or c).lower()
                 if key == "data-content":
-                    node.label = int(value or 0)
+                    if labelled:
+                        node.label = int(value == "1")
                 elif key in ("class", "id", "role"):
                     for w in WORD.findall(value):
                         node.words += WORD_AT.get(w, ())
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     node.hidden = True
         nodes.append(node)
-        stack.append(len(nodes) - 1)
+        opened.push(len(nodes) - 1)
     if at < len(page):
-        rest = page[at:]
-        cut = rest.rfind("<")  # a tag that never ends
-        run.append((rest if cut < 0 or not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut], links > 0))
+        run.append((page[at:], links > 0))
     flush()
     for n in reversed(nodes):
         if n.parent >= 0:
@@ -267,7 +321,7 @@ def labels(nodes: list[Node]) -> list[int]:
 
 def train(pages: list[str], rounds: int = 200, penalty: float = 0.02) -> TreeModel:
     """Fit the model on pages whose content is marked."""
-    parsed = [(nodes, labels(nodes)) for nodes in map(parse, pages)]
+    parsed = [(nodes, labels(nodes)) for nodes in (parse(p, labelled=True) for p in pages)]
     pair = {}
     for leaf in (False, True):
         c = np.full((2, 2), 0.5)

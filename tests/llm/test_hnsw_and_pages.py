@@ -100,3 +100,28 @@ def test_raw_elements_leave_the_rest_of_the_page(raw):
 
 def test_an_unclosed_script_runs_to_the_end():
     assert [n.text for n in htmlextract.parse("<p>One</p><script>no <p>no") if not n.tag] == ["One"]
+
+
+def test_foreign_marks_and_odd_markup():
+    """``data-content`` of a page means nothing; a page takes time linear in its length."""
+    import time
+
+    from plexmat.llm.labelledpages import LABELLED_PAGES
+
+    model = htmlextract.train(LABELLED_PAGES)
+    body = "<article><p>The council met on Tuesday to discuss the new bridge, which has been closed since spring.</p></article>"
+    want = htmlextract.main_text(body, model)
+    assert want
+    for mark in ("Popover", "1", "0", ""):
+        assert htmlextract.main_text(f'<div data-content="{mark}">{body}</div>', model) == want
+    assert htmlextract.main_text(body + "<p class='x", model) == want
+    began = time.time()
+    for junk in ("<a " * 350_000, "<blockquote>" * 20_000 + "</div>" * 100_000, '<a ">"' * 150_000, "<svg " * 200_000, "<!" * 400_000, "<p>x<div>" + "<blockquote>" * 30_000):
+        htmlextract.main_text(body + junk, model)
+    assert time.time() - began < 30
+
+
+def test_odd_pages_through_spark(spark):
+    rows = [(1, None, '<div data-content="Popover"><article><p>A sentence that is long enough to be the text of a page, surely.</p></article></div>'), (2, "u", "<a " * 100_000)]
+    got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A sentence that is long enough to be the text of a page, surely.", 2: ""}
