@@ -176,8 +176,8 @@ CLOSES = {
 }
 
 
-def parse(page: str, labelled: bool = False) -> list[Node]:
-    """Nodes in page order, parents first; text runs are leaves with the tag ''. Marks are read from labelled pages only."""
+def parse(page: str, labelled: bool = True) -> list[Node]:
+    """Nodes in page order, parents first; text runs are leaves with the tag ''. Marks count in labelled pages only."""
     nodes = [Node("", -1, 0)]
     nodes[0].tag = "html"
     opened, links, run = Open(nodes), 0, []
@@ -321,7 +321,7 @@ def labels(nodes: list[Node]) -> list[int]:
 
 def train(pages: list[str], rounds: int = 200, penalty: float = 0.02) -> TreeModel:
     """Fit the model on pages whose content is marked."""
-    parsed = [(nodes, labels(nodes)) for nodes in (parse(p, labelled=True) for p in pages)]
+    parsed = [(nodes, labels(nodes)) for nodes in map(parse, pages)]
     pair = {}
     for leaf in (False, True):
         c = np.full((2, 2), 0.5)
@@ -353,7 +353,7 @@ def train(pages: list[str], rounds: int = 200, penalty: float = 0.02) -> TreeMod
 def main_text(page: str | None, model: TreeModel) -> str:
     if not page:
         return ""
-    nodes = parse(page)
+    nodes = parse(page, labelled=False)
     marginal = model.marginals(nodes)
     return "\n\n".join(x.text for x, p in zip(nodes, marginal, strict=True) if not x.tag and p > 0.5)
 
