@@ -3,9 +3,9 @@
 Equal vectors form one node (its smallest ids suffice, since ties go to the smaller id), so a vector that
 thousands of rows share is one row in a graph. Nodes are dealt into shards of about ``SHARD_NODES`` by a hash; every shard builds its
 graph in one task of bounded size, with the largest inner product turned into the nearest Euclidean distance by one more
-dimension. A shard's index is one row: vectors, levels and flat neighbour arrays. Queries come in blocks; every block
-searches every shard with a beam, and the shards' results are merged by one aggregation of at most
-``k`` rows per query and shard. Scores are recomputed in double precision on the original vectors.
+dimension (single precision, scaled to the largest component, serves the walk only). A shard's index is one row: original vectors, levels and
+flat neighbour arrays. One task loads a shard's index once and streams all queries through it with a beam, and the shards' results are merged by one
+aggregation of at most ``k + 1`` rows per query and shard. Scores are computed in double precision on the original vectors.
 
 Edge cases: null, zero or empty vectors and vectors with null or non-finite components take no part, nor do rows without an id; vectors of different
 lengths never meet (only those of the most frequent length take part); rows that repeat an id count once;
@@ -14,6 +14,8 @@ with fewer candidates than ``k`` all are returned; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,15 +24,20 @@ from pyspark.sql import functions as F
 from plexmat.session import materialize
 
 SHARD_NODES = 8192
-QUERY_BLOCK = 2048
 M, M0 = 16, 32
 EF_BUILD, EF_SEARCH = 72, 96
 BATCH = 256
 EXPAND = 4
 
 
+def unit_scale(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Divided by the largest component, of all or of each row: ranks stay and no square leaves the range of a float."""
+    return x / np.maximum(np.abs(x).max(axis=axis, keepdims=True, initial=0), np.finfo(float).tiny)
+
+
 def lift(x: np.ndarray) -> np.ndarray:
     """One more dimension that gives all vectors the same norm: inner products then rank like distances."""
+    x = unit_scale(x)
     norms = (x * x).sum(axis=1)
     return np.hstack([x, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))[:, None]]).astype(np.float32)
 
@@ -166,24 +173,27 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
     return graph
 
 
-_INDEX = "shard int, n int, dim int, entry int, n_levels int, vectors binary, ids binary, offsets binary, levels binary, neighbours binary"
+_INDEX = "n int, dim int, entry int, n_levels int, vectors binary, ids binary, offsets binary, levels binary, neighbours binary"
 
 
-def _index(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep", ignore_index=True)
-    x = np.array(pdf.vector.tolist(), np.float32)
-    graph = build(x, int(pdf.shard.iloc[0]))
-    ids = [np.asarray(i, np.int64) for i in pdf.ids]
-    return pd.DataFrame([{
-        "shard": int(pdf.shard.iloc[0]), "n": len(x), "dim": x.shape[1], "entry": graph.entry, "n_levels": len(graph.neighbours), "vectors": x.tobytes(),
-        "ids": np.concatenate(ids).tobytes(), "offsets": np.cumsum([0, *map(len, ids)]).astype(np.int64).tobytes(), "levels": graph.levels.astype(np.int8).tobytes(),
-        "neighbours": b"".join(a.astype(np.int32).tobytes() for a in graph.neighbours)}])
+def _index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The index of each shard in a partition: one row."""
+    held = list(parts)
+    for shard, pdf in pd.concat(held).groupby("shard") if held else ():
+        pdf = pdf.sort_values("rep", ignore_index=True)
+        x = np.array(pdf.vector.tolist(), np.float64)
+        graph = build(x, int(shard))
+        ids = [np.asarray(i, np.int64) for i in pdf.ids]
+        yield pd.DataFrame([{
+            "shard": int(shard), "n": len(x), "dim": x.shape[1], "entry": graph.entry, "n_levels": len(graph.neighbours), "vectors": x.tobytes(),
+            "ids": np.concatenate(ids).tobytes(), "offsets": np.cumsum([0, *map(len, ids)]).astype(np.int64).tobytes(), "levels": graph.levels.astype(np.int8).tobytes(),
+            "neighbours": b"".join(a.astype(np.int32).tobytes() for a in graph.neighbours)}])
 
 
 def load(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     """(graph, original vectors, ids, offsets into the ids) of an index row."""
     n, dim = int(row["n"]), int(row["dim"])
-    x = np.frombuffer(row["vectors"], np.float32).reshape(n, dim)
+    x = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
     flat, links, at = np.frombuffer(row["neighbours"], np.int32), [], 0
     for level in range(int(row["n_levels"])):
         size = n * (M0 if level == 0 else M)
@@ -193,32 +203,45 @@ def load(row: pd.Series) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     return graph, x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["offsets"], np.int64)
 
 
+def search_block(index: tuple[Graph, np.ndarray, np.ndarray, np.ndarray], names: np.ndarray, q: np.ndarray, k: int, ef: int) -> pd.DataFrame:
+    """The k + 1 best rows of one shard for each query, with scores in double precision on the original vectors."""
+    graph, x, ids, offsets = index
+    lifted = np.hstack([unit_scale(q, axis=1), np.zeros((len(q), 1))]).astype(np.float32)
+    out = []
+    for i, nodes in enumerate(graph.search(lifted, max(ef, k + 1))[0]):
+        nodes = nodes[nodes >= 0]
+        exact = x[nodes] @ q[i]
+        size = offsets[nodes + 1] - offsets[nodes]
+        scores = np.repeat(exact, size)
+        own = np.concatenate([ids[offsets[c] : offsets[c + 1]] for c in nodes])
+        best = np.lexsort((own, -scores))[: k + 1]  # one more: the query's own row goes later
+        out.append(pd.DataFrame({"query": names[i], "vec_id": own[best], "score": scores[best]}))
+    return pd.concat(out)
+
+
 def _search(k: int, ef: int):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(index):
-            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float)})
-        graph, x, ids, offsets = load(index.iloc[0])
-        q = np.array(queries.vector.tolist(), np.float32)
-        lifted = np.hstack([q, np.zeros((len(q), 1), np.float32)])
-        names, out = queries["query"].to_numpy(), []
-        for at in range(0, len(q), BATCH):
-            found, _ = graph.search(lifted[at : at + BATCH], max(ef, k + 1))
-            for i, nodes in enumerate(found):
-                nodes = nodes[nodes >= 0]
-                exact = x[nodes].astype(float) @ q[at + i].astype(float)
-                size = offsets[nodes + 1] - offsets[nodes]
-                scores = np.repeat(exact, size)
-                own = np.concatenate([ids[offsets[c] : offsets[c + 1]] for c in nodes])
-                best = np.lexsort((own, -scores))[: k + 1]  # one more: the query's own row goes later
-                out.append(pd.DataFrame({"query": names[at + i], "vec_id": own[best], "score": scores[best]}))
-        return pd.concat(out)
+    """Streams a shard's rows: its index comes first and is loaded once, the queries follow."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, index = None, None
+        for pdf in parts:
+            for at, rows in pdf.groupby("shard", sort=False):
+                whole = rows[rows.n.notna()]
+                if len(whole):
+                    shard, index = at, load(whole.iloc[0])
+                asked = rows[rows.n.isna()]
+                if at != shard or not len(asked):
+                    continue
+                names, q = asked["query"].to_numpy(dtype=np.int64), np.array(asked.vector.tolist(), np.float64)
+                for begin in range(0, len(q), BATCH):
+                    yield search_block(index, names[begin : begin + BATCH], q[begin : begin + BATCH], k, ef)
 
     return run
 
 
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     whole = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)) & F.coalesce(F.exists("vector", lambda c: c != 0), F.lit(False)))
 
@@ -237,16 +260,14 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     nodes = materialize(nodes, "hnsw-nodes")
     n = nodes.count()
     shards = max(1, -(-n // shard_nodes))
+    # one partition a shard, both for the graphs and for the search
     index = materialize(
-        nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_index, _INDEX), "hnsw-index")
+        nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").mapInPandas(_index, "shard int, " + _INDEX), "hnsw-index")
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
-    queries = asked.groupBy("vector").agg(F.min("vec_id").alias("query"))
-    queries = materialize(queries, "hnsw-queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = dealt.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(_search(k, ef), "query long, vec_id long, score double")
+    queries = materialize(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "hnsw-queries")
+    dealt = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = dealt.unionByName(index, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("n").isNull())
+    found = both.mapInPandas(_search(k, ef), "query long, vec_id long, score double")
     # k + 1 rows per distinct query and shard: merge them, then hand them to the rows that share the vector
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("query", "vec_id", "score")

@@ -125,3 +125,34 @@ def test_odd_pages_through_spark(spark):
     rows = [(1, None, '<div data-content="Popover"><article><p>A sentence that is long enough to be the text of a page, surely.</p></article></div>'), (2, "u", "<a " * 100_000)]
     got = {r.page_id: r.text for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "A sentence that is long enough to be the text of a page, surely.", 2: ""}
+
+
+def test_scores_are_exact_for_doubles(spark):
+    """Components that a float can't hold, and some beyond its range."""
+    for scale in (1.0, 1e150):
+        rows = [(i, [scale * (0.1 * (i % 7) + 0.01 * i), scale * 0.17, -scale * 0.3 * (i % 3)]) for i in range(60)]
+        x = {i: np.array(v) for i, v in rows}
+        got = hnsw.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert {r.query_id for r in got} == {0, 20, 40}
+        for r in got:
+            assert np.isclose(r.score, float(x[r.query_id] @ x[r.vec_id]), rtol=1e-12, atol=0)
+        for q in (0, 20, 40):
+            want = sorted((-float(x[q] @ v), i) for i, v in x.items() if i != q)[:20]
+            found = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+            assert len(found) == 20 and len({i for _, i in want} & {i for _, i in found}) >= 19
+
+
+def test_recall_on_the_given_vectors(spark, sf):
+    """Several shards against brute force over the whole table."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in hnsw.neighbours(df, shard_nodes=200).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(found[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hits >= 0.95 * 20 * (ids % 20 == 0).sum()
