@@ -4,11 +4,14 @@ Documents fall into groups of equal texts; a group is a vector (bytes, tokens, r
 first, where the dot product of their vector with the residual capacity is highest among the shards whose
 residual in bytes is largest enough, so that bytes, tokens and rows fill up together.
 
-At any size the driver places a bounded number of items: groups below ``1 / (SHARE * shards)`` of every total are gathered
-into ``LIGHT_BUCKETS`` items by a hash of their text, and each of the at most ``3 * SHARE * shards`` heavier
-groups is an item of its own. Groups stay whole; only one beyond half a shard's share (a hot text that would not fit) is dealt into
-pieces of the size of a small item.
-Slots are numbered inside items, with the items' offsets added, so that no task sorts a whole shard.
+Groups above ``1 / (SHARE * shards)`` of a total, of which there are at most ``3 * SHARE * shards``, are placed on the driver. All
+others are placed on Spark, each group by itself: they are dealt into cells of about ``CELL_GROUPS`` groups, and a
+cell fills its part of what the large groups left of each shard. A cell's loads differ by less than one of its small groups, and cells
+begin at different shards, so the sum stays even.
+
+Groups stay whole. Only where whole groups would leave a shard more than ``SLACK`` above the mean in bytes are the largest dealt into pieces: those
+over one shard's share first, then over a half, a quarter and so on, until the bytes fit. A single row is never cut.
+Slots are numbered inside (shard, part), with the parts' offsets added, so that no task sorts a whole shard or a hot group.
 
 Edge cases: a null text has size 1 and checksum 0, the same as an empty text; rows that repeat a doc_id are placed and numbered
 like any other row; a null doc_id is allowed; an empty table gives an empty result; other columns are not read.
@@ -17,29 +20,52 @@ like any other row; a null doc_id is allowed; an empty table gives an empty resu
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.session import materialize
 
-LIGHT_BUCKETS = 8192
-SHARE = 64
+SHARE = 1024
+CELL_GROUPS = 20_000
+SLOT_ROWS = 100_000
+SLACK = 0.02
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
-def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; items are rows of (bytes, tokens, rows)."""
-    total = np.maximum(items.sum(axis=0), 1).astype(float)
-    share = items / total * shards
-    residual = np.ones((shards, items.shape[1]))
+def place(items: np.ndarray, residual: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each item, what is left of ``residual``); items are rows of (bytes, tokens, rows) as shares of a shard."""
+    residual = np.roll(residual, -first, axis=0)
+    shards = len(residual)
     out = np.zeros(len(items), np.int32)
-    for i in np.argsort(-share.max(axis=1), kind="stable"):
+    for i in np.argsort(-items.max(axis=1, initial=0), kind="stable"):
         # bytes are the law: only shards that stay within this item of the emptiest one compete
-        eligible = residual[:, 0] >= residual[:, 0].max() - share[i, 0] * 0.5 - 1e-12
-        fit = np.where(eligible, residual @ share[i], -np.inf)
+        eligible = residual[:, 0] >= residual[:, 0].max() - items[i, 0] * 0.5 - 1e-12
+        fit = np.where(eligible, residual @ items[i], -np.inf)
         out[i] = int(np.argmax(fit))
-        residual[out[i]] -= share[i]
-    return out
+        residual[out[i]] -= items[i]
+    return (out + first) % shards, np.roll(residual, first, axis=0)
+
+
+def place_large(items: np.ndarray, rows: np.ndarray, shards: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shards of the pieces of each large group (one piece unless bytes force more), and what is left of each shard."""
+    for limit in (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 32):
+        pieces = np.where(items[:, 0] > limit, np.minimum(np.ceil(items[:, 0] / limit), rows), 1).astype(np.int64)
+        at, left = place(np.repeat(items / pieces[:, None], pieces, axis=0), np.ones((shards, 3)))
+        if left[:, 0].min(initial=0) >= -SLACK:
+            break
+    return np.split(at, np.cumsum(pieces)[:-1]), left
+
+
+def _place_small(left: np.ndarray, shards: int):
+    """Place the groups of one cell; ``left`` is what the large groups left, as shares of a shard's part of the small ones."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = pdf[["bytes", "tokens", "n"]].to_numpy(dtype=float)
+        items = items / np.maximum(items.sum(axis=0), 1) * shards
+        return pd.DataFrame({"text_key": pdf.text_key, "shard": place(items, left, int(pdf.cell.iloc[0]) % shards)[0]})
+
+    return run
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,27 +75,29 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     base = materialize(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("tokens"),
-        F.xxhash64(text).alias("text_key"), F.pmod(F.xxhash64(F.lit(1), F.col(id_col)), F.lit(1 << 30)).alias("deal")), "shard-base")
-    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
-    total = base.agg(*sums).first()
-    limit = [max(1.0, float(x or 0) / (SHARE * shards)) for x in total]
-    groups = base.groupBy("text_key").agg(*sums)
-    weight = F.greatest(*(F.col(c) / F.lit(x) for c, x in zip(("bytes", "tokens", "n"), limit, strict=True)))
-    heavy = groups.withColumn("weight", weight).where("weight > 1").select(
-        "text_key", F.when(F.col("weight") > SHARE / 2, F.ceil("weight")).otherwise(1).cast("long").alias("pieces"))
+        F.xxhash64(text).alias("text_key"), F.xxhash64(F.monotonically_increasing_id()).alias("deal")), "shard-base")
+    names = ["bytes", "tokens", "n"]
+    groups = materialize(base.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "shard-groups")
+    total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.count("*").alias("groups")).first()
+    share = np.maximum(np.array([total[c] for c in names], float), 1) / shards
+    large = F.greatest(*(F.col(c) / F.lit(max(1.0, x / SHARE)) for c, x in zip(names, share.tolist(), strict=True))) > 1
     # at most 3 * SHARE * shards rows: each takes more than a 1 / (SHARE * shards) share of one of three totals
-    tagged = base.join(F.broadcast(heavy), "text_key", "left").withColumn(
-        "item", F.when(F.col("pieces").isNull(), F.pmod("text_key", F.lit(LIGHT_BUCKETS)).cast("string"))
-        .otherwise(F.concat_ws(":", F.col("text_key").cast("string"), F.pmod("deal", "pieces").cast("string"))))
-    items = tagged.groupBy("item").agg(*sums).orderBy("item").toPandas()
-    if len(items):
-        items["shard"] = place(items[["bytes", "tokens", "n"]].to_numpy(dtype=float), shards)
-        items["first_slot"] = items.groupby("shard")["n"].cumsum() - items["n"]
-        plan = items[["item", "shard", "first_slot"]].astype({"shard": "int32", "first_slot": "int64"})
-        placed = spark.createDataFrame(plan, "item string, shard int, first_slot long")
-    else:
-        placed = spark.createDataFrame([], "item string, shard int, first_slot long")
-    inside = F.row_number().over(Window.partitionBy("item").orderBy("doc_id", "text_crc32", "deal"))
-    return tagged.join(F.broadcast(placed), "item").select(
+    top = groups.where(large).orderBy("text_key").toPandas()
+    items = top[names].to_numpy(dtype=float) / share
+    pieces, left = place_large(items, top.n.to_numpy(dtype=np.int64), shards) if len(top) else ([], np.ones((shards, 3)))
+    plan = spark.createDataFrame(list(zip(top.text_key.tolist(), [p.tolist() for p in pieces], strict=True)), "text_key long, shards array<int>")
+    rest = np.maximum(shards - items.sum(axis=0), 1e-9) / shards  # the small groups' part of each total
+    cells = max(1, -(-int(total.groups) // CELL_GROUPS))
+    small = groups.where(~large).withColumn("cell", F.pmod(F.xxhash64(F.lit(2), "text_key"), F.lit(cells))).groupBy("cell").applyInPandas(
+        _place_small(left / rest, shards), "text_key long, shard int")
+    columns = ["doc_id", "size", "text_crc32", "tokens", "deal"]
+    placed = base.join(F.broadcast(plan), "text_key").select(*columns, F.element_at("shards", (F.pmod("deal", F.size("shards")) + 1).cast("int")).alias("shard")).unionByName(
+        base.join(F.broadcast(plan), "text_key", "left_anti").join(small, "text_key").select(*columns, "shard"))
+    parts = max(64, -(-int(total.n) // (shards * SLOT_ROWS)))
+    placed = materialize(placed.withColumn("part", F.pmod(F.xxhash64("deal"), F.lit(parts))), "shard-placed")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
+    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "deal"))
+    return placed.withColumn("place", inside).join(offsets, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("first_slot") + inside - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
+        (F.col("first_slot") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

@@ -346,10 +346,45 @@ def test_shards_are_even_and_slots_gapless(spark, sf):
     assert max(load.values()) < 1.1 * sum(load.values()) / 16
 
 
-def test_a_hot_text_is_dealt_out(spark):
-    rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " + "x" * (i % 50)) for i in range(3000)]
-    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    assert len(got) == 16 and max(r.s for r in got) < 1.05 * sum(r.s for r in got) / 16 and max(r.n for r in got) < 1.25 * 3000 / 16
+def loads(rows):
+    load, of = Counter(), defaultdict(set)
+    for r in rows:
+        load[r.shard] += r.size
+        of[r.text_crc32].add(r.shard)
+    return [load[i] for i in range(16)], of
+
+
+def test_a_hot_text_stays_whole_while_its_bytes_fit(spark):
+    """A third of the rows and a ninth of a shard's bytes: whole. Half of all bytes: dealt out, since no shard can hold it."""
+    rows = [(i, "" if i % 3 == 0 else f"text {i} " + "x" * (i % 50)) for i in range(3000)]
+    load, of = loads(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert max(load) < 1.02 * sum(load) / 16 and all(len(s) == 1 for s in of.values())
+    rows = [(i, "a hot text of some length" if i % 2 == 0 else f"text {i} number of others") for i in range(3000)]
+    load, of = loads(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert max(load) < 1.05 * sum(load) / 16 and sum(len(s) > 1 for s in of.values()) == 1
+
+
+def test_groups_are_split_only_where_bytes_force_it():
+    """26 groups of 0.6 shares don't fit 16 shards whole; 16 groups of 0.9 shares do."""
+    pieces, left = sharding.place_large(np.full((26, 3), 0.6), np.full(26, 1000), 16)
+    assert left[:, 0].min() >= -sharding.SLACK and max(map(len, pieces)) > 1
+    pieces, left = sharding.place_large(np.full((16, 3), 0.9), np.full(16, 1000), 16)
+    assert all(len(p) == 1 for p in pieces) and sorted(p[0] for p in pieces) == list(range(16))
+    pieces, left = sharding.place_large(np.array([[3.0, 3.0, 0.01]]), np.array([1]), 16)  # one row is never cut
+    assert len(pieces[0]) == 1
+
+
+def test_small_groups_are_placed_in_cells(spark, monkeypatch):
+    """Few groups are large and the cells are small: still even, whole and gapless."""
+    monkeypatch.setattr(sharding, "SHARE", 4)
+    monkeypatch.setattr(sharding, "CELL_GROUPS", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, f"{i % 1900} " + "x" * int(rng.integers(0, 3) * (i % 1900 % 400))) for i in range(4000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load, of = loads(got)
+    assert len(got) == 4000 and max(load) < 1.05 * sum(load) / 16 and all(len(s) == 1 for s in of.values())
+    for shard in range(16):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
 
 
 def test_sharding_edges(tricky, nothing):
