@@ -85,13 +85,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     top = groups.where(large).orderBy("text_key").toPandas()
     items = top[names].to_numpy(dtype=float) / share
     pieces, left = place_large(items, top.n.to_numpy(dtype=np.int64), shards) if len(top) else ([], np.ones((shards, 3)))
-    plan = spark.createDataFrame(list(zip(top.text_key.tolist(), [p.tolist() for p in pieces], strict=True)), "text_key long, shards array<int>")
+    plan = spark.createDataFrame(list(zip(top.text_key.tolist(), top.n.tolist(), [p.tolist() for p in pieces], strict=True)), "text_key long, n long, shards array<int>")
     rest = np.maximum(shards - items.sum(axis=0), 1e-9) / shards  # the small groups' part of each total
     cells = max(1, -(-int(total.groups) // CELL_GROUPS))
     small = groups.where(~large).withColumn("cell", F.pmod(F.xxhash64(F.lit(2), "text_key"), F.lit(cells))).groupBy("cell").applyInPandas(
         _place_small(left / rest, shards), "text_key long, shard int")
     columns = ["doc_id", "size", "text_crc32", "tokens", "deal"]
-    placed = base.join(F.broadcast(plan), "text_key").select(*columns, F.element_at("shards", (F.pmod("deal", F.size("shards")) + 1).cast("int")).alias("shard")).unionByName(
+    tagged = base.join(F.broadcast(plan), "text_key")
+    # the rows of a split group are dealt in turn, within parts of bounded size
+    turn = Window.partitionBy("text_key", "sub").orderBy("deal")
+    split = tagged.where(F.size("shards") > 1).withColumn("sub", F.pmod("deal", F.ceil(F.col("n") / SLOT_ROWS))).withColumn(
+        "piece", F.pmod(F.row_number().over(turn) + F.col("sub"), F.size("shards")))
+    placed = tagged.where(F.size("shards") == 1).select(*columns, F.col("shards")[0].alias("shard")).unionByName(
+        split.select(*columns, F.element_at("shards", (F.col("piece") + 1).cast("int")).alias("shard"))).unionByName(
         base.join(F.broadcast(plan), "text_key", "left_anti").join(small, "text_key").select(*columns, "shard"))
     parts = max(64, -(-int(total.n) // (shards * SLOT_ROWS)))
     placed = materialize(placed.withColumn("part", F.pmod(F.xxhash64("deal"), F.lit(parts))), "shard-placed")
