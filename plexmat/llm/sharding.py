@@ -10,7 +10,7 @@ cell fills its part of what the large groups left of each shard. A cell's loads
 begin at different shards, so the sum stays even.
 
 Groups stay whole. Only where whole groups would leave a shard more than ``SLACK`` above the mean in bytes are the largest dealt into pieces: those
-over one shard's share first, then over a half, a quarter and so on, until the bytes fit. A single row is never cut.
+over one shard's share first, then over a half, a quarter and so on, as long as that lowers the excess by more than ``SLACK``. A single row is never cut.
 Slots are numbered inside (shard, part), with the parts' offsets added, so that no task sorts a whole shard or a hot group.
 
 Edge cases: a null text has size 1 and checksum 0, the same as an empty text; rows that repeat a doc_id are placed and numbered
@@ -49,11 +49,16 @@ def place(items: np.ndarray, residual: np.ndarray, first: int = 0) -> tuple[np.n
 
 def place_large(items: np.ndarray, rows: np.ndarray, shards: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The shards of the pieces of each large group (one piece unless bytes force more), and what is left of each shard."""
-    for limit in (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 32):
+    best = None
+    for limit in (np.inf, 1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 32):
         pieces = np.where(items[:, 0] > limit, np.minimum(np.ceil(items[:, 0] / limit), rows), 1).astype(np.int64)
         at, left = place(np.repeat(items / pieces[:, None], pieces, axis=0), np.ones((shards, 3)))
-        if left[:, 0].min(initial=0) >= -SLACK:
+        over = max(SLACK, -left[:, 0].min(initial=0))
+        if best is None or over < best[0] - SLACK:  # a finer split has to be worth it
+            best = over, pieces, at, left
+        if over <= SLACK:
             break
+    _, pieces, at, left = best
     return np.split(at, np.cumsum(pieces)[:-1]), left
 
 
