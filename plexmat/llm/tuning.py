@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> SparkSession:
@@ -10,3 +10,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
     return spark
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -123,17 +123,75 @@ def passages(seed, n=60):
     return [(i * 2, "".join(text(rng.integers(0, 200)) + (shared[rng.integers(6)] if rng.random() < 0.7 else "") for _ in range(rng.integers(1, 5)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,group,sieve", [(0, 4096, 1 << 29), (1, 3, 1 << 29), (2, 4, 0)])
+@pytest.mark.parametrize("seed,group,sieve", [(0, 4096, 1 << 29), (1, 3, 1 << 29), (2, 4, 0), (3, 4096, 0)])
 def test_cut_equals_brute_force(spark, seed, group, sieve):
-    """Also with salted groups, and beyond the bound of the broadcast."""
+    """Also with salted groups, and beyond the bound of the broadcast, with hot anchors there."""
     rows = passages(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = suffixdedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     spans = suffixdedup.repeated_spans(df, sieve, group)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.join(spans, "doc_id", "left").mapInArrow(
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.join(spans, ["doc_id", "key"], "left").mapInArrow(
         suffixdedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()}
     assert got == brute_cut(rows)
 
 
+def test_rows_that_share_an_id(spark):
+    """Other texts are documents of their own; the same text is the same document."""
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    one, two, three = text(300), text(300), text(400)
+    df = spark.createDataFrame([(1, one), (1, two), (2, one), (1, two), (3, three), (3, three)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.digest(df).collect())
+    assert got == [(1, 300, 0), (1, 300, 0), (1, 300, 0), (2, 300, 300), (3, 400, 0), (3, 400, 0)]
+    runs = spark.createDataFrame([(1, "a" * 300), (1, "b" * 300), (2, "a" * 300)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in suffixdedup.digest(runs).collect()) == [(1, 299), (1, 299), (2, 300)]
+
+
+@pytest.mark.parametrize("sieve", [1 << 29, 0])
+def test_long_runs_stay_small(spark, sieve):
+    """Runs of one byte, of two bytes and of a line, a million bytes each: few contexts travel."""
+    rng = np.random.default_rng(3)
+    line = "".join(rng.choice(list("abcdefgh "), 150)) + "\n"
+    rows = [(i, x * (1_000_000 // len(x))) for i, x in enumerate(("a", "ab", line, "a"))]
+    df = suffixdedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert suffixdedup._candidates(df, sieve, 4096, True).where("e IS NULL").count() < 100
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in suffixdedup.repeated_spans(df, sieve).collect()}
+    end = [len(t.encode()) for _, t in rows]
+    merged = {i: suffixdedup._merge(list(s)) for i, s in spans.items()}
+    assert merged == {0: [(1, end[0])], 1: [(2, end[1])], 2: [(len(line), end[2])], 3: [(0, end[3])]}
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+def test_repeat_groups_are_repeats_that_go_no_further(spark, group):
+    rows = passages(5, 30)
+    data = {i: t.encode() for i, t in rows}
+    groups = defaultdict(list)
+    for r in suffixdedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect():
+        groups[r.repeat_id, r.length, r.n_occurrences].append((r.doc_id, r.start))
+    covered = {i: bytearray(len(d)) for i, d in data.items()}
+    for (_, length, n), places in groups.items():
+        assert len(set(places)) == len(places) == n > 1 and length >= 100
+        assert len({data[d][s : s + length] for d, s in places}) == 1 and all(s + length <= len(data[d]) for d, s in places)
+        for d, s in sorted(places)[1:]:
+            covered[d][s : s + length] = b"\1" * length
+    if group == 4096:
+        assert {i: sum(c) for i, c in covered.items()} == {i: n for i, (_, n, _, _) in brute_cut(rows).items()}
+
+
+def test_a_passage_is_one_group(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = text(700)
+    rows = [(i, text(200) + "<" + passage + ">" + text(100 + i)) for i in range(6)] + [(9, text(50) + passage[100:450] + "!")]
+    got = defaultdict(set)
+    for r in suffixdedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.length, r.n_occurrences].add((r.doc_id, r.start))
+    assert got[350, 7] == {(i, 301) for i in range(6)} | {(9, 50)}
+    around = [(length, places) for (length, n), places in got.items() if n == 6]  # what the six share on both sides of it
+    assert any((0, 200) in p and length > 100 for length, p in around) and any((0, 201 + 700 + 1 - length) in p for length, p in around)
+    assert all({d for d, _ in places} == set(range(6)) for _, places in around)
+    assert suffixdedup.repeat_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_intervals_cover_every_common_prefix():
     words = sorted(b"%s" % w.encode() for w in ("banana", "band", "bandana", "can", "cane", "canes"))
     found = {(d, words[lo][:d], hi - lo + 1) for d, lo, hi, _ in suffixdedup.intervals(words) if d}
@@ -147,8 +205,8 @@ def test_cut_edges(tricky, nothing):
     assert got[0][0].n_bytes == 0 and got[1][0].n_removed == 0 and sum(map(len, got.values())) == 13
     assert got[7][0].n_bytes - got[7][0].n_removed < 300
     assert suffixdedup.digest(nothing).count() == 0
-    out = suffixdedup.deduplicate(tricky.drop("spans"))
-    assert out.columns == tricky.drop("spans").columns and out.count() == 13 and out.where("doc_id = 0").first().text is None
+    out = suffixdedup.deduplicate(tricky)
+    assert out.columns == tricky.columns and out.count() == 13 and out.where("doc_id = 0").first().text is None
 
 
 # decontamination
