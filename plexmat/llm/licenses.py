@@ -1,11 +1,14 @@
 """License scans by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences (line ends, and ``.``, ``!``, ``?`` or ``;`` before white space); a sentence is normalised (A-Z to lower case,
-every run of other characters than a-z and 0-9 to one space, trimmed) and mapped to the identifier of a known licence
-sentence. The identifiers of a text, in order, form a sequence, and a licence is reported if the
-identifiers of one of its rules occur in the sequence in the rule's order (other sentences may stand between).
-
-Edge cases: a null or empty text has no sentence and no licence; repeated sentences count each time; rows and ids are returned
+A text is cut into sentences: at ``.``, ``!`` or ``?`` (a closing quote or bracket may follow) before white space, and at lines without a letter or
+digit; a single line end ends nothing, since licence texts are wrapped. A sentence is normalised (A-Z to lower case, every run of
+other characters than a-z and 0-9 to one space, so that comment marks at line starts go) and mapped to the identifiers of the known licence sentences that stand
+in it, word for word, whatever leads in or follows; each counts once a sentence, at its first place, and one that is part of a longer one
+found there doesn't. The identifiers of a text, in order, form a sequence, and a licence is reported if the
+identifiers of one of its rules occur in the sequence in the rule's order (others may stand between) and none
+that rules it out occurs.
+
+Edge cases: a null or empty text has no sentence and no licence; a sentence that comes again counts again; rows and ids are returned
 as they are, one result row for each input row; other columns are not read; an empty table gives an empty result.
 """
 
@@ -14,49 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licence texts and notices, by identifier.
-SENTENCES: dict[str, str] = {
-    "apache_notice": "Licensed under the Apache License, Version 2.0",
-    "apache_you_may_not": 'Licensed under the Apache License, Version 2.0 (the "License")',
-    "apache_compliance": "you may not use this file except in compliance with the License",
-    "apache_copy": "You may obtain a copy of the License at",
-    "as_is_law": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
-    "mit_notice": "Released under the MIT License",
-    "mit_title": "MIT License",
-    "mit_grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "mit_condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "gpl3_notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl_redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl_no_warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
-    "cc_by_nc_notice": "Licensed under CC BY-NC 4.0",
-    "cc_by_notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
-    "bsd_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "unlicense": "This is free and unencumbered software released into the public domain",
-}
-#: Ordered rules; the first matching rule of a licence is enough.
-RULES: list[tuple[str, list[str]]] = [
-    ("Apache-2.0", ["apache_notice"]),
-    ("Apache-2.0", ["apache_you_may_not", "apache_compliance"]),
-    ("Apache-2.0", ["apache_copy", "as_is_law"]),
-    ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
-    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
-    ("CC-BY-4.0", ["cc_by_notice"]),
-    ("CC-BY-NC-4.0", ["cc_by_nc_notice"]),
-    ("GPL-3.0", ["gpl3_notice"]),
-    ("GPL-3.0-or-later", ["gpl_redistribute", "gpl_no_warranty"]),
-    ("ISC", ["isc_grant"]),
-    ("MIT", ["mit_notice"]),
-    ("MIT", ["mit_grant", "mit_condition"]),
-    ("MIT", ["mit_title", "mit_grant"]),
-    ("MPL-2.0", ["mpl_notice"]),
-    ("Unlicense", ["unlicense"]),
-]
-SENTENCE_END = r"([.!?;])[ \t\r\n]+"
+from plexmat.llm.licensetexts import RULES, SENTENCES
+
+SENTENCE_END = r"[.!?][\"')\]]{0,2}[ \t\r\n]|\n[^A-Za-z0-9\n]*\n"
+#: Every known sentence holds one of these, so that all other texts need no cutting.
+TELLTALE = r"(?i)licen[sc]|permi|redistribut|warrant|public domain|advertis|endorse|promote|copyright|cc0|software|distribut|reproduction"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,19 +31,19 @@ def normal(sentence: str) -> str:
     return " ".join("".join(kept).split())
 
 
-def pieces(sentences: dict[str, str]) -> dict[str, str]:
-    """normalised sentence -> identifier."""
-    return {normal(v): k for k, v in sentences.items()}
-
-
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The ordered identifiers of the known sentences in a text."""
-    known = pieces(sentences)
-    lookup = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n"), "\n")
-    normalised = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
-    named = F.transform(normalised, lambda s: F.try_element_at(lookup, s))
-    return F.filter(named, lambda s: s.isNotNull())
+    known = F.array(*(F.struct(F.lit(f" {normal(v)} ").alias("text"), F.lit(k).alias("id")) for k, v in sentences.items()))
+
+    def of_sentence(s: Column) -> Column:
+        words = F.concat(F.lit(" "), F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "), F.lit(" "))
+        words = F.regexp_replace(words, " +", " ")
+        found = F.filter(known, lambda k: F.contains(words, k["text"]))
+        whole = F.filter(found, lambda k: ~F.exists(found, lambda o: (o["id"] != k["id"]) & F.contains(o["text"], k["text"])))
+        return F.transform(F.array_sort(F.transform(whole, lambda k: F.struct(F.position(k["text"], words).alias("at"), k["id"].alias("id")))), lambda x: x["id"])
+
+    told = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(TELLTALE))
+    return F.when(text.rlike(TELLTALE), F.flatten(F.transform(told, of_sentence))).otherwise(F.array().cast("array<string>"))
 
 
 def rule_pattern(ids: list[str]) -> str:
@@ -87,36 +52,41 @@ def rule_pattern(ids: list[str]) -> str:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+                  sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str], list[str]]] = RULES) -> DataFrame:
     """(doc_id, n_known, sentence_ids, licenses) of every row: ids in text order and sorted licences, joined by spaces."""
     sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    found = F.array(*(F.when(F.col("sequence").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules))
+
+    def applies(ids: list[str], unless: list[str]) -> Column:
+        found = F.col("sequence").rlike(rule_pattern(ids))
+        return found & ~F.col("sequence").rlike(f" (?:{'|'.join(unless)}) ") if unless else found
+
+    found = F.array(*(F.when(applies(ids, unless), F.lit(name)) for name, ids, unless in rules))
+    names = F.when(F.size("ids") > 0, F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), " ")).otherwise("")
     return (
-        docs.select(F.col(id_col).alias("doc_id"), sentence_ids(F.col(text_col), sentences).alias("ids"))
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        .select("doc_id", sentence_ids(F.col("text"), sentences).alias("ids"))
         .withColumn("sequence", sequence)
-        .select(
-            "doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("sentence_ids"),
-            F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), " ").alias("licenses"))
+        .select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("sentence_ids"), names.alias("licenses"))
     )
 
 
 def oracle() -> str:
-    """The same scan in DuckDB SQL."""
+    """The same scan as joins in DuckDB SQL: sentences as rows, a join with the known ones, and a glob for each rule."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = pieces(SENTENCES)
-    keys, values = ", ".join(map(quote, known)), ", ".join(map(quote, known.values()))
-    rules = ", ".join(f"CASE WHEN regexp_matches(' ' || sentence_ids || ' ', {quote(rule_pattern(ids))}) THEN {quote(name)} END" for name, ids in RULES)
+    known = ", ".join(f"({quote(k)}, {quote(' ' + normal(v) + ' ')})" for k, v in SENTENCES.items())
+    rules = ", ".join(f"({quote(name)}, {quote('* ' + ' * '.join(ids) + ' *')}, {'[' + ', '.join(quote(x) for x in unless) + ']'}::VARCHAR[])" for name, ids, unless in RULES)
     return f"""
-WITH known AS (SELECT unnest([{keys}]) AS sentence, unnest([{values}]) AS id),
-lines AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS line,
-         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS pos
-  FROM documents),
-hits AS (
-  SELECT doc_id, pos, id FROM (SELECT doc_id, pos, trim(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM lines) l JOIN known USING (sentence)),
-seqs AS (
-  SELECT d.doc_id, count(h.id)::BIGINT AS n_known, coalesce(string_agg(h.id, ' ' ORDER BY h.pos), '') AS sentence_ids
-  FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id)
-SELECT doc_id, n_known, sentence_ids,
-       array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ' ') AS licenses
-FROM seqs"""
+WITH known(id, phrase) AS (VALUES {known}),
+rules(licence, shape, unless) AS (VALUES {rules}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT r, string_split_regex(text, '[.!?]["'')\\]]{{0,2}}[ \\t\\r\\n]|\\n[^A-Za-z0-9\\n]*\\n') AS l FROM docs),
+sentences AS (SELECT r, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM lists),
+plain AS (SELECT r, i, ' ' || trim(regexp_replace(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'), '  +', ' ', 'g')) || ' ' AS s FROM sentences),
+low AS (SELECT r, i, translate(s, '{_UPPER}', '{_LOWER}') AS s FROM plain),
+hits AS (SELECT r, i, id, phrase, strpos(s, phrase) AS place FROM low JOIN known ON contains(s, phrase)),
+whole AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.r = h.r AND o.i = h.i AND o.id <> h.id AND contains(o.phrase, h.phrase))),
+seqs AS (SELECT r, count(*) AS n, string_agg(id, ' ' ORDER BY i, place, id) AS ids, list(id) AS seen FROM whole GROUP BY r),
+found AS (SELECT DISTINCT r, licence FROM seqs, rules WHERE '  ' || replace(ids, ' ', '  ') || '  ' GLOB shape AND NOT list_has_any(seen, unless)),
+names AS (SELECT r, string_agg(licence, ' ' ORDER BY licence) AS licenses FROM found GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM docs LEFT JOIN seqs USING (r) LEFT JOIN names USING (r)"""

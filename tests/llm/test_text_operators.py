@@ -251,15 +251,50 @@ def test_decontamination_edges(spark, tricky, nothing):
 # licences
 
 
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licenses for r in sorted(licenses.scan_licenses(df).collect(), key=lambda r: r.doc_id)]
+
+
 def test_licence_rules(spark, tricky, nothing):
     s = licenses.SENTENCES
     texts = [
-        (1, "Some text. Licensed under the Apache License, Version 2.0.\nmore"), (2, f"{s['bsd_grant']}\n{s['bsd_source']}.\n{s['bsd_binary']}."), (3, f"{s['bsd_binary']}.\n{s['bsd_source']}."),
-        (4, f"{s['mit_title']}\nx\n{s['mit_grant']}\n{s['mit_condition']}."), (5, "RELEASED under the  mit   license!"), (6, None),
+        "Some text. Licensed under the Apache License, Version 2.0.\nmore", f"{s['bsd_grant']}\n{s['bsd_source']}.\n{s['bsd_binary']}.", f"{s['bsd_binary']}.\n{s['bsd_source']}.",
+        f"{s['mit_title']}\n\nx\n{s['mit_grant']}\n{s['mit_condition']}.", "RELEASED under the  mit   license!", None, "Foo is released under the MIT License, bar is not", "under the. MIT License",
+        f"{s['bsd_grant']} {s['bsd_source']}. {s['bsd_binary']}. {s['bsd_endorse']}.", "not under the MIT Licenses", "." * 200_000 + " licence",
     ]
-    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == {1: "Apache-2.0", 2: "BSD-2-Clause", 3: "", 4: "MIT", 5: "MIT", 6: ""}
+    assert licences_of(spark, texts) == ["Apache-2.0", "BSD-2-Clause", "", "MIT", "MIT", "", "MIT", "", "BSD-3-Clause", "", ""]
     assert licenses.scan_licenses(tricky).count() == 13 and licenses.scan_licenses(nothing).count() == 0
+    assert all(re.search(licenses.TELLTALE, v) for v in s.values())
+    assert {i for _, ids, unless in licenses.RULES for i in [*ids, *unless]} <= set(s)
+
+
+def test_wrapped_licence_texts(spark):
+    """As they stand in files: wrapped, indented, behind comment marks, with a lead-in."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    head = "Copyright (c) 2020 Jane Roe. All rights reserved.\n\n"
+    whole = {
+        "MIT": [f"MIT License\n\nCopyright (c) 2020 Jane Roe\n\n{s['mit_grant']}", f"{s['mit_condition']}.", f"{s['mit_warranty']}."],
+        "ISC": [head + s["isc_grant"] + ".", s["isc_warranty"] + "."],
+        "BSD-3-Clause": [head + s["bsd_grant"], "1. " + s["bsd_source"] + ".", "2. " + s["bsd_binary"] + ".", "3. " + s["bsd_endorse"] + "."],
+        "BSD-2-Clause": [head + s["bsd_grant"], "* " + s["bsd_source"] + ".", "* " + s["bsd_binary"] + "."],
+        "GPL-3.0-or-later": ["This file is part of Foo.", s["gpl3_later"] + ".", s["gpl_no_warranty"] + ".  See the GNU General Public License for more details."],
+        "GPL-2.0-or-later": [s["gpl2_later"] + ".", s["gpl_no_warranty"] + "."],
+        "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', s["apache_copy"] + "\n\n  http://www.apache.org/licenses/LICENSE-2.0", s["as_is_law"] + "."],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+        "Zlib": [s["zlib_warranty"] + ".", s["zlib_grant"], "1. " + s["zlib_origin"] + ".", "3. " + s["zlib_notice"] + "."],
+        "Unlicense": [s["unlicense"] + ".", s["unlicense_grant"] + "."],
+    }
+    texts, want = [], []
+    for mark in ("", "# ", " * ", "// ", ";; ", "-- "):
+        for width in (60, 72, 79):
+            for name, parts in whole.items():
+                lines = [line for part in parts for block in part.split("\n\n") for line in [*textwrap.wrap(block, width, break_on_hyphens=False), ""]]
+                texts.append("/*\n" + "\n".join((mark + line).rstrip() for line in lines) + "\n*/\n\nint main() {}\n")
+                want.append(name)
+    assert licences_of(spark, texts) == want
 
 
 # scoring
