@@ -226,6 +226,20 @@ def test_reparameterised_questions_are_found(spark):
     assert exact.contaminated and not exact.reworded
 
 
+def test_names_in_every_place(spark):
+    """Names that begin sentences, of two words, in lower case; a word put in; short items."""
+    bench = spark.createDataFrame([
+        (1, "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"), (2, "She flew from New York to Boston in 5 hours and came back to New York after 3 days of rest."),
+        (3, "What is 2 + 2?"), (4, "Define entropy."), (5, "7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Anna has 4 apples. Anna buys 9 more apples. How many apples does Anna have now?"), (2, "tom has 3 apples. tom buys 5 more apples. how many apples does tom have now?"),
+        (3, "She flew from Paris to Rome in 2 hours and came back to Paris after 9 days of rest."), (4, "She flew from New York to Boston in 5 hours and quickly came back to New York after 3 days of rest."),
+        (5, "what is 2 + 2"), (6, "Define  ENTROPY"), (7, "Define entropy in your own words."), (8, "What is 2 + 3?"), (9, "31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46"),
+        (10, "1 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 1"), (11, "Nina has 4 pears. Otto sells 9 old chairs. How many tables does Paul own now?")], "doc_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontaminate.report(docs, bench).where("contaminated").collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 10: 5}
+
+
 def test_both_joins_find_the_same(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     a, b = (sorted(decontaminate.matches(docs, bench, broadcast_windows=n).collect()) for n in (1 << 20, 0))
