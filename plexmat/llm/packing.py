@@ -2,13 +2,15 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens; full pieces are sequences of their own and the rest
 is packed. A chromosome is a set of bins. Crossover injects whole well-filled bins of one parent into another,
-bins that share a document with them are dissolved (no duplicates), and the displaced documents are placed by best fit,
-longest first; a mutation dissolves the emptiest bins in the same way.
-
-Items are dealt at random into blocks of about ``BLOCK_ITEMS``. Each block is evolved by ``ISLANDS`` islands with seeds of their own, in separate
-tasks; their elites migrate to one island that crosses them further. Bins filled to ``ACCEPT`` are final; the items of all other
+bins that share a document with them are dissolved (no duplicates), and the displaced documents take the places of smaller ones where that fills
+a bin better and are then placed by best fit, longest first; a mutation dissolves the emptiest and some other bins in the same way.
+
+Items are dealt at random into blocks of about ``BLOCK_ITEMS``. Best fit gives each block's first chromosome; a block at its lower bound,
+ceil(tokens / capacity), is done (before the last level, one bin above it). All others are evolved on ``ISLANDS`` islands, one task a block and island, for ``EPOCHS`` epochs of ``GENERATIONS``
+generations; between epochs every island's elite migrates to both of its neighbours, and a block ends as soon as one of its islands reaches the bound. A
+population travels as one row, written after each epoch, so a lost executor repeats one epoch of a few blocks.
+Bins filled to ``ACCEPT`` are final; the items of all other
 bins go on to the next level, where they meet the left-overs of other blocks, so that the waste of many blocks ends in one.
-An island stops as soon as it reaches the lower bound, ceil(tokens / capacity), of its block.
 
 Words are tokenised once: pre-tokens of Latin texts are looked up in a bounded cache (same ids as the
 tokenizer gives for the whole text); every other text goes through the tokenizer as a whole.
@@ -20,23 +22,27 @@ tells them apart); a null doc_id is allowed; an empty table gives an empty resul
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.session import materialize
 
 CAPACITY = 2048
 BLOCK_ITEMS = 2000
-ISLANDS = 2
-POPULATION = 4
+ISLANDS = 4
+POPULATION = 8
 GENERATIONS = 4
+EPOCHS = 4
 WELL_FILLED = 0.97
 ACCEPT = 0.995
+#: Bins of more items are not searched for replacements.
+REPLACE_UP_TO = 12
 LEVELS = 4
 CACHE_RUNS, CACHE_WORDS = 700_000, 200_000
 END_ID = 0
@@ -149,6 +155,41 @@ class Bins:
         self.by_residual[left].append(len(self.bins) - 1)
         self.mask |= 1 << left
 
+    def replace(self, items: list[int]) -> list[int]:
+        """Let displaced items take the place of one or two smaller ones where that fills a bin better; returns who is displaced then."""
+        out = sorted((self.lengths[i], i) for i in items)
+        for b, left in enumerate(self.residual):
+            if not left or not out:
+                continue
+            own = self.bins[b]
+            if len(own) > REPLACE_UP_TO:
+                continue
+            best, gain = None, 0
+            for x, i in enumerate(own):
+                for y in range(x, len(own)):
+                    size = self.lengths[i] + (self.lengths[own[y]] if y > x else 0)
+                    k = bisect_right(out, (size + left, 1 << 60)) - 1
+                    if k >= 0 and out[k][0] - size > gain:
+                        best, gain = (x, y, k), out[k][0] - size
+            if best:
+                x, y, k = best
+                _, new = out.pop(k)
+                for z in {x, y}:
+                    insort(out, (self.lengths[own[z]], own[z]))
+                self.move(b, left - gain)
+                self.bins[b] = [i for z, i in enumerate(own) if z not in (x, y)] + [new]
+        return [i for _, i in out]
+
+    def move(self, b: int, left: int) -> None:
+        """Bin b has another residual capacity."""
+        slot = self.by_residual[self.residual[b]]
+        slot.remove(b)
+        if not slot:
+            self.mask &= ~(1 << self.residual[b])
+        self.residual[b] = left
+        self.by_residual[left].append(b)
+        self.mask |= 1 << left
+
     def best_fit(self, items: list[int]) -> Bins:
         """Place items, longest first, each into the fullest bin that takes it."""
         for i in sorted(items, key=lambda k: -self.lengths[k]):
@@ -191,7 +232,7 @@ def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
             child.add_bin(list(items))
         else:
             displaced += kept
-    return child.best_fit(displaced)
+    return child.best_fit(child.replace(displaced))
 
 
 def mutate(a: Bins, rng: np.random.Generator) -> Bins:
@@ -205,24 +246,14 @@ def mutate(a: Bins, rng: np.random.Generator) -> Bins:
             displaced += items
         else:
             child.add_bin(list(items))
-    return child.best_fit(displaced)
+    return child.best_fit(child.replace(displaced))
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), generations: int = GENERATIONS) -> Bins:
-    """Evolve one island; ``elites`` are chromosomes that migrated here."""
+def evolve(lengths: list[int], capacity: int, seed: int, people: list[Bins], generations: int = GENERATIONS, spare: int = 0) -> list[Bins]:
+    """Some generations of one island, from the chromosomes that are here; the best comes first and never gets worse."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(lengths) // capacity)
-    people = []
-    for bins in elites:
-        person = Bins(lengths, capacity)
-        for items in bins:
-            person.add_bin(list(items))
-        people.append(person)
-    if not people:
-        people = [Bins(lengths, capacity).best_fit(list(range(len(lengths))))]
-    best = min(people, key=Bins.fitness)
-    if len(best.bins) <= least:
-        return best
+    least = -(-sum(lengths) // capacity) + spare
+    people = list(people)
     while len(people) < POPULATION:  # other starts: a random part is placed before the rest
         order = rng.permutation(len(lengths)).tolist()
         cut = len(order) // 3
@@ -232,47 +263,100 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[
         if len(people[0].bins) <= least:
             break
         parents = people[: POPULATION // 2]
-        children = [crossover(parents[int(rng.integers(len(parents)))], people[int(rng.integers(len(people)))], rng) for _ in range(POPULATION - 1)]
-        people = [*parents, *children, mutate(parents[0], rng)]
-    return min(people, key=Bins.fitness)
+        pick = lambda: parents[int(rng.integers(len(parents)))]
+        children = [crossover(pick(), pick(), rng) for _ in range(POPULATION // 4)]
+        children += [mutate(pick(), rng) for _ in range(POPULATION - len(parents) - len(children))]
+        people = [*parents, *children]
+    people.sort(key=Bins.fitness)
+    return people[:POPULATION]
+
+
+def coded(person: Bins) -> bytes:
+    """The bin of each item."""
+    bin_of = np.zeros(len(person.lengths), np.int32)
+    for k, items in enumerate(person.bins):
+        bin_of[items] = k
+    return bin_of.tobytes()
 
 
-_OUT = "block long, island int, uid long, length long, bin int"
+def decoded(blob: bytes, lengths: list[int], capacity: int) -> Bins:
+    bin_of = np.frombuffer(blob, np.int32)
+    person = Bins(lengths, capacity)
+    order = np.argsort(bin_of, kind="stable")
+    for items in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1):
+        person.add_bin(items.tolist())
+    return person
 
 
-def _rows(pdf: pd.DataFrame, bins: list[list[int]], island: int) -> pd.DataFrame:
-    bin_of = np.zeros(len(pdf), np.int32)
-    for k, items in enumerate(bins):
-        bin_of[items] = k
-    return pd.DataFrame({"block": pdf.block, "island": np.int32(island), "uid": pdf.uid, "length": pdf.length, "bin": bin_of})
+_STATE = "block long, island int, uids binary, lengths binary, people array<binary>, bins long, waste double, done boolean"
+
 
+def _state(block: int, island: int, uids: bytes, lengths: bytes, people: list[Bins], spare: int) -> dict:
+    bins, waste = people[0].fitness()
+    done = bins <= -(-sum(people[0].lengths) // people[0].capacity) + spare
+    return {"block": block, "island": island, "uids": uids, "lengths": lengths, "people": [coded(p) for p in people], "bins": bins, "waste": waste, "done": done}
 
-def _island(capacity: int):
+
+def _start(capacity: int, spare: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", ignore_index=True)
-        island = int(pdf.island.iloc[0])
-        best = evolve(pdf.length.tolist(), capacity, int(pdf.block.iloc[0]) * ISLANDS + island)
-        return _rows(pdf, best.bins, island)
+        lengths = pdf.length.tolist()
+        first = Bins(lengths, capacity).best_fit(list(range(len(lengths))))
+        return pd.DataFrame([_state(int(pdf.block.iloc[0]), 0, pdf.uid.to_numpy(np.int64).tobytes(), pdf.length.to_numpy(np.int64).tobytes(), [first], spare)])
 
     return run
 
 
-def _migrate(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        elites, first = [], None
-        for _, own in pdf.groupby("island"):
-            own = own.sort_values("uid", ignore_index=True)
-            first = own if first is None else first
-            bins: list[list[int]] = [[] for _ in range(int(own.bin.max()) + 1)]
-            for i, b in enumerate(own.bin.tolist()):
-                bins[b].append(i)
-            elites.append(bins)
-        best = evolve(first.length.tolist(), capacity, -1 - int(first.block.iloc[0]) & 0xFFFFFFFF, elites)
-        return _rows(first, best.bins, 0)
+def _epoch(capacity: int, epoch: int, spare: int):
+    """One epoch of each island: its people, and the elites that came from its neighbours."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for row in pdf.itertuples():
+                lengths = np.frombuffer(row.lengths, np.int64).tolist()
+                blobs = list(dict.fromkeys([*(b for b in (row.before, row.after) if b is not None), *row.people]))[:POPULATION]
+                people = evolve(lengths, capacity, (int(row.block) * ISLANDS + int(row.island)) * EPOCHS + epoch, [decoded(b, lengths, capacity) for b in blobs], spare=spare)
+                yield pd.DataFrame([_state(int(row.block), int(row.island), row.uids, row.lengths, people, spare)])
 
     return run
 
 
+def _placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each item of the best chromosome of each block."""
+    for pdf in parts:
+        for row in pdf.itertuples():
+            bin_of, length = np.frombuffer(row.person, np.int32), np.frombuffer(row.lengths, np.int64)
+            fill = np.bincount(bin_of, length).astype(np.int64)
+            yield pd.DataFrame({"block": row.block, "uid": np.frombuffer(row.uids, np.int64), "length": length, "bin": bin_of, "fill": fill[bin_of]})
+
+
+def evolved(items: DataFrame, capacity: int, epochs: int = EPOCHS, spare: int = 0) -> DataFrame:
+    """(block, uid, length, bin, fill) of items (block, uid, length): the best chromosome that each block's islands find.
+
+    A block is done within ``spare`` bins of its lower bound.
+    """
+    start = materialize(items.groupBy("block").applyInPandas(_start(capacity, spare), _STATE), "pack-start")
+    ended = start
+    if epochs and start.where("NOT done").limit(1).count():
+        ended, state = start.where("done"), start.where("NOT done").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+        none = F.lit(None).cast("binary")
+        state = state.withColumns({"before": none, "after": none})
+        for epoch in range(epochs):
+            # as many tasks as islands: each is a row
+            state = materialize(state.repartition("block", "island").mapInPandas(_epoch(capacity, epoch, spare), _STATE), "pack-epoch")
+            finished = state.where("done").select("block").distinct()
+            last = epoch == epochs - 1
+            ended = ended.unionByName(state if last else state.join(finished, "block", "left_semi"))
+            state = state.join(finished, "block", "left_anti")
+            if last or not state.limit(1).count():
+                break
+            elite = state.select("block", "island", F.col("people")[0].alias("elite"))
+            for name, step in (("before", 1), ("after", ISLANDS - 1)):
+                state = state.join(elite.select("block", F.pmod(F.col("island") + step, F.lit(ISLANDS)).alias("island"), F.col("elite").alias(name)), ["block", "island"])
+    best = ended.groupBy("block").agg(F.min(F.struct("bins", "waste", "island", F.col("people")[0].alias("person"), "uids", "lengths")).alias("best"))
+    return best.select("block", "best.person", "best.uids", "best.lengths").mapInPandas(_placed, "block long, uid long, length long, bin int, fill long")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (any columns, ``length`` among them) with sequence_id and offset."""
     # the row number is written with the pieces, so that it never changes
@@ -286,13 +370,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             break
         blocks = -(-n // BLOCK_ITEMS)
         dealt = left.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)))
-        dealt = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-        evolved = dealt.groupBy("block", "island").applyInPandas(_island(capacity), _OUT)
-        final = evolved.groupBy("block").applyInPandas(_migrate(capacity), _OUT)
-        fill = final.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
-        final = materialize(final.join(fill, ["block", "bin"]).select(
-            "uid", "length", "fill", (F.lit(level << 50) + F.col("block") * (BLOCK_ITEMS * 8) + F.col("bin")).alias("sequence_id")), "pack-level")
         last = blocks == 1 or level == LEVELS - 1
+        # before the last level one bin over the bound will do: its items and those of all under-filled bins are packed again
+        final = materialize(evolved(dealt, capacity, spare=0 if last else 1).select(
+            "uid", "length", "fill", (F.lit(level << 50) + F.col("block") * (BLOCK_ITEMS * 8) + F.col("bin")).alias("sequence_id")), "pack-level")
         done = final if last else final.where(F.col("fill") >= ACCEPT * capacity)
         placed = done if placed is None else placed.unionByName(done)
         if last:
@@ -303,8 +384,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         whole = whole.unionByName(placed.select("uid", "sequence_id"))
     joined = numbered.join(whole, "uid")
     # a sequence holds at most ``capacity`` pieces
-    from pyspark.sql import Window
-
     before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "uid").rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("uid")
 

@@ -86,6 +86,48 @@ def test_crossover_places_everything_once():
         assert all(sum(lengths[i] for i in items) <= 100 for items in child.bins)
 
 
+def hard_lengths(kind, rng):
+    """Classes of lengths on which best fit wastes bins: few large items a bin, and triplets that fill bins exactly."""
+    if kind == "uniform":
+        return rng.integers(20, 101, 300).tolist(), 150
+    out = []
+    for _ in range(60):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        out += [a, b, 1000 - a - b]
+    return out, 1000
+
+
+@pytest.mark.parametrize("kind", ["uniform", "triplets"])
+def test_islands_beat_best_fit(spark, kind):
+    """Never worse in any block, and better over all; every item is placed once, no bin is over-filled."""
+    rng = np.random.default_rng(11)
+    blocks = [hard_lengths(kind, rng) for _ in range(6)]
+    capacity = blocks[0][1]
+    rows = [(k, k * 10_000 + i, n) for k, (lengths, _) in enumerate(blocks) for i, n in enumerate(lengths)]
+    items = spark.createDataFrame(rows, "block long, uid long, length long")
+    found = defaultdict(lambda: defaultdict(list))
+    for r in packing.evolved(items, capacity).collect():
+        found[r.block][r.bin].append((r.uid, r.length, r.fill))
+    plain = [len(packing.Bins(lengths, capacity).best_fit(list(range(len(lengths)))).bins) for lengths, _ in blocks]
+    own = [len(found[k]) for k in range(6)]
+    assert all(a <= b for a, b in zip(own, plain, strict=True)) and sum(own) < sum(plain)
+    for k in range(6):
+        assert sorted((u, n) for items in found[k].values() for u, n, _ in items) == [(u, n) for b, u, n in rows if b == k]
+        assert all(sum(n for _, n, _ in items) == items[0][2] <= capacity for items in found[k].values())
+
+
+def test_elites_never_get_worse():
+    rng = np.random.default_rng(3)
+    lengths, capacity = hard_lengths("triplets", rng)
+    people = [packing.Bins(lengths, capacity).best_fit(list(range(len(lengths))))]
+    for epoch in range(4):
+        before = people[0].fitness()
+        people = packing.evolve(lengths, capacity, epoch, people)
+        assert people[0].fitness() <= before and len(people) <= packing.POPULATION
+        assert packing.decoded(packing.coded(people[0]), lengths, capacity).fitness()[0] == people[0].fitness()[0]
+
+
 def test_packing_edges(tricky, nothing, vocabulary):
     rows = packing.pack_documents(tricky, vocabulary, with_ids=True).collect()
     empty = [r for r in rows if r.doc_id in (0, 1)]
