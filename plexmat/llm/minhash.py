@@ -14,7 +14,7 @@ Plan, all of it on Spark:
 3. buckets whose members are still in different components are compared across components only, every pair in the first
    band that it shares, so that no link between different texts is lost. Buckets of up to ``SMALL`` members report the
    screened pairs, which the full sets then confirm; in larger ones the full sets are compared inside blocks of
-   ``BLOCK`` members and only links that join two components leave a block, so a hot group never becomes all its pairs.
+   ``BLOCK`` members and ``BLOCK_BYTES`` bytes of sets, and only links that join two components leave a block, so a hot group never becomes all its pairs.
 
 A pair at the threshold of 0.85 misses all bands with probability 4e-7 (0.80: 8e-8), and is screened out by the estimate
 (bound 0.69, five standard deviations; 0.80: 0.62) with probability 3e-7.
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plexmat.llm.textkit import LOWER, U, combine_rows, mix64, span_hashes, text_bytes, text_chunks, words
+from plexmat.llm.tuning import unused
 from plexmat.operators.components import connected_components
 from plexmat.session import materialize
 
@@ -48,6 +49,7 @@ SHINGLE = 5
 #: Estimates below the bound are five standard deviations away from the threshold.
 ESTIMATE_MARGIN_SD = 5.0
 BLOCK = 1000
+BLOCK_BYTES = 16 << 20
 SMALL = 128
 PROBES = np.random.default_rng(7).integers(0, BUCKETS, (BUCKETS, 96))
 
@@ -349,11 +351,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .repartition("key").sortWithinPartitions("key").mapInArrow(_small_buckets(bound, percent), "a long, b long")
     )
     fresh = materialize(small.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
-    large = apart.where(F.col("size") > SMALL)
+    weights = apart.where(F.col("size") > SMALL).groupBy("key").agg(F.sum("n").alias("weight"))
+    large = apart.where(F.col("size") > SMALL).join(weights, "key")
     needed = large.select("rep").distinct()
     own_sets = source.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep").dropDuplicates(["rep"]).mapInArrow(
         _set_blobs, "rep long, shingles binary")
-    n_blocks = F.ceil(F.col("size") / BLOCK)
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES))
     # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
     dealt = (
         large.join(own_sets, "rep").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks"))
@@ -375,8 +378,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id; all columns stay."""
     links = near_duplicates(docs, id_col, text_col, percent)
-    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (gone_id,) = unused(docs, "copy_id")
+    gone = links.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
 
 
 def oracle() -> str:
