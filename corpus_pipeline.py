@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents without a language, or whose nearest languages can't be told apart, go."""
     bounded_batches(spark)
     return langid.keep_identified(docs)
 

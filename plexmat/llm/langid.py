@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexmat.llm.textkit import LOWER, text_chunks
+from plexmat.llm.tuning import unused
 
 DIMS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -116,34 +117,48 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Ecoc
     return EcocModel(langs, code, weights, reliability / max(reliability.max(), 1e-9))
 
 
+def decide(model: EcocModel, known: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, ambiguous) of each text; ``known`` says which have a letter."""
+    n = len(known)
+    known = known & (len(model.langs) > 0)
+    margins, size = np.zeros((n, model.code.shape[1])), np.zeros(n)
+    for feature, row in features(data, offsets):
+        if len(row):
+            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            margins[row[begin]] += np.add.reduceat(model.weights[feature], begin, axis=0)
+            size += np.bincount(row, minlength=n)
+    # evidence grows with the square root of the length, so that long texts keep graded scores
+    loss = model.losses(margins / np.sqrt(np.maximum(size, 1))[:, None]) if len(model.langs) else np.zeros((n, 1))
+    order = np.argsort(loss, axis=1, kind="stable")
+    first = loss[np.arange(n), order[:, 0]]
+    gap = loss[np.arange(n), order[:, 1]] - first if loss.shape[1] > 1 else np.full(n, np.inf)
+    share = np.exp(-(loss - first[:, None]) * model.code.shape[1])
+    names = np.array([*model.langs, UNKNOWN], object)
+    return names[np.where(known, order[:, 0], len(model.langs))], np.where(known, 1 / share.sum(axis=1), 0.0), known & (gap < AMBIGUITY_MARGIN)
+
+
 def _decode(model: EcocModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, "text", 1_000_000):
-            n = rows.num_rows
-            known = np.array(rows.column("has_letter").to_pylist(), bool) & (len(model.langs) > 0)
-            margins, size = np.zeros((n, model.code.shape[1])), np.zeros(n)
-            for feature, row in features(data, offsets):
-                if len(row):
-                    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    margins[row[begin]] += np.add.reduceat(model.weights[feature], begin, axis=0)
-                    size += np.bincount(row, minlength=n)
-            # evidence grows with the square root of the length, so that long texts keep graded scores
-            loss = model.losses(margins / np.sqrt(np.maximum(size, 1))[:, None]) if len(model.langs) else np.zeros((n, 1))
-            order = np.argsort(loss, axis=1, kind="stable")
-            first = loss[np.arange(n), order[:, 0]]
-            gap = loss[np.arange(n), order[:, 1]] - first if loss.shape[1] > 1 else np.full(n, np.inf)
-            share = np.exp(-(loss - first[:, None]) * model.code.shape[1])
-            score = np.where(known, 1 / share.sum(axis=1), 0.0)
-            names = np.array([*model.langs, UNKNOWN], object)
-            pred = names[np.where(known, order[:, 0], len(model.langs))]
+            pred, score, ambiguous = decide(model, np.array(rows.column("has_letter").to_pylist(), bool), data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("held_out"), pa.array(pred, pa.string()), pa.array(score),
-                 pa.array(known & (gap < AMBIGUITY_MARGIN))],
+                [rows.column("doc_id"), rows.column("held_out"), pa.array(pred, pa.string()), pa.array(score), pa.array(ambiguous)],
                 ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return run
 
 
+def _keep(model: EcocModel, text_col: str, letter_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_chunks(batches, text_col, 1_000_000):
+            lettered = np.array(rows.column(letter_col).to_pylist(), bool)
+            pred, _, ambiguous = decide(model, lettered, data, offsets)
+            good = (pred != UNKNOWN) & ~ambiguous if model.langs else lettered
+            yield rows.filter(pa.array(good)).drop_columns([letter_col])
+
+    return run
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """The fold rule: crc32 of the id as text, remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
@@ -153,15 +168,20 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, lang_pred, score, ambiguous) of every row; learns from the rows outside the held-out fold."""
     doc_id = F.col(id_col).cast("long")
     model = fit(docs.where(doc_id.isNotNull() & ~held_out(doc_id, folds)), text_col, lang_col)
-    rows = docs.select(
-        doc_id.alias("doc_id"), held_out(doc_id, folds).alias("held_out"), F.col(text_col).alias("text"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id, folds).alias("held_out"), F.col(text_col).alias("text"), has_letter(text_col).alias("has_letter"))
     return rows.mapInArrow(_decode(model), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that get no language (``und``); all columns stay."""
-    rejected = identify(docs).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("__gone")).distinct()
-    # rows without text or letter only; the same rule keeps rows whose id is null but whose text is fine
-    lettered = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return lettered.join(rejected, F.col(id_col) == F.col("__gone"), "left_anti")
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def keep_identified(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that get no language (``und``) or whose language is ambiguous; all columns stay.
+
+    Each row is judged by its own text, whatever its id. Without a row to learn from, only rows without a letter go.
+    """
+    doc_id = F.col(id_col).cast("long")
+    model = fit(docs.where(doc_id.isNotNull() & ~held_out(doc_id, folds)), text_col, lang_col)
+    (letter_col,) = unused(docs, "has_letter")
+    return docs.withColumn(letter_col, has_letter(text_col)).mapInArrow(_keep(model, text_col, letter_col), docs.schema)

@@ -24,6 +24,64 @@ def test_language_accuracy(spark, sf):
     assert j.where("lang = lang_pred").count() >= 0.95 * j.count() and j.count() > 10
 
 
+def test_predictions_equal_a_plain_recomputation(spark, sf):
+    """Counts, classifiers, losses and decoding once more, a document and an n-gram at a time."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+    def grams(text):
+        data = (text or "").translate(LOWER).encode()
+        for order in (1, 2, 3):
+            for i in range(len(data) - order + 1):
+                code = order
+                for byte in data[i : i + order]:
+                    code = (code * 257 + byte) % 2**32
+                yield code * 0x9E3779B1 % 2**32 >> 18
+
+    counts = defaultdict(Counter)
+    for i, t, lang in docs:
+        if zlib.crc32(str(i).encode()) % 5 and t is not None and lang is not None:
+            counts[lang].update(grams(t))
+    langs = sorted(counts)
+    totals = {x: sum(counts[x].values()) for x in langs}
+    floor = 0.5 / sum(totals.values())
+    code = langid.codewords(len(langs))
+    weights = []
+    for b in range(code.shape[1]):
+        side = {s: [x for x, c in zip(langs, code[:, b], strict=True) if c == s] for s in (1, -1)}
+        mean = {s: Counter() for s in side}
+        for s, names in side.items():
+            for x in names:
+                for g, n in counts[x].items():
+                    mean[s][g] += n / totals[x] / len(names)
+        weights.append({g: math.log((mean[1][g] + floor) / (mean[-1][g] + floor)) for g in set(mean[1]) | set(mean[-1])})
+    apart = [max(1e-6, min(code[k, b] * sum(n / totals[x] * w[g] for g, n in counts[x].items()) for k, x in enumerate(langs))) for b, w in enumerate(weights)]
+    want = {}
+    for i, t, _ in docs:
+        if not re.search(r"[^\W\d_]", t or ""):
+            want[i] = "und", 0.0
+            continue
+        own = list(grams(t))
+        margin = [sum(w.get(g, 0.0) for g in own) / math.sqrt(len(own)) for w in weights]
+        loss = [sum(r * np.logaddexp(0, -m * code[k, b]) for b, (r, m) in enumerate(zip(apart, margin, strict=True))) / sum(apart) for k in range(len(langs))]
+        best = min(range(len(langs)), key=lambda k: (loss[k], k))
+        want[i] = langs[best], 1 / sum(math.exp(-(x - loss[best]) * code.shape[1]) for x in loss)
+    got = {r.doc_id: r for r in langid.identify(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len(got) == len(docs)
+    for i, (lang, score) in want.items():
+        assert got[i].lang_pred == lang and math.isclose(got[i].score, score, rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    """A repeated id, an ambiguous text, and a table without labels."""
+    en, fr = "the dog and the cat of the house are in the garden with the children", "le chien et le chat de la maison sont dans le jardin avec les enfants"
+    rows = [(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(40)] + [(50, "12 !", None), (50, en, None), (51, "x", None), (52, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ambiguous = {r.doc_id for r in langid.identify(df).where("ambiguous").collect()}
+    kept = sorted((r.doc_id, r.text) for r in langid.keep_identified(df).collect())
+    assert kept == sorted((i, t) for i, t, _ in rows if t not in (None, "12 !") and i not in ambiguous) and (50, en) in kept
+    assert langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).count() == 42
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 6, 9, 20):
         c = langid.codewords(n)
