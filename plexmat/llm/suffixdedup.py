@@ -41,7 +41,7 @@ from plexmat.session import materialize
 MIN_LENGTH = 100
 GRAM = 32
 GROUP = 4096
-BITS_PER_HASH = 16
+BITS_PER_HASH = 32
 MAX_SIEVE_BITS = 1 << 29
 PAGE_BITS = 1 << 16
 
