@@ -49,6 +49,17 @@ def rename_shared(labels_a: DataFrame, labels_b: DataFrame, pairs: DataFrame) ->
     return shared.select(F.col("label_a").alias("old"), "new").unionByName(fresh_a), shared.select(F.col("label_b").alias("old"), "new").unionByName(fresh_b)
 
 
+def rename_log(labels_a: DataFrame, labels_b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(side, old, new, shared, n): what ``rename_shared`` makes of every label of both sides, and how many cells carry it."""
+    out = None
+    for side, (labels, names, own) in enumerate(zip((labels_a, labels_b), rename_shared(labels_a, labels_b, pairs), ("label_a", "label_b"), strict=True)):
+        n = labels.groupBy(F.col("label").alias("old")).agg(F.count("*").alias("n"))
+        both = pairs.select(F.col(own).alias("old"), F.lit(True).alias("paired"))
+        rows = names.join(n, "old").join(both, "old", "left").select(F.lit(side).alias("side"), "old", "new", F.coalesce("paired", F.lit(False)).alias("shared"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def match_report(canvas_df: DataFrame) -> DataFrame:
     """Per pair of labels: sizes, matches and their share of the smaller cluster."""
     return canvas_df.select("label_a", "label_b", "n_a", "n_b", "n", (F.col("n") / F.least("n_a", "n_b")).alias("ratio"))

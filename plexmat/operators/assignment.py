@@ -18,11 +18,16 @@ MAX_SIDE = 4000
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a cheapest matching: shortest augmenting paths with potentials, a row vector at a time."""
+    """Rows and columns of a cheapest matching."""
+    return solve(cost)[:2]
+
+
+def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, row potentials, column potentials): shortest augmenting paths with potentials, a row vector at a time."""
     if cost.shape[0] > cost.shape[1]:
-        columns, rows = assign(cost.T)
+        columns, rows, v, u = solve(cost.T)
         order = np.argsort(rows)
-        return rows[order], columns[order]
+        return rows[order], columns[order], u, v
     n, m = cost.shape
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     owner, way = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
@@ -49,7 +54,7 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     column = np.flatnonzero(owner[1:])
     rows = owner[1:][column] - 1
     order = np.argsort(rows)
-    return rows[order], column[order]
+    return rows[order], column[order], u[1:], v[1:]
 
 
 def _cost(x: pd.DataFrame, y: pd.DataFrame, metric: str) -> np.ndarray:
@@ -89,6 +94,27 @@ def match(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:
     return match_pairs(a.withColumn("pair", one), b.withColumn("pair", one), metric=metric).select("cell_a", "cell_b", "dist")
 
 
+def duality(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(cost, dual, least_slack): cost of the matching, value of its potentials, and the least of cost - potentials over all pairs.
+
+    With a least slack of 0 the dual value bounds every matching from below; equal to the cost, it proves that none is cheaper. Potentials of
+    unmatched points are 0, and none of the larger side's lies above 0.
+    """
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame()
+        cost = _cost(x, y, metric)
+        r, c, u, v = solve(cost)
+        larger = v if len(u) <= len(v) else u
+        slack = min(float((cost - u[:, None] - v[None]).min()), float(-larger.max()) if len(u) != len(v) else 0.0)
+        return pd.DataFrame({"cost": [cost[r, c].sum()], "dual": [u.sum() + v.sum()], "least_slack": [slack]})
+
+    one = F.lit(0).alias("pair")
+    left, right = (d.select(one, *(F.col(c).alias(c) for c in ("cell_id", "vec"))) for d in (a, b))
+    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "cost double, dual double, least_slack double")
+
+
 def match_edges(matches: DataFrame) -> DataFrame:
     """(src, dst) of a match in both directions."""
     return matches.select(F.col("cell_a").alias("src"), F.col("cell_b").alias("dst")).unionByName(matches.select(F.col("cell_b").alias("src"), F.col("cell_a").alias("dst")))

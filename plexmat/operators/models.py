@@ -80,13 +80,13 @@ def mixture_curve(points: DataFrame, sizes: list[int], seed: int = 1, rounds: in
 def kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(dataset_id, cell_id, cluster) of k-means over the union."""
     v = _with_vectors(points)
-    return KMeans(k=k, seed=seed).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
+    return KMeans(k=k, seed=seed, maxIter=200, tol=1e-9).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
 
 
 def bisecting_kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """A hierarchical summary clustering (in the place of a CF tree)."""
     v = _with_vectors(points)
-    return BisectingKMeans(k=k, seed=seed).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
+    return BisectingKMeans(k=k, seed=seed, maxIter=200, tol=1e-9).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
 
 
 def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
@@ -98,6 +98,23 @@ def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
     return model.assignClusters(pairs).select(F.col("id").alias("cell_id"), F.col("cluster").cast("int").alias("cluster"))
 
 
+def spectral_by_poison(points: DataFrame, least: int = 3, max_poison: float = 0.125, most: int = 50) -> DataFrame:
+    """(cell_id, cluster, k): spectral clusters, as many as possible before the worst cluster's poison reaches the bound.
+
+    The number grows from ``least`` on; the last clustering below the bound is the result, that of ``least`` if none is.
+    """
+    from plexmat.operators.clustering import poison
+
+    best = None
+    for k in range(least, most + 1):
+        c = materialize(spectral(points, k).withColumn("k", F.lit(k)), "spectral")
+        worst = poison(points.select("cell_id", "vec").join(c.select("cell_id", F.col("cluster").alias("label")), "cell_id")).agg(F.max("poison")).first()[0]
+        best = c if best is None or worst < max_poison else best
+        if worst is None or worst >= max_poison:
+            return best
+    raise RuntimeError(f"no more than {most} clusters are tried")
+
+
 def _moments(own: DataFrame, weights: str) -> pd.DataFrame:
     """Per (dataset, label): weight, weighted sums and cross products, as one array each, summed on Spark."""
     stats = own.withColumn("w", F.col(weights))

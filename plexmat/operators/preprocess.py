@@ -128,12 +128,24 @@ def standardise(points: DataFrame) -> DataFrame:
     return z.groupBy("dataset_id", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("vec"))
 
 
-def regress_out(values: DataFrame, depth: DataFrame) -> DataFrame:
-    """Residuals of each gene on the cells' depth; ``values`` holds every cell of the gene that takes part."""
-    both = values.join(depth, ["dataset_id", "cell_id"])
-    fit = both.groupBy("gene_id").agg(F.regr_slope("x", "depth").alias("slope"), F.regr_intercept("x", "depth").alias("intercept"))
-    return both.join(fit, "gene_id").withColumn("residual", F.col("x") - F.col("slope") * F.col("depth") - F.col("intercept")).select(
-        "dataset_id", "cell_id", "gene_id", "residual")
+def regression_lines(counts: DataFrame, depth: DataFrame) -> DataFrame:
+    """(gene_id, slope, intercept, n_zero, zero_residuals): each gene's values regressed on the depth of all cells, zeros included.
+
+    Only stored entries are read: the zero cells enter through the number of cells, the sum of depths and that of their squares.
+    """
+    d = depth.agg(F.count("*").alias("n"), F.sum("depth").alias("sd"), F.sum(F.col("depth") * F.col("depth")).alias("sdd"))
+    g = counts.join(depth, ["dataset_id", "cell_id"]).groupBy("gene_id").agg(
+        F.count("*").alias("k"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("depth")).alias("sxd"), F.sum("depth").alias("kd")).join(F.broadcast(d))
+    spread = F.col("n") * F.col("sdd") - F.col("sd") * F.col("sd")
+    slope = F.when(spread > 0, (F.col("n") * F.col("sxd") - F.col("sx") * F.col("sd")) / spread).otherwise(0.0)
+    out = g.withColumn("slope", slope).withColumn("intercept", (F.col("sx") - F.col("slope") * F.col("sd")) / F.col("n")).withColumn("n_zero", F.col("n") - F.col("k"))
+    return out.select("gene_id", "slope", "intercept", "n_zero", (-F.col("slope") * (F.col("sd") - F.col("kd")) - F.col("intercept") * F.col("n_zero")).alias("zero_residuals"))
+
+
+def regress_out(counts: DataFrame, depth: DataFrame) -> DataFrame:
+    """Residuals of the stored entries on the cells' depth; a zero cell's residual is minus its gene's line (``regression_lines``)."""
+    both = counts.join(depth, ["dataset_id", "cell_id"]).join(regression_lines(counts, depth), "gene_id")
+    return both.withColumn("residual", F.col("x") - F.col("slope") * F.col("depth") - F.col("intercept")).select("dataset_id", "cell_id", "gene_id", "residual")
 
 
 def min_max(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -198,13 +198,27 @@ def nrm5(spark, sf):
     return preprocess.scale_clip(preprocess.normalize_total(k), preprocess.cell_numbers(k)).withColumn("x", F.round("x", 6))
 
 
-@query("nrm7_regress_out", f"""{W}, depth AS (SELECT dataset_id, cell_id, sum(x) AS depth FROM basket GROUP BY 1, 2), j AS (SELECT * FROM basket JOIN depth USING (dataset_id, cell_id)),
-f AS (SELECT gene_id, regr_slope(x, depth) AS s, regr_intercept(x, depth) AS i FROM j GROUP BY 1) SELECT dataset_id, cell_id, gene_id, round(x - s * depth - i, 6) AS residual FROM j JOIN f USING (gene_id) WHERE s IS NOT NULL AND NOT isnan(s)""")
+DEPTH = f"""{W}, depth AS (SELECT dataset_id, cell_id, sum(x) AS depth FROM basket GROUP BY 1, 2), every AS (SELECT gene_id, d.dataset_id, d.cell_id, depth FROM (SELECT DISTINCT p_brand AS gene_id FROM part) g, depth d),
+small AS (SELECT dataset_id, cell_id, p_brand AS gene_id, sum(x) AS x FROM basket JOIN part ON gene_id = p_partkey GROUP BY ALL), j AS (SELECT e.*, coalesce(x, 0) AS x FROM every e LEFT JOIN small USING (dataset_id, cell_id, gene_id)),
+f AS (SELECT gene_id, regr_slope(x, depth) AS s, regr_intercept(x, depth) AS i FROM j GROUP BY 1)"""
+
+
+def regressed(spark, sf):
+    c = brand_counts(spark, sf)
+    depth = materialize(c.groupBy("dataset_id", "cell_id").agg(F.sum("x").alias("depth")), "depth")
+    return preprocess.regress_out(c, depth), preprocess.regression_lines(c, depth)
+
+
+@query("nrm7_regress_out", f"{DEPTH} SELECT dataset_id, cell_id, gene_id, round(x - s * depth - i, 6) AS residual FROM j JOIN f USING (gene_id) WHERE x > 0")
 def nrm7(spark, sf):
-    c = counts(spark, sf)
-    depth = c.groupBy("dataset_id", "cell_id").agg(F.sum("x").alias("depth"))
-    out = preprocess.regress_out(c, depth)
-    return out.where("residual IS NOT NULL AND NOT isnan(residual)").withColumn("residual", F.round("residual", 6))
+    """Residuals of the stored entries; every cell takes part in the fit, the zero ones by sums."""
+    return regressed(spark, sf)[0].withColumn("residual", F.round("residual", 6))
+
+
+@query("nrm7_zero_cells", f"{DEPTH} SELECT gene_id, round(any_value(s), 6) AS slope, round(any_value(i), 6) AS intercept, count(*) FILTER (x = 0) AS n_zero, round(coalesce(sum(x - s * depth - i) FILTER (x = 0), 0), 4) AS zero_residuals FROM j JOIN f USING (gene_id) GROUP BY 1")
+def nrm7_zero(spark, sf):
+    """The lines, which give a zero cell its residual, and the sums of the zero cells' residuals."""
+    return regressed(spark, sf)[1].select("gene_id", r("slope"), r("intercept"), "n_zero", r("zero_residuals", 4))
 
 
 @query("nrm8_min_max", f"{W} SELECT dataset_id, cell_id, round((s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w), 6) AS s FROM (SELECT dataset_id, cell_id, sum(x) AS s FROM basket GROUP BY 1, 2) WINDOW w AS (PARTITION BY dataset_id)")
@@ -414,8 +428,7 @@ def mat1(spark, sf):
     return matrix.pair_jobs(views.basket_obs(spark, sf).select("dataset_id").distinct(), 3)
 
 
-REPS = f"""{W}, d AS (SELECT dataset_id, rep, gene_id FROM (SELECT o.dataset_id, rep, o.cell_id, row_number() OVER (PARTITION BY o.dataset_id, rep ORDER BY md5(rep || ':' || o.cell_id), o.cell_id) AS r
- FROM (SELECT DISTINCT dataset_id, cell_id FROM basket) o, range(3) t(rep)) s JOIN basket b USING (dataset_id, cell_id) WHERE r <= 30 GROUP BY ALL),
+REPS = f"""{W}, d AS (SELECT DISTINCT dataset_id, (('0x' || substr(md5('rep:' || cell_id), 1, 8))::BIGINT % 3)::INT AS rep, gene_id FROM basket),
 n AS (SELECT dataset_id, rep, count(*) AS n FROM d GROUP BY 1, 2), tensor AS (SELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, a.rep::INT AS rep,
  round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 9) AS value FROM d a JOIN d b ON a.gene_id = b.gene_id AND a.rep = b.rep AND a.dataset_id <= b.dataset_id
  JOIN n na ON na.dataset_id = a.dataset_id AND na.rep = a.rep JOIN n nb ON nb.dataset_id = b.dataset_id AND nb.rep = b.rep GROUP BY 1, 2, 3),
@@ -423,14 +436,9 @@ med AS (SELECT ds_a, ds_b, median(value) AS value FROM tensor GROUP BY 1, 2), fu
 
 
 def tensor(spark, sf):
-    """Jaccard of the parts bought by 30 sampled customers of each region, three repeats."""
-    c = counts(spark, sf)
-    cells = c.select("dataset_id", "cell_id").distinct().withColumn("rep", F.explode(F.array(*map(F.lit, range(3)))))
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("dataset_id", "rep").orderBy(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("cell_id").cast("string"))), "cell_id"))
-    some = cells.withColumn("r", rank).where("r <= 30").drop("r")
-    g = materialize(c.join(some, ["dataset_id", "cell_id"]).select("dataset_id", "rep", "gene_id").distinct(), "tensor")
+    """Jaccard of the parts bought in each region by thirds of the customers, a full split by md5 of the id."""
+    rep = F.conv(F.substring(F.md5(F.concat(F.lit("rep:"), F.col("cell_id").cast("string"))), 1, 8), 16, 10).cast("long") % 3
+    g = materialize(counts(spark, sf).select("dataset_id", rep.cast("int").alias("rep"), "gene_id").distinct(), "tensor")
     n = g.groupBy("dataset_id", "rep").agg(F.count("*").alias("n"))
     a, b = g.withColumnRenamed("dataset_id", "ds_a"), g.withColumnRenamed("dataset_id", "ds_b")
     common = a.join(b, ["rep", "gene_id"]).where("ds_a <= ds_b").groupBy("ds_a", "ds_b", "rep").agg(F.count("*").alias("c"))

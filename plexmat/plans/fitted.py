@@ -113,6 +113,11 @@ def clu5(spark, sf):
     return models.spectral(points(spark, sf), 5)
 
 
+@query("clu10_spectral_growth")
+def clu10(spark, sf):
+    return models.spectral_by_poison(points(spark, sf))
+
+
 @query("clu6_kmeans")
 def clu6(spark, sf):
     return models.kmeans(points(spark, sf), 8)
@@ -195,7 +200,7 @@ def clu3b(spark, sf):
 
 @query("clu6_mean_shift")
 def clu6d(spark, sf):
-    return grouped.mean_shift(models.joint_pca(points(spark, sf), 3), 0.25, 10)
+    return grouped.mean_shift(models.joint_pca(points(spark, sf), 3), 0.25)
 
 
 @query("clu7_core_distances", f"{W} SELECT cell_id, round(max(d), 6) AS core FROM (SELECT a.cell_id, {D} AS d, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS r FROM emb a, emb b) WHERE r <= 5 GROUP BY 1")

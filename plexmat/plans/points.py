@@ -295,14 +295,14 @@ def ts3(spark, sf):
     return align.small_slices(points(spark, sf, 5), 9)
 
 
-@query("ts4_make_unique", f"{S5}, m AS (SELECT dataset_id, max(label) + 1 AS w FROM emb WHERE label <= dataset_id + 3 GROUP BY 1), o AS (SELECT dataset_id, coalesce(sum(w) OVER (ORDER BY dataset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM m) SELECT dataset_id, cell_id, (label + o)::INT AS label FROM emb JOIN o USING (dataset_id) WHERE label <= dataset_id + 3")
+@query("ts4_make_unique", f"{S5}, m AS (SELECT dataset_id, max(label) + 1 AS w FROM emb GROUP BY 1), o AS (SELECT dataset_id, coalesce(sum(w) OVER (ORDER BY dataset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM m) SELECT dataset_id, cell_id, (label + o)::INT AS label FROM emb JOIN o USING (dataset_id)")
 def ts4(spark, sf):
-    return align.unique_over_slices(points(spark, sf, 5).where("label <= dataset_id + 3")).select("dataset_id", "cell_id", "label")
+    return align.unique_over_slices(points(spark, sf, 5)).select("dataset_id", "cell_id", "label")
 
 
-@query("ts8_compact", f"{S5} SELECT cell_id, label, (dense_rank() OVER (ORDER BY label) - 1)::INT AS compact FROM emb WHERE label NOT IN (2, 5)")
+@query("ts8_compact", f"{S5} SELECT cell_id, label * 3 + 1 AS label, (dense_rank() OVER (ORDER BY label) - 1)::INT AS compact FROM emb")
 def ts8(spark, sf):
-    return align.compact(points(spark, sf, 5).where("label NOT IN (2, 5)")).select("cell_id", "label", "compact")
+    return align.compact(points(spark, sf, 5).withColumn("label", F.col("label") * 3 + 1)).select("cell_id", "label", "compact")
 
 
 LINEAGE = "lin AS (SELECT DISTINCT a.dataset_id AS slice, a.label AS parent, b.label AS child FROM emb a JOIN emb b ON b.dataset_id = a.dataset_id + 1 AND b.cell_id = a.cell_id + 1)"
@@ -382,9 +382,9 @@ def met1(spark, sf):
     return metrics.adjusted_rand(rank_match(spark, sf), "label_a", "label_b").select(r("ari"), "n")
 
 
-@query("met3_dense_labels", f"{S5} SELECT dataset_id, cell_id, label, (dense_rank() OVER (PARTITION BY dataset_id ORDER BY label) - 1)::INT AS dense FROM emb WHERE label <> dataset_id")
+@query("met3_dense_labels", f"{S5} SELECT dataset_id, cell_id, label * 2 + dataset_id AS label, (dense_rank() OVER (PARTITION BY dataset_id ORDER BY label) - 1)::INT AS dense FROM emb")
 def met3(spark, sf):
-    return metrics.dense_labels(points(spark, sf, 5).where("label <> dataset_id"), "label", ["dataset_id"]).select("dataset_id", "cell_id", "label", "dense")
+    return metrics.dense_labels(points(spark, sf, 5).withColumn("label", F.col("label") * 2 + F.col("dataset_id")), "label", ["dataset_id"]).select("dataset_id", "cell_id", "label", "dense")
 
 
 @query("met4_gausssim", f"""{W}, d AS (SELECT a.label, a.dataset_id AS da, b.dataset_id AS db, a.cell_id, min({D}) AS d FROM emb a JOIN emb b ON a.label = b.label AND a.cell_id <> b.cell_id GROUP BY ALL),
@@ -421,10 +421,10 @@ def pre2(spark, sf):
     return align.flows(rank_match(spark, sf), "label_a", "label_b")
 
 
-@query("nrm6_standardise", f"{W}, long AS (SELECT cell_id, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM emb), z AS (SELECT cell_id, dim, (v - avg(v) OVER (PARTITION BY dim)) / stddev_pop(v) OVER (PARTITION BY dim) AS z FROM long) SELECT cell_id, dim::INT AS dim, round(z, 6) AS z FROM z WHERE dim <= 8")
+@query("nrm6_standardise", f"{W}, long AS (SELECT cell_id, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM emb), z AS (SELECT cell_id, dim, (v - avg(v) OVER (PARTITION BY dim)) / stddev_pop(v) OVER (PARTITION BY dim) AS z FROM long) SELECT cell_id, dim::INT AS dim, round(z, 6) AS z FROM z")
 def nrm6(spark, sf):
     s = preprocess.standardise(points(spark, sf))
-    return s.select("cell_id", F.posexplode("vec").alias("dim", "z")).where("dim < 8").select("cell_id", (F.col("dim") + 1).alias("dim"), r("z"))
+    return s.select("cell_id", F.posexplode("vec").alias("dim", "z")).select("cell_id", (F.col("dim") + 1).alias("dim"), r("z"))
 
 
 @query("aln8_vote", f"""{W}, k AS (SELECT a.cell_id, b.label, {D} AS d, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS rank FROM emb a JOIN emb b ON a.dataset_id = 1 AND b.dataset_id = 0), v AS (SELECT cell_id, label, sum(CASE WHEN d > 0 THEN 1 / d ELSE 1e18 END) AS w FROM k WHERE rank <= 5 GROUP BY 1, 2)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmat.plans import basket, fitted, points
+from plexmat.plans import basket, certificates, fitted, points
 
-PLANS = [basket, points, fitted]
+PLANS = [basket, points, fitted, certificates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

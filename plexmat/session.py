@@ -41,21 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="plexmat-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def written_dir(spark: SparkSession) -> str:
+    """Where this application's written steps lie."""
+    return f"{shared_dir(spark)}/plexmat/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write a DataFrame into the shared folder and read it back.
 
-    Cuts the lineage with a written table, so a lost executor never forces the upstream job to rerun.
+    Cuts the lineage with a written table, so a lost executor never forces the upstream job to rerun. ``clean_up`` removes the tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plexmat/{label}-{uuid.uuid4().hex}"
+    path = f"{written_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove this application's written steps; results that still read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
