@@ -258,3 +258,42 @@ def test_communities_of_two_cliques(spark):
     edges = [(a + s, b + s, 1.0) for s in (0, 10) for a in range(5) for b in range(a)] + [(0, 10, 0.1)]
     got = {r.node: r.community for r in grouped.louvain(spark.createDataFrame(edges, "src long, dst long, weight double"), levels=2).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i + 10] for i in range(5)}) == 1 and got[0] != got[10]
+
+
+def test_communities_by_moves_in_one_task_and_in_rounds(spark):
+    """Three cliques joined in a ring: both ways find them."""
+    from plexmat.operators import grouped
+
+    rows = [(10 * c + i, 10 * c + j, 1.0) for c in range(3) for i in range(6) for j in range(i)] + [(0, 10, 0.1), (10, 20, 0.1), (20, 0, 0.1)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight double")
+    for small in (grouped.SMALL_LEVEL, 0):
+        found = {}
+        for r in grouped.louvain(edges, small_level=small).collect():
+            found.setdefault(r.community, set()).add(r.node)
+        assert sorted(map(sorted, found.values())) == [[10 * c + i for i in range(6)] for c in range(3)]
+
+
+def test_zero_cells_take_part_in_the_regression(spark):
+    import numpy as np
+
+    from plexmat.operators import preprocess
+
+    depth = spark.createDataFrame([(0, i, float(d)) for i, d in enumerate((1, 2, 4, 7))], "dataset_id int, cell_id long, depth double")
+    counts = spark.createDataFrame([(0, 1, "g", 3.0), (0, 3, "g", 5.0)], "dataset_id int, cell_id long, gene_id string, x double")
+    slope, intercept = np.polyfit([1, 2, 4, 7], [0, 3, 0, 5], 1)
+    line = preprocess.regression_lines(counts, depth).first()
+    assert np.allclose([line.slope, line.intercept, line.n_zero, line.zero_residuals], [slope, intercept, 2, -slope * 5 - 2 * intercept])
+    got = {r.cell_id: r.residual for r in preprocess.regress_out(counts, depth).collect()}
+    assert np.allclose([got[1], got[3]], [3 - slope * 2 - intercept, 5 - slope * 7 - intercept])
+
+
+def test_a_cluster_session_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from plexmat.session import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: default)))
