@@ -1,20 +1,31 @@
-"""Optimal one-to-one matching, one task per pair of point sets.
+"""One-to-one matching of point sets, cheapest by the sum of distances.
 
-The exact assignment needs all costs of a pair together and takes cubic time, so a pair is bounded by ``MAX_SIDE`` points per side (beyond
-it the job stops with an error, nothing is dropped: sample or make_even first); the pairs spread over the cluster.
+The exact assignment needs all costs of a pair together and takes cubic time: a pair of at most ``MAX_SIDE`` points a side is solved by
+one task, the pairs spread over the cluster. Larger pairs are matched in rounds (``match_in_rounds``): matched couples are dealt
+into blocks of neighbours, every block is solved exactly by a task, and the next round deals them otherwise. The matching is complete after every round and
+its cost never rises; it is not proven cheapest, but ``lower_bound`` says how far from it it can be at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators.distance import METRICS
+from plexmat.operators.distance import METRICS, block_pairs
+from plexmat.session import discard, materialize
 
 MAX_SIDE = 4000
+#: Couples solved together in a round, landmarks that say which are neighbours, most rounds, and the gain of two rounds that ends them.
+BLOCK = 500
+LANDMARKS = 48
+ROUNDS = 24
+LEAST_GAIN = 0.002
+BARRED = 1e18
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +74,11 @@ def _cost(x: pd.DataFrame, y: pd.DataFrame, metric: str) -> np.ndarray:
     return METRICS[metric](np.array(x.vec.tolist()), np.array(y.vec.tolist()))
 
 
-def match_pairs(a: DataFrame, b: DataFrame, pair: str = "pair", metric: str = "euclidean", folds: int = 1) -> DataFrame:
+def match_pairs(a: DataFrame, b: DataFrame, pair: str = "pair", metric: str = "euclidean", folds: int = 1, max_side: int = MAX_SIDE) -> DataFrame:
     """(pair, cell_a, cell_b, dist, fold): the cheapest matching within every pair; further folds bar the matches of those before.
 
-    ``a`` and ``b`` are (pair, cell_id, vec); with unequal sides the surplus stays unmatched.
+    ``a`` and ``b`` are (pair, cell_id, vec); with unequal sides the surplus stays unmatched. Pairs of more than ``max_side`` points a side
+    are matched in rounds.
     """
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -77,15 +89,195 @@ def match_pairs(a: DataFrame, b: DataFrame, pair: str = "pair", metric: str = "e
         barred, out = cost.copy(), []
         for fold in range(min(folds, max(cost.shape))):
             r, c = assign(barred)
-            ok = np.isfinite(cost[r, c]) & (barred[r, c] < 1e17)
+            ok = np.isfinite(cost[r, c]) & (barred[r, c] < BARRED / 10)
             r, c = r[ok], c[ok]
             out.append(pd.DataFrame({pair: x[pair].iloc[0], "cell_a": x.cell_id.to_numpy()[r], "cell_b": y.cell_id.to_numpy()[c], "dist": cost[r, c], "fold": fold}))
-            barred[r, c] = 1e18
+            barred[r, c] = BARRED
         return pd.concat(out)
 
     kind = a.schema[pair].dataType.simpleString()
     left, right = (d.select(*(F.col(c).alias(c) for c in (pair, "cell_id", "vec"))) for d in (a, b))
-    return left.groupBy(pair).cogroup(right.groupBy(pair)).applyInPandas(run, f"{pair} {kind}, cell_a long, cell_b long, dist double, fold int")
+    large = left.select(pair, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(pair, F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy(pair).agg(
+        F.sum("l").alias("l"), F.sum("r").alias("r")).where(F.greatest("l", "r") > max_side)
+    beyond = None
+    if large.limit(1).count():
+        large = materialize(large.select(pair), "match-large")
+        beyond = _folds_in_rounds(left.join(large, pair, "left_semi"), right.join(large, pair, "left_semi"), pair, metric, folds)
+        left, right = left.join(large, pair, "left_anti"), right.join(large, pair, "left_anti")
+        left, right = (d.select(*(F.col(c).alias(c) for c in (pair, "cell_id", "vec"))) for d in (left, right))
+    exact = left.groupBy(pair).cogroup(right.groupBy(pair)).applyInPandas(run, f"{pair} {kind}, cell_a long, cell_b long, dist double, fold int")
+    return exact if beyond is None else exact.unionByName(beyond)
+
+
+def _nearest_landmarks(landmarks: np.ndarray, metric: str):
+    """The two nearest landmarks of a vector as one number."""
+
+    @F.pandas_udf("long")
+    def place(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype="int64")
+        near = np.argsort(METRICS[metric](np.array(vec.tolist()), landmarks), axis=1, kind="stable")
+        return pd.Series(near[:, 0] * len(landmarks) + near[:, min(1, len(landmarks) - 1)])
+
+    return place
+
+
+def _solved_couples(pdf: pd.DataFrame, metric: str) -> pd.DataFrame:
+    """The points of one block matched anew: couples, the larger side's surplus with null partners, and the duals of b."""
+    a, b = pdf[pdf.cell_a.notna()].reset_index(drop=True), pdf[pdf.cell_b.notna()].reset_index(drop=True)
+    out = pd.DataFrame({"cell_a": a.cell_a, "vec_a": a.vec_a, "barred": a.barred})
+    for c in ("cell_b", "vec_b", "dist"):
+        out[c] = None
+    out["price_a"], out["price_b"] = 0.0, 0.0
+    surplus = b.iloc[:0]
+    if len(a) and len(b):
+        cost = METRICS[metric](np.array(a.vec_a.tolist()), np.array(b.vec_b.tolist()))
+        column = {int(x): j for j, x in enumerate(b.cell_b)}
+        for i, barred in enumerate(a.barred):
+            for x in barred if barred is not None else ():
+                if x in column:
+                    cost[i, column[x]] = BARRED
+        r, c, u, v = solve(cost)
+        partner = np.full(len(a), -1)
+        partner[r] = c
+        has = partner >= 0
+        out.loc[has, "cell_b"] = b.cell_b.to_numpy()[partner[has]]
+        out["vec_b"] = pd.Series([b.vec_b[j] if j >= 0 else None for j in partner], dtype=object)
+        out.loc[has, "dist"] = cost[np.flatnonzero(has), partner[has]]
+        out["price_a"] = u
+        out.loc[has, "price_b"] = v[partner[has]]
+        surplus = b.drop(index=c)
+    elif len(b):
+        surplus = b
+    if len(surplus):
+        rest = pd.DataFrame({"cell_b": surplus.cell_b, "vec_b": surplus.vec_b})
+        for c in ("cell_a", "vec_a", "barred", "dist"):
+            rest[c] = None
+        rest["price_a"], rest["price_b"] = 0.0, 0.0
+        out = pd.concat([out, rest], ignore_index=True) if len(out) else rest
+    for c in ("cell_a", "cell_b"):
+        out[c] = out[c].astype("Int64")
+    out["dist"] = out["dist"].astype("Float64")
+    return out
+
+
+def _block_solver(pair: str, metric: str, block: int, columns: list[str]):
+    """Rows sorted by pair and place, solved in runs of ``block`` rows of one pair; a task holds one run and one batch."""
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _solved_couples(pdf, metric).assign(**{pair: pdf[pair].iloc[0]})[columns]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            while len(rest):
+                same = (rest[pair] == rest[pair].iloc[0]).to_numpy()
+                n = len(rest) if same.all() else int(same.argmin())
+                if n == len(rest) and n < block:
+                    break  # may go on in the next batch
+                yield solved(rest.iloc[: min(n, block)])
+                rest = rest.iloc[min(n, block):].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield solved(rest)
+
+    return run
+
+
+def _in_order(points: DataFrame, pair: str, parts: int) -> DataFrame:
+    """``points`` with their place in the order of (place, cell_id) within the pair: ranks within ranges, and the sizes of the ranges before."""
+    d = materialize(points.repartitionByRange(parts, pair, "place", "cell_id").withColumn("part", F.spark_partition_id()), "match-order")
+    sizes = d.groupBy(pair, "part").agg(F.count("*").alias("n"))
+    before = sizes.select(pair, "part", F.coalesce(F.sum("n").over(Window.partitionBy(pair).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(pair, "part").orderBy("place", "cell_id"))
+    return d.withColumn("rank", rank).join(before, [pair, "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before", "place")
+
+
+def match_in_rounds(a: DataFrame, b: DataFrame, pair: str = "pair", metric: str = "euclidean", block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """(pair, cell_a, vec_a, barred, cell_b, vec_b, dist, price_a, price_b): couples and the surplus of the larger side, whatever the size of the pair.
+
+    ``a`` is (pair, cell_id, vec, barred), barred being cells of b that must not be its partner, ``b`` (pair, cell_id, vec). The start couples points of equal rank in the order of
+    their nearest landmarks. A round orders couples by the landmarks nearest to their point of a, the next one to that of b, with landmarks drawn
+    anew, and solves runs of ``block`` couples exactly. Rounds end when two of them gain less than ``LEAST_GAIN`` of the cost. Prices are the duals of the last round's blocks.
+    """
+    spark = a.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = a.schema[pair].dataType.simpleString()
+    schema = f"{pair} {kind}, cell_a long, vec_a array<double>, barred array<long>, cell_b long, vec_b array<double>, dist double, price_a double, price_b double"
+    columns = [pair, "cell_a", "vec_a", "barred", "cell_b", "vec_b", "dist", "price_a", "price_b"]
+
+    def landmarks(df: DataFrame, cell: str, vec: str, salt: int) -> np.ndarray:
+        rows = df.where(F.col(cell).isNotNull()).select(cell, vec).orderBy(F.xxhash64(F.lit(salt), cell), cell).limit(LANDMARKS).collect()
+        return np.array([r[vec] for r in rows], float)
+
+    a = a.select(pair, "cell_id", F.col("vec").cast("array<double>").alias("vec"), "barred")
+    b = b.select(pair, "cell_id", F.col("vec").cast("array<double>").alias("vec"))
+    first = landmarks(a, "cell_id", "vec", -1)
+    if not len(first):
+        first = landmarks(b, "cell_id", "vec", -1)
+    if not len(first):
+        return spark.createDataFrame([], schema)
+    place = _nearest_landmarks(first, metric)
+    left = _in_order(a.withColumn("place", place("vec")), pair, parts).select(pair, "rank", F.col("cell_id").alias("cell_a"), F.col("vec").alias("vec_a"), "barred")
+    right = _in_order(b.withColumn("place", place("vec")), pair, parts).select(pair, "rank", F.col("cell_id").alias("cell_b"), F.col("vec").alias("vec_b"))
+    couples = left.join(right, [pair, "rank"], "full").drop("rank")
+    for c in ("dist", "price_a", "price_b"):
+        couples = couples.withColumn(c, F.lit(None).cast("double"))
+    couples, costs = materialize(couples.select(*columns), "match-round"), []
+    for i in range(rounds):
+        own, other = ("a", "b") if i % 2 else ("b", "a")
+        marks = landmarks(couples, f"cell_{own}", f"vec_{own}", i)
+        if not len(marks):
+            marks = landmarks(couples, f"cell_{other}", f"vec_{other}", i)
+        order = [pair, "place", "mix"]
+        placed = couples.withColumn("place", _nearest_landmarks(marks, metric)(F.coalesce(f"vec_{own}", f"vec_{other}"))).withColumn("mix", F.xxhash64(F.lit(i), "cell_a", "cell_b"))
+        fresh = materialize(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns).mapInPandas(_block_solver(pair, metric, block, columns), schema), "match-round")
+        discard(couples)
+        couples = fresh
+        costs.append(couples.agg(F.coalesce(F.sum("dist"), F.lit(0.0))).first()[0])
+        if i >= 3 and costs[-3] - costs[-1] <= LEAST_GAIN * costs[-3]:
+            break
+    return couples
+
+
+def _folds_in_rounds(a: DataFrame, b: DataFrame, pair: str, metric: str, folds: int) -> DataFrame:
+    """``match_pairs`` of large pairs: every fold is matched in rounds, without the matches of those before."""
+    a, out = a.withColumn("barred", F.lit(None).cast("array<long>")), None
+    for fold in range(folds):
+        couples = match_in_rounds(a, b, pair, metric)
+        found = couples.where(F.col("dist") < BARRED / 10).select(pair, "cell_a", "cell_b", "dist", F.lit(fold).alias("fold"))
+        out = found if out is None else out.unionByName(found)
+        if fold + 1 < folds:
+            took = found.select(pair, F.col("cell_a").alias("cell_id"), F.array("cell_b").alias("took"))
+            a = materialize(a.join(took, [pair, "cell_id"], "left").withColumn("barred", F.concat(F.coalesce("barred", F.array().cast("array<long>")), F.coalesce("took", F.array().cast("array<long>")))).drop("took"), "match-barred")
+    return out
+
+
+def lower_bound(couples: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(cost, bound) of the couples of one pair: no matching of all points of the smaller side costs less than ``bound``.
+
+    Weak duality with any prices: each point of the smaller side pays its cheapest difference of distance and price, plus the sum of the prices of the
+    larger side, none of which may lie above 0 unless the sides are even. All pairs of points are visited, block by block.
+    """
+    one = couples.agg(F.count("cell_a").alias("na"), F.count("cell_b").alias("nb")).first()
+    small, big = ("a", "b") if one.na <= one.nb else ("b", "a")
+    price = F.coalesce(f"price_{big}", F.lit(0.0))
+    price = price if one.na == one.nb else F.least(price, F.lit(0.0))
+    side = lambda s: couples.where(F.col(f"cell_{s}").isNotNull())
+    payers = side(small).select(F.col(f"cell_{small}").alias("cell_id"), F.col(f"vec_{small}").alias("vec"))
+    # the price travels as the last component
+    priced = side(big).select(F.col(f"cell_{big}").alias("cell_id"), F.concat(f"vec_{big}", F.array(price)).alias("vec"))
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame()
+        v = np.array(y.vec.tolist())
+        pays = METRICS[metric](np.array(x.vec.tolist()), v[:, :-1]) - v[None, :, -1]
+        return pd.DataFrame({"cell_id": x.cell_id, "pays": pays.min(axis=1)})
+
+    pays = block_pairs(payers, priced, kernel, "cell_id long, pays double").groupBy("cell_id").agg(F.min("pays").alias("pays")).agg(F.sum("pays").alias("pays"))
+    prices = side(big).agg(F.sum(price).alias("prices"))
+    return couples.agg(F.sum("dist").alias("cost")).join(pays).join(prices).select("cost", (F.col("pays") + F.col("prices")).alias("bound"))
 
 
 def match(a: DataFrame, b: DataFrame, metric: str = "euclidean") -> DataFrame:

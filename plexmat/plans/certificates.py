@@ -48,6 +48,16 @@ def joi2_optimality(spark, sf):
     return one_to_one(best_match(spark, sf), []).join(d)
 
 
+@query("joi2_rounds", f"{W}, {SIDES} SELECT least(na, nb) AS n, least(na, nb) AS cells_a, least(na, nb) AS cells_b, true AS bounded, true AS near FROM s")
+def joi2_rounds(spark, sf):
+    """The matching of pairs beyond one task, here in small blocks: one to one, complete, and within 15 % of a lower bound of every matching."""
+    a, b = halves(spark, sf)
+    one = F.lit(0).alias("pair")
+    couples = assignment.match_in_rounds(a.select(one, "cell_id", "vec", F.lit(None).cast("array<long>").alias("barred")), b.select(one, "cell_id", "vec"), block=100)
+    d = assignment.lower_bound(couples).select((F.col("bound") <= F.col("cost") + 1e-7).alias("bounded"), (F.col("cost") <= 1.15 * F.col("bound")).alias("near"))
+    return one_to_one(couples.where("dist IS NOT NULL"), []).join(d)
+
+
 @query("joi3_positions", f"{S5}, n AS (SELECT dataset_id, count(*) AS n FROM emb GROUP BY 1) SELECT dataset_id, min(n) OVER (ORDER BY dataset_id) AS n, min(n) OVER (ORDER BY dataset_id) AS positions FROM n")
 def joi3_positions(spark, sf):
     """A slice has a position for each cell that the smallest slice so far could hand on, each position once."""

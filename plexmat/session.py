@@ -68,7 +68,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove one written step that nothing reads any more (a loop's former round)."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove this application's written steps; results that still read them can't be used any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, written_dir(spark))

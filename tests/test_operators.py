@@ -297,3 +297,41 @@ def test_a_cluster_session_needs_a_shared_folder(spark):
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: default)))
+
+
+def _cloud(spark, sizes, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = [(p, i, rng.normal(size=3).tolist()) for p, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(rows, "pair int, cell_id long, vec array<double>")
+
+
+def test_rounds_match_completely_and_near_the_optimum(spark):
+    from plexmat.operators import assignment
+
+    none = F.lit(None).cast("array<long>")
+    for n_a, n_b in ((120, 120), (90, 150), (150, 90), (1, 40), (0, 5)):
+        a, b = _cloud(spark, {0: n_a}), _cloud(spark, {0: n_b}, 6)
+        couples = assignment.match_in_rounds(a.withColumn("barred", none), b, block=40)
+        got = couples.toPandas()
+        assert sorted(got.cell_a.dropna()) == list(range(n_a)) and sorted(got.cell_b.dropna()) == list(range(n_b))
+        pairs = got[got.cell_a.notna() & got.cell_b.notna()]
+        assert len(pairs) == min(n_a, n_b) and pairs.dist.notna().all()
+        if min(n_a, n_b):
+            best = assignment.duality(a, b).first().cost
+            assert best - 1e-7 <= pairs.dist.sum() <= 1.1 * best
+            found = assignment.lower_bound(couples).first()
+            assert found.bound <= best + 1e-7
+
+
+def test_large_pairs_go_in_rounds_beside_small_ones(spark, monkeypatch):
+    from plexmat.operators import assignment
+
+    monkeypatch.setattr(assignment, "BLOCK", 30)
+    a, b = _cloud(spark, {1: 20, 2: 60, 3: 70, 4: 3}), _cloud(spark, {1: 25, 2: 60, 3: 55, 5: 2}, 6)
+    got = assignment.match_pairs(a, b, folds=2, max_side=40).toPandas()
+    small = assignment.match_pairs(a.where("pair = 1"), b.where("pair = 1"), folds=2).toPandas()
+    want = {(r.cell_a, r.cell_b, r.fold) for r in small.itertuples()}
+    assert {(r.cell_a, r.cell_b, r.fold) for r in got[got["pair"] == 1].itertuples()} == want
+    assert got.groupby(["pair", "fold"]).size().to_dict() == {(1, 0): 20, (1, 1): 20, (2, 0): 60, (2, 1): 60, (3, 0): 55, (3, 1): 55}
+    for keys in (["pair", "fold", "cell_a"], ["pair", "fold", "cell_b"], ["pair", "cell_a", "cell_b"]):
+        assert not got.duplicated(keys).any()
