@@ -13,13 +13,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.length("value") > 1)
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, at, value): lines with the start of their block of the file; ``at`` rises within a block."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(position, value): lines of a small side file (barcodes, genes, labels) in file order, from 0.
+    """(position, value): lines in file order, from 0; several files follow each other by path.
 
-    Sorted by (file, place in the file) through Spark's row index, not by a global counter on the driver.
+    Lines are numbered within their block of the file, by as many tasks as there are blocks; only the sizes of the blocks are summed in order.
     """
-    lines = spark.read.option("wholetext", False).text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.select((F.row_number().over(Window.orderBy("at")) - 1).alias("position"), F.col("value"))
+    lines = _placed_lines(spark, path)
+    within = F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "start", F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.withColumn("within", within).join(before, ["file", "start"]).select((F.col("before") + F.col("within") - 1).alias("position"), "value")
 
 
 def read_mtx(spark: SparkSession, directory: str, dataset_id: str, genes_file: str = "genes.tsv", barcodes_file: str = "barcodes.tsv", matrix_file: str = "matrix.mtx") -> DataFrame:
@@ -28,14 +37,14 @@ def read_mtx(spark: SparkSession, directory: str, dataset_id: str, genes_file: s
     Cells are named by their barcode, genes by the last column of the gene file (the symbol).
     """
     parts = F.split(F.trim("value"), r"\s+")
-    body = spark.read.text(f"{directory}/{matrix_file}").where(~F.col("value").startswith("%"))
-    triples = body.select(parts.alias("p")).where(F.size("p") == 3).select(
+    body = _placed_lines(spark, f"{directory}/{matrix_file}").where(~F.col("value").startswith("%"))
+    # the size line is the first that is no comment: one row, found by an aggregate and dropped by its place
+    size_line = body.agg(F.min(F.struct("start", "at")).alias("size_line"))
+    triples = body.join(F.broadcast(size_line)).where(F.struct("start", "at") != F.col("size_line")).select(parts.alias("p")).where(F.size("p") == 3).select(
         F.col("p")[0].cast("long").alias("g"), F.col("p")[1].cast("long").alias("c"), F.col("p")[2].cast("double").alias("x"))
-    # the size line has no gene or cell of its own numbers beyond the side files, so the joins drop it unless all three agree
     genes = numbered_lines(spark, f"{directory}/{genes_file}").select((F.col("position") + 1).alias("g"), F.element_at(F.split("value", "\t"), -1).alias("gene_id"))
     cells = numbered_lines(spark, f"{directory}/{barcodes_file}").select((F.col("position") + 1).alias("c"), F.col("value").alias("cell_id"))
-    first = body.limit(1).select(parts.alias("p")).select(F.col("p")[0].cast("long").alias("g"), F.col("p")[1].cast("long").alias("c"), F.col("p")[2].cast("double").alias("x"))
-    return triples.exceptAll(first).join(genes, "g").join(cells, "c").select(F.lit(dataset_id).alias("dataset_id"), "cell_id", "gene_id", "x")
+    return triples.join(genes, "g").join(cells, "c").select(F.lit(dataset_id).alias("dataset_id"), "cell_id", "gene_id", "x")
 
 
 def read_wide(spark: SparkSession, path: str, dataset_id: str, sep: str = ",", features_in_rows: bool = True, keep_zeros: bool = False) -> DataFrame:

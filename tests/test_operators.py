@@ -335,3 +335,21 @@ def test_large_pairs_go_in_rounds_beside_small_ones(spark, monkeypatch):
     assert got.groupby(["pair", "fold"]).size().to_dict() == {(1, 0): 20, (1, 1): 20, (2, 0): 60, (2, 1): 60, (3, 0): 55, (3, 1): 55}
     for keys in (["pair", "fold", "cell_a"], ["pair", "fold", "cell_b"], ["pair", "cell_a", "cell_b"]):
         assert not got.duplicated(keys).any()
+
+
+def test_lines_keep_their_order_over_blocks_of_a_file(spark, tmp_path):
+    lines = [f"cell {i} {'x' * (i % 7)}" for i in range(500)]
+    (tmp_path / "barcodes.tsv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "genes.tsv").write_text("".join(f"id{i}\tg{i}\n" for i in range(3)))
+    # the last triple equals the size line
+    triples = [(1 + i % 3, 1 + i, i + 1) for i in range(498)] + [(3, 500, 499)]
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate\n% made\n3 500 499\n" + "".join(f"{g} {c} {x}\n" for g, c, x in triples))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        numbered = readers.numbered_lines(spark, str(tmp_path / "barcodes.tsv"))
+        assert sorted((r.position, r.value) for r in numbered.collect()) == list(enumerate(lines))
+        got = readers.read_mtx(spark, str(tmp_path), "d").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((r.gene_id, r.cell_id, r.x) for r in got) == sorted((f"g{g - 1}", lines[c - 1], float(x)) for g, c, x in triples)
