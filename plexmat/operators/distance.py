@@ -46,7 +46,13 @@ def _canberra(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"euclidean": _euclidean, "sqeuclidean": _sqeuclidean, "l1": _l1, "canberra": _canberra}
+def _ward(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ward distance of clusters given as centroid with the size as last component; of two single points it is Euclidean."""
+    m, n = a[:, -1, None], b[None, :, -1]
+    return np.sqrt(2 * m * n / (m + n) * _sqeuclidean(a[:, :-1], b[:, :-1]))
+
+
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"euclidean": _euclidean, "sqeuclidean": _sqeuclidean, "l1": _l1, "canberra": _canberra, "ward": _ward}
 
 
 def distance(a: str, b: str, metric: str = "euclidean") -> Column:

@@ -242,6 +242,33 @@ def test_trees(spark):
     assert max(r["count"] for r in leaves) == 24 and len(leaves) == 3 * 23
 
 
+def test_trees_in_rounds_equal_those_of_one_task(spark):
+    import numpy as np
+
+    from plexmat.operators import grouped
+
+    g = np.random.default_rng(5)
+    rows = [(d, 7 * i + d, g.normal(size=3).tolist()) for d, n in ((0, 60), (1, 30), (2, 6), (3, 1)) for i in range(n)]
+    p = spark.createDataFrame(rows, "dataset_id int, cell_id long, vec array<double>")
+    tree = lambda bound: sorted((r.dataset_id, r.node, r.left, r.right, round(r.height, 9), r["size"]) for r in grouped.merge_tree(p, bound=bound).collect())
+    assert tree(12) == tree(1000)
+    cut = lambda k, bound: sorted(tuple(r) for r in grouped.hierarchical(p, k, bound=bound).collect())
+    assert cut(4, 12) == cut(4, 1000)
+
+
+def test_trees_in_rounds_with_equal_points(spark):
+    from plexmat.operators import grouped
+
+    p = spark.createDataFrame([(0, i, [float(i % 4), 0.0]) for i in range(40)], "dataset_id int, cell_id long, vec array<double>")
+    tree = grouped.merge_tree(p, bound=5).collect()
+    assert len(tree) == 39 and sum(r.height > 0 for r in tree) == 3 and sorted(c for r in tree for c in (r.left, r.right)) == list(range(78))
+    assert all(r.left < r.node and r.right < r.node for r in tree)
+    got = {r.cell_id: r.cluster for r in grouped.hierarchical(p, 4, bound=5).collect()}
+    assert all(got[i] == i % 4 for i in range(40))
+    empty = p.where("dataset_id > 0")
+    assert grouped.merge_tree(empty).count() == 0 and grouped.hierarchical(empty, 3).count() == 0
+
+
 def test_constrained_kmeans_respects_its_links(spark):
     from plexmat.operators import grouped
 
