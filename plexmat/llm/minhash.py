@@ -20,8 +20,8 @@ A pair at the threshold of 0.85 misses all bands with probability 4e-7 (0.80: 8e
 (bound 0.69, five standard deviations; 0.80: 0.62) with probability 3e-7.
 
 Edge cases: a null or empty text, or one without words, has an empty set: n_shingles 0 and linked with nothing.
-Rows that repeat a doc_id are one node. A row without doc_id is returned unlinked, with a null component
-and kept. Other columns of the input are not read, whatever their names. An empty table gives an empty result.
+Rows that repeat a doc_id are one node: their sets are linked, and every row has the node's component (a row without words stays
+apart, whatever its id). A row without doc_id is returned unlinked, with a null component and kept. Other columns of the input are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plexmat.llm.textkit import LOWER, U, combine_rows, mix64, span_hashes, text_bytes, text_chunks, words
+from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, linked_sql, linking, set_blobs, set_classes, shingle_sets, size_fits
+from plexmat.llm.textkit import U, mix64, text_chunks
 from plexmat.llm.tuning import unused
 from plexmat.operators.components import connected_components
 from plexmat.session import materialize
@@ -66,17 +67,6 @@ def banded(sig: np.ndarray, percent: int) -> np.ndarray:
     return sig[:, : bands * rows].reshape(-1, bands, rows)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    n = len(offsets) - 1
-    data = LOWER[data]
-    starts, ends, rows = words(data, offsets)
-    grams, owner = combine_rows(span_hashes(data, starts, ends), rows, n, width)
-    order = np.argsort(owner, kind="stable")
-    grams, bounds = grams[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
-    return [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(n)]
-
-
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """One row of compressed registers for each non-empty set; rows of empty sets are zero."""
     out = np.zeros((len(sets), BUCKETS), np.uint16)
@@ -140,15 +130,11 @@ def unpack(blobs: list[bytes]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_chunks(batches, "text"):
-        sets = shingle_sets(data, offsets)
+        sets = shingle_sets(data, offsets, SHINGLE)
         sig = registers(sets)[:, :USED]
-        n = np.array([len(s) for s in sets], np.int64)
-        with np.errstate(over="ignore"):
-            d1 = np.array([mix64(s).sum(dtype=U) for s in sets], U).view(np.int64)
-            d2 = np.array([mix64(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) for s in sets], U).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), pa.array([x.tobytes() for x in sig], pa.binary())],
-            ["doc_id", "n", "d1", "d2", "sig"])
+            [rows.column("doc_id"), rows.column("key"), *digests(sets), pa.array([x.tobytes() for x in sig], pa.binary())],
+            ["doc_id", "key", "n", "d1", "d2", "sig"])
 
 
 def _bands(percent: int):
@@ -176,34 +162,6 @@ def _estimate_udf(sig_a: pd.Series, sig_b: pd.Series, n_a: pd.Series, n_b: pd.Se
     return pd.Series(estimate(unpack(list(sig_a)), unpack(list(sig_b)), n_a.to_numpy(), n_b.to_numpy()))
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                left, right = (shingle_sets(*text_bytes(part.column(c))) for c in ("text_a", "text_b"))
-                ok = np.zeros(part.num_rows, bool)
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    both = int(np.isin(x, y, assume_unique=True).sum())
-                    ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok)], ["a", "b", "ok"])
-
-    return run
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(needed, "doc_id")
-    return (
-        pairs.select("a", "b")
-        .join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .mapInArrow(_confirm(percent), "a long, b long, ok boolean")
-        .where("ok").select("a", "b")
-    )
-
-
 def first_shared_band(sig_a: np.ndarray, sig_b: np.ndarray, percent: int) -> np.ndarray:
     """The first band in which aligned rows of registers agree (they share one at least)."""
     return (banded(sig_a, percent) == banded(sig_b, percent)).all(axis=2).argmax(axis=1)
@@ -284,12 +242,7 @@ def _large_bucket(bound: float, percent: int):
             for part in np.array_split(at, max(1, len(at) // 200)):
                 if not len(part):
                     continue
-                sizes = n_r[part]
-                values = np.concatenate([sets_r[x] for x in part])
-                own_set = sets_l[k]
-                inside = own_set[np.minimum(np.searchsorted(own_set, values), len(own_set) - 1)] == values
-                both = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
-                for x in part[100 * both >= percent * (n_l[k] + sizes - both)]:
+                for x in part[linking(sets_l[k], n_l[k], [sets_r[x] for x in part], n_r[part], percent)]:
                     if root(comp_r[x]) != root(comp_l[k]):
                         parent[root(comp_r[x])] = root(comp_l[k])
                         links.append((min(rep_l[k], rep_r[x]), max(rep_l[k], rep_r[x])))
@@ -298,12 +251,6 @@ def _large_bucket(bound: float, percent: int):
     return run
 
 
-def _set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in text_chunks(batches, "text"):
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("rep"), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["rep", "shingles"])
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_exact) of every row of ``docs``.
 
@@ -312,13 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of the same set.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialize(
-        source.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, sig binary"), "minhash-sketch")
-    classes = materialize(
-        sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(
-            F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.count("*").alias("n_exact")),
-        "minhash-classes")
+    source = keyed_texts(docs, id_col, text_col)
+    sketches = materialize(source.mapInArrow(_sketch, "doc_id long, key long, n long, d1 long, d2 long, sig binary"), "minhash-sketch")
+    classes = set_classes(sketches, "sig")
     reps = classes.select("rep", "n", "sig")
     bands = materialize(reps.mapInArrow(_bands(percent), "key long, band int, rep long"), "minhash-bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
@@ -330,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         return (
             pairs.join(a, "a").join(b, "b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            .where(size_fits(F.col("n_a"), F.col("n_b"), percent))
             .withColumn("est", _estimate_udf("sig_a", "sig_b", "n_a", "n_b"))
             .where(F.col("est") >= bound)
         )
@@ -339,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the likeliest hub of each document first; what this leaves apart is compared below
     best = signed(stars).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
     tested = materialize(best, "minhash-tested")
-    edges = materialize(confirm(tested, source, percent), "minhash-edges")
+    edges = materialize(confirm(tested, classes, source, percent, SHINGLE), "minhash-edges")
     labels = connected_components(edges, "a", "b")
     comp = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
@@ -353,9 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fresh = materialize(small.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
     weights = apart.where(F.col("size") > SMALL).groupBy("key").agg(F.sum("n").alias("weight"))
     large = apart.where(F.col("size") > SMALL).join(weights, "key")
-    needed = large.select("rep").distinct()
-    own_sets = source.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep").dropDuplicates(["rep"]).mapInArrow(
-        _set_blobs, "rep long, shingles binary")
+    own_sets = set_blobs(large, classes, source, SHINGLE)
     n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES))
     # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
     dealt = (
@@ -364,15 +305,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "n", "sig", "shingles")
     )
     joins = dealt.groupBy("key", "bi", "bj").applyInPandas(_large_bucket(bound, percent), "a long, b long")
-    edges = edges.unionByName(materialize(confirm(fresh, source, percent).unionByName(joins), "minhash-edges"))
-    labels = connected_components(edges, "a", "b")
-    final = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "n", "d1", "d2", "n_exact", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
+    edges = edges.unionByName(materialize(confirm(fresh, classes, source, percent, SHINGLE).unionByName(joins), "minhash-edges"))
+    out = components(sketches, classes, edges)
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_exact", F.lit(1)).alias("n_exact"))
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_exact")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -385,16 +321,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def oracle() -> str:
     """The same result from exact set joins in DuckDB SQL, for small tables."""
-    return r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y, c, a.n AS na, b.n AS nb FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
-e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-reach AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node),
-comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1),
+    return linked_sql(SHINGLE, 85) + """,
 same AS (SELECT node, count(*) AS k FROM (SELECT x AS node FROM l WHERE c = na AND c = nb UNION ALL SELECT y FROM l WHERE c = na AND c = nb) GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(comp.c, d.doc_id) = d.doc_id AS kept, 1 + coalesce(same.k, 0) AS n_exact
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.node = d.doc_id LEFT JOIN same ON same.node = d.doc_id"""

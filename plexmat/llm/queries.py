@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plexmat.llm import ctw, decontaminate, filteraudit, hnsw, htmlextract, langid, licenses, minhash, packing, periodic, sharding, suffixdedup
+from plexmat.llm import ctw, decontaminate, filteraudit, hnsw, htmlextract, jaccardjoin, langid, licenses, minhash, packing, periodic, sharding, suffixdedup
 from plexmat.llm.tuning import bounded_batches
 from plexmat.session import table
 
@@ -70,13 +70,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.similar_sets(table(bounded_batches(spark), sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_hnsw, op6_decontaminate, op7_html_extract, op8_license_scan, op9_ctw_scoring, op10_sharding, op11_periodic_runs, op12_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_hnsw, op6_decontaminate, op7_html_extract, op8_license_scan, op9_ctw_scoring, op10_sharding, op11_periodic_runs, op12_filter_audit, op13_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.oracle(), "op8_license_scan": licenses.oracle(), "op11_periodic_runs": periodic.oracle(), "op12_filter_audit": filteraudit.oracle()}
+    return {"op1_minhash_dedup": minhash.oracle(), "op8_license_scan": licenses.oracle(), "op11_periodic_runs": periodic.oracle(), "op12_filter_audit": filteraudit.oracle(), "op13_jaccard_join": jaccardjoin.oracle()}
