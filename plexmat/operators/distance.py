@@ -67,21 +67,21 @@ def distance(a: str, b: str, metric: str = "euclidean") -> Column:
     return square if metric == "sqeuclidean" else F.sqrt(square)
 
 
-def _dealt(points: DataFrame, side: str, groups: list[str], blocks: int, other_blocks: int) -> DataFrame:
+def _dealt(points: DataFrame, side: str, groups: list[str], blocks: int, other_blocks: int, more: list[str] = ()) -> DataFrame:
     own, other = ("ba", "bb") if side == "a" else ("bb", "ba")
     return (
         points.withColumn(own, F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
         # new attributes: two sides of one lineage must not share them in a cogroup
-        .select(*(F.col(c).alias(c) for c in (*groups, "ba", "bb", "cell_id", "vec")))
+        .select(*(F.col(c).alias(c) for c in (*groups, "ba", "bb", "cell_id", "vec", *more)))
     )
 
 
-def block_pairs(a: DataFrame, b: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, groups: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """Run ``kernel`` on every pair of blocks of (groups..., cell_id, vec) with equal groups."""
+def block_pairs(a: DataFrame, b: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, groups: list[str] = (), block: int = BLOCK, more: list[str] = ()) -> DataFrame:
+    """Run ``kernel`` on every pair of blocks of (groups..., cell_id, vec, more...) with equal groups."""
     groups = list(groups)
     na, nb = (max(1, -(-x.count() // block)) for x in (a, b))
-    left, right = _dealt(a, "a", groups, na, nb), _dealt(b, "b", groups, nb, na)
+    left, right = _dealt(a, "a", groups, na, nb, more), _dealt(b, "b", groups, nb, na, more)
     keys = [*groups, "ba", "bb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
 

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from plexmat.operators.distance import knn
 from plexmat.session import materialize
 
 
@@ -86,33 +85,7 @@ def kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
 def bisecting_kmeans(points: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """A hierarchical summary clustering (in the place of a CF tree)."""
     v = _with_vectors(points)
-    return BisectingKMeans(k=k, seed=seed, maxIter=200, tol=1e-9).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
-
-
-def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
-    """(cell_id, cluster): power iteration clustering of the neighbour graph."""
-    p = points.select("cell_id", "vec")
-    edges = knn(p, p, neighbours, exclude_self=True)
-    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("dist"))).alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    model = PowerIterationClustering(k=k, maxIter=20, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight")
-    return model.assignClusters(pairs).select(F.col("id").alias("cell_id"), F.col("cluster").cast("int").alias("cluster"))
-
-
-def spectral_by_poison(points: DataFrame, least: int = 3, max_poison: float = 0.125, most: int = 50) -> DataFrame:
-    """(cell_id, cluster, k): spectral clusters, as many as possible before the worst cluster's poison reaches the bound.
-
-    The number grows from ``least`` on; the last clustering below the bound is the result, that of ``least`` if none is.
-    """
-    from plexmat.operators.clustering import poison
-
-    best = None
-    for k in range(least, most + 1):
-        c = materialize(spectral(points, k).withColumn("k", F.lit(k)), "spectral")
-        worst = poison(points.select("cell_id", "vec").join(c.select("cell_id", F.col("cluster").alias("label")), "cell_id")).agg(F.max("poison")).first()[0]
-        best = c if best is None or worst < max_poison else best
-        if worst is None or worst >= max_poison:
-            return best
-    raise RuntimeError(f"no more than {most} clusters are tried")
+    return BisectingKMeans(k=k, seed=seed, maxIter=200).fit(v).transform(v).select("dataset_id", "cell_id", F.col("prediction").cast("int").alias("cluster"))
 
 
 def _moments(own: DataFrame, weights: str) -> pd.DataFrame:

@@ -170,7 +170,7 @@ def clu3_connected(spark, sf):
     from plexmat.operators.components import connected_components
 
     p = points(spark, sf)
-    c = materialize(grouped.neighbour_communities(p, 8, 0.5, connected=True), "communities")
+    c = materialize(grouped.neighbour_communities(p, 8, 0.5, refined=True), "communities")
     e = distance.knn(p.select("cell_id", "vec"), p.select("cell_id", "vec"), 8, exclude_self=True)
     of = lambda x: c.select(F.col("cell_id").alias(x), F.col("cluster").alias(f"c{x}"))
     inner = e.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst")

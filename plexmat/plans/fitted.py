@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, distance, grouped, lineage, matrix, metrics, models
+from plexmat.operators import align, assignment, density, distance, grouped, lineage, matrix, metrics, models, spectral
 from plexmat.plans import basket
 from plexmat.plans.basket import r
 from plexmat.plans.points import D, W, halves, points
@@ -110,12 +110,12 @@ def clu2(spark, sf):
 
 @query("clu5_spectral")
 def clu5(spark, sf):
-    return models.spectral(points(spark, sf), 5)
+    return spectral.spectral(points(spark, sf), 5)
 
 
 @query("clu10_spectral_growth")
 def clu10(spark, sf):
-    return models.spectral_by_poison(points(spark, sf))
+    return spectral.spectral_by_poison(points(spark, sf))
 
 
 @query("clu6_kmeans")
@@ -195,7 +195,7 @@ def clu3(spark, sf):
 
 @query("clu3_leiden")
 def clu3b(spark, sf):
-    return grouped.neighbour_communities(points(spark, sf), 8, 0.5, connected=True)
+    return grouped.neighbour_communities(points(spark, sf), 8, 0.5, refined=True)
 
 
 @query("clu6_mean_shift")
@@ -205,7 +205,22 @@ def clu6d(spark, sf):
 
 @query("clu7_core_distances", f"{W} SELECT cell_id, round(max(d), 6) AS core FROM (SELECT a.cell_id, {D} AS d, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS r FROM emb a, emb b) WHERE r <= 5 GROUP BY 1")
 def clu7b(spark, sf):
-    return grouped.core_distances(points(spark, sf)).select("cell_id", r("core"))
+    return density.core_distances(points(spark, sf)).select("cell_id", r("core"))
+
+
+#: A walk in SQL: every step takes the unvisited point with the lightest edge from what is visited, and lowers the others' edges by its own.
+WALK = f"""{W[:4]} RECURSIVE {W[5:]}, d AS MATERIALIZED (SELECT a.cell_id AS s, b.cell_id AS t, {D} AS d FROM emb a, emb b),
+core AS (SELECT s, d AS core FROM (SELECT s, d, row_number() OVER (PARTITION BY s ORDER BY d, t) AS r FROM d) WHERE r = 5),
+m AS MATERIALIZED (SELECT d.s, t, [round(greatest(d, x.core, y.core), 9), least(d.s, t), greatest(d.s, t)]::DOUBLE[] AS e FROM d JOIN core x ON x.s = d.s JOIN core y ON y.s = t),
+walk AS (SELECT 0 AS step, cell_id AS v, [CASE WHEN cell_id = (SELECT min(cell_id) FROM emb) THEN -1 ELSE 1e300 END, 0, 0]::DOUBLE[] AS e, NULL::INTEGER AS place FROM emb
+  UNION ALL
+  SELECT step + 1, v, CASE WHEN place IS NULL AND v <> p AND m.e < x.e THEN m.e ELSE x.e END, CASE WHEN v = p THEN step ELSE place END
+  FROM (SELECT *, first_value(v) OVER (ORDER BY place IS NOT NULL, e, v) AS p FROM walk WHERE step < (SELECT count(*) FROM emb)) x JOIN m ON m.s = p AND m.t = v)"""
+
+
+@query("clu7_density_order", f"{WALK} SELECT v AS cell_id, place::BIGINT AS place, CASE WHEN place > 0 THEN round(e[1], 6) END AS reachability FROM walk WHERE step = (SELECT count(*) FROM emb)")
+def clu7_order(spark, sf):
+    return density.density_ordering(points(spark, sf)).select("cell_id", "place", r("reachability"))
 
 
 @query("clu8_coclust")
