@@ -6,7 +6,7 @@ other characters than a-z and 0-9 to one space, so that comment marks at line st
 in it, word for word, whatever leads in or follows; each counts once a sentence, at its first place, and one that is part of a longer one
 found there doesn't. The identifiers of a text, in order, form a sequence, and a licence is reported if the
 identifiers of one of its rules occur in the sequence in the rule's order (others may stand between) and none
-that rules it out occurs.
+that rules it out occurs. Each rule takes one pass over the sequence, whatever repeats in it.
 
 Edge cases: a null or empty text has no sentence and no licence; a sentence that comes again counts again; rows and ids are returned
 as they are, one result row for each input row; other columns are not read; an empty table gives an empty result.
@@ -35,37 +35,42 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The ordered identifiers of the known sentences in a text."""
     known = F.array(*(F.struct(F.lit(f" {normal(v)} ").alias("text"), F.lit(k).alias("id")) for k, v in sentences.items()))
 
-    def of_sentence(s: Column) -> Column:
+    def plain(s: Column) -> Column:
         words = F.concat(F.lit(" "), F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "), F.lit(" "))
-        words = F.regexp_replace(words, " +", " ")
-        found = F.filter(known, lambda k: F.contains(words, k["text"]))
+        return F.regexp_replace(words, " +", " ")
+
+    def in_text_order(found: Column, words: Column) -> Column:
         whole = F.filter(found, lambda k: ~F.exists(found, lambda o: (o["id"] != k["id"]) & F.contains(o["text"], k["text"])))
         return F.transform(F.array_sort(F.transform(whole, lambda k: F.struct(F.position(k["text"], words).alias("at"), k["id"].alias("id")))), lambda x: x["id"])
 
+    def of_sentence(words: Column) -> Column:
+        # a list of one binds what was found to a variable, which is worked out once
+        found = F.filter(known, lambda k: F.contains(words, k["text"]))
+        return F.flatten(F.transform(F.array(found), lambda f: in_text_order(f, words)))
+
     told = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(TELLTALE))
-    return F.when(text.rlike(TELLTALE), F.flatten(F.transform(told, of_sentence))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(TELLTALE), F.flatten(F.transform(F.transform(told, plain), of_sentence))).otherwise(F.array().cast("array<string>"))
 
 
-def rule_pattern(ids: list[str]) -> str:
-    """A pattern for ids in this order inside ' a b c ', others between them allowed."""
-    return "(?: .*)? ".join(["", *ids])[len("(?: .*)? ") - 1 :] + " "
+def in_order(ids: list[str]) -> Column:
+    """These identifiers occur in ``ids`` in this order, others between them: one pass, which steps on when the next one comes."""
+    wanted = F.array(*map(F.lit, ids))
+    if len(ids) == 1:
+        return F.array_contains("ids", ids[0])
+    return F.aggregate("ids", F.lit(0), lambda at, x: at + F.coalesce(x == F.get(wanted, at), F.lit(False)).cast("int")) == len(ids)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str], list[str]]] = RULES) -> DataFrame:
     """(doc_id, n_known, sentence_ids, licenses) of every row: ids in text order and sorted licences, joined by spaces."""
-    sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-
     def applies(ids: list[str], unless: list[str]) -> Column:
-        found = F.col("sequence").rlike(rule_pattern(ids))
-        return found & ~F.col("sequence").rlike(f" (?:{'|'.join(unless)}) ") if unless else found
+        return in_order(ids) & ~F.arrays_overlap("ids", F.array(*map(F.lit, unless))) if unless else in_order(ids)
 
     found = F.array(*(F.when(applies(ids, unless), F.lit(name)) for name, ids, unless in rules))
     names = F.when(F.size("ids") > 0, F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), " ")).otherwise("")
     return (
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .select("doc_id", sentence_ids(F.col("text"), sentences).alias("ids"))
-        .withColumn("sequence", sequence)
         .select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("sentence_ids"), names.alias("licenses"))
     )
 

@@ -383,6 +383,20 @@ def test_licence_rules(spark, tricky, nothing):
     assert {i for _, ids, unless in licenses.RULES for i in [*ids, *unless]} <= set(s)
 
 
+def test_repeated_notices_take_linear_time(spark):
+    """10,000 notices in one text (about 5 MB), most of a rule but not its last sentence; then the same with it."""
+    import time
+
+    s = licenses.SENTENCES
+    notice = f"{s['bsd_grant']} {s['bsd_source']}. {s['bsd_binary']}.\n\n"
+    licences_of(spark, [notice])
+    began = time.time()
+    assert licences_of(spark, [notice * 10_000, notice * 10_000 + s["bsd_endorse"] + "."]) == ["BSD-2-Clause", "BSD-3-Clause"]
+    assert time.time() - began < 60
+    assert licences_of(spark, [f"{s['bsd_binary']}. {s['bsd_source']}. {s['bsd_grant']} " * 3]) == ["BSD-2-Clause"]
+    assert licences_of(spark, [f"{s['bsd_binary']}. {s['bsd_source']}. {s['bsd_grant']} " * 2]) == [""]
+
+
 def test_wrapped_licence_texts(spark):
     """As they stand in files: wrapped, indented, behind comment marks, with a lead-in."""
     import textwrap
