@@ -8,7 +8,7 @@ flat neighbour arrays. One task loads a shard's index once and streams all queri
 aggregation of at most ``k + 1`` rows per query and shard. Scores are computed in double precision on the original vectors.
 
 Edge cases: null, zero or empty vectors and vectors with null or non-finite components take no part, nor do rows without an id; vectors of different
-lengths never meet (only those of the most frequent length take part); rows that repeat an id count once;
+lengths never meet (only those of the most frequent length take part); of rows that repeat an id the smallest vector (component by component) stands for it;
 with fewer candidates than ``k`` all are returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -253,9 +253,11 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     dims = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if dims is not None:
         rows = rows.where(F.size("vector") == dims.dim)
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        rows = materialize(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "hnsw-rows")
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     # the k + 1 smallest ids of equal vectors are all that a result can hold; the limit also applies before the shuffle
-    nodes = rows.distinct().withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1).groupBy("vector").agg(
+    nodes = rows.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1).groupBy("vector").agg(
         F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = materialize(nodes, "hnsw-nodes")
     n = nodes.count()
@@ -263,7 +265,7 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     # one partition a shard, both for the graphs and for the search
     index = materialize(
         nodes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").mapInPandas(_index, "shard int, " + _INDEX), "hnsw-index")
-    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    asked = rows.where(F.col("vec_id") % every == 0)
     queries = materialize(asked.groupBy("vector").agg(F.min("vec_id").alias("query")), "hnsw-queries")
     dealt = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     both = dealt.unionByName(index, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("n").isNull())

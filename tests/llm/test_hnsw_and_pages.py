@@ -42,6 +42,14 @@ def test_vectors_that_take_no_part(spark):
     assert hnsw.neighbours(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    """The smallest vector stands for an id, as a candidate and as a query."""
+    rows = [(1, [5.0, 1.0]), (1, [1.0, 1.0]), (20, [9.0, 0.0]), (20, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in hnsw.neighbours(df).orderBy("rank").collect()]
+    assert got == [(20, 1, 2, 2.0), (20, 2, 1, 1.0), (20, 3, 3, 0.0)]
+
+
 def test_model_learns_the_labelled_pages():
     model = htmlextract.train(LABELLED_PAGES)
     wrong = total = 0
