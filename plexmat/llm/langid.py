@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexmat.llm.textkit import LOWER, text_chunks
-from plexmat.llm.tuning import unused
+from plexmat.llm.tuning import by_place
 
 DIMS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -183,5 +183,6 @@ def keep_identified(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", tex
     """
     doc_id = F.col(id_col).cast("long")
     model = fit(docs.where(doc_id.isNotNull() & ~held_out(doc_id, folds)), text_col, lang_col)
-    (letter_col,) = unused(docs, "has_letter")
-    return docs.withColumn(letter_col, has_letter(text_col)).mapInArrow(_keep(model, text_col, letter_col), docs.schema)
+    plain, (text,) = by_place(docs, text_col)
+    judged = plain.withColumn("has_letter", has_letter(text)).mapInArrow(_keep(model, text, "has_letter"), plain.schema)
+    return judged.toDF(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexmat.llm.textkit import BYTE_CODE, U, mix64, powers, span_hashes, text_bytes, text_chunks
-from plexmat.llm.tuning import unused
+from plexmat.llm.tuning import by_place
 from plexmat.session import materialize
 
 MIN_LENGTH = 100
@@ -449,7 +449,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut from the text; all columns and rows stay."""
-    own_id, own_key, own_spans = unused(docs, "cut_id", "cut_key", "cut_spans")
-    spans = repeated_spans(keyed(docs, id_col, text_col)).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("spans").alias(own_spans))
-    marked = docs.join(spans, (F.col(id_col).cast("long") == F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left").drop(own_id, own_key)
-    return marked.mapInArrow(_rewrite(own_spans, text_col), docs.schema)
+    spans = repeated_spans(keyed(docs, id_col, text_col)).select(F.col("doc_id").alias("cut_id"), F.col("key").alias("cut_key"), "spans")
+    plain, (own_id, text) = by_place(docs, id_col, text_col)
+    marked = plain.join(spans, (F.col(own_id).cast("long") == F.col("cut_id")) & (F.xxhash64(text) == F.col("cut_key")), "left").drop("cut_id", "cut_key")
+    return marked.mapInArrow(_rewrite("spans", text), plain.schema).toDF(*docs.columns)

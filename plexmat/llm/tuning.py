@@ -20,3 +20,9 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with plain column names by place (Arrow functions look columns up by name, and a dot would be read as a path), and what ``names`` are called then."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain), [plain[docs.columns.index(name)] for name in names]

@@ -19,7 +19,7 @@ def tricky(spark):
     from pyspark.sql import functions as F
 
     clash = {c: F.lit(7) for c in ("n", "key", "rep", "shard", "item", "spans", "uid", "length", "sig", "id", "hash", "held_out", "score", "bits", "size", "block", "word", "component_id")}
-    return df.withColumns(clash)
+    return df.withColumns(clash).withColumn("meta.src", F.lit("x")).withColumn("c0", F.lit(1))
 
 
 @pytest.fixture(scope="session")
