@@ -35,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffixdedup.deduplicate(docs)
     if "n_chars" in cut.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return cut.where(F.length("text") > 0).select(*docs.columns)
+    return cut.where(F.length("text") > 0)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
