@@ -3,9 +3,9 @@
 The matrix has a row for each document and a column for each distinct word of the corpus. It is built in CSR shards:
 
 1. every task cuts its documents into chunks of about 2 MB of text; a chunk gives one shard: row pointers, local word numbers and counts, and the
-   chunk's distinct words;
-2. the distinct words of all shards are dealt into ``BUCKETS`` buckets by hash; a rank inside its bucket and the bucket's offset give each
-   word its column. That is one shuffle of (shard, distinct word), never of tokens: a word that stands in every document is one row a shard;
+   chunk's distinct words, dealt into buckets by hash (a bucket for each ``BUCKET_BYTES`` of the corpus, so that none outgrows a task);
+2. a bucket's words of all shards meet in one task, which numbers the distinct ones in order; the bucket's offset makes that the word's column.
+   What is shuffled are compressed lists of a shard's distinct words, never tokens: a word that stands in every document comes once a shard;
 3. the columns go back to their shard and replace the local numbers.
 
 Row sums of the matrix are numbers of words (filter A), nonzero counts of a row are numbers of distinct words (filter B). Flags C and D are counted from the
@@ -27,76 +27,124 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexmat.llm.textkit import span_hashes, text_chunks, words
+from plexmat.llm.textkit import U, span_hashes, text_chunks, words
 from plexmat.session import materialize
 
 FILTERS = "ABCDE"
-BUCKETS = 16384
+BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 8
 MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|", np.uint8))
 _ROWS = [("doc_id", pa.int64(), "bigint"), ("part", pa.string(), "string"), ("same", pa.binary(), "binary"), ("n_points", pa.int64(), "bigint"), ("n_upper", pa.int64(), "bigint"), ("marked", pa.bool_(), "boolean")]
+_MATRIX = ["indptr", "local", "counts"]
 _LOCAL = "shard long, " + ", ".join(f"{n} array<{t}>" for n, _, t in _ROWS) + ", indptr binary, local binary, counts binary, words array<binary>"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Compressed, with the size in front."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words as their number, their lengths and their bytes, compressed."""
+    size = ends - starts
+    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return packed(np.concatenate([np.concatenate([[len(size)], size]).astype("<u4").view(np.uint8), data[at]]))
+
+
+def unpacked_words(blob: bytes) -> pa.Array:
+    raw = unpacked(blob, np.uint8)
+    n = int(raw[:4].view("<u4")[0])
+    offsets = np.concatenate([[0], np.cumsum(raw[4 : 4 + 4 * n].view("<u4"))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[4 + 4 * n :])])
+
+
 def per_row(hit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each text are hit."""
     return np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
 
 
-def local_matrix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(indptr, local word numbers, counts, distinct words) of a chunk of texts."""
+def local_matrix(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(indptr, local word numbers, counts, packed distinct words of each bucket) of a chunk of texts; words are numbered bucket by bucket."""
     starts, ends, row = words(data, offsets)
-    _, first, code = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    cell, counts = np.unique(row * max(1, len(first)) + code, return_counts=True)
-    at, local = np.divmod(cell, max(1, len(first)))
+    found, first, code = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    bucket = (found % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(found), np.int64)
+    number[order] = np.arange(len(found))
+    cell, counts = np.unique(row * max(1, len(found)) + number[code], return_counts=True)
+    at, local = np.divmod(cell, max(1, len(found)))
     indptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(offsets) - 1))])
-    buffer = data.tobytes()
-    return indptr, local, counts, [buffer[s:e] for s, e in zip(starts[first], ends[first], strict=True)]
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    listed = [first[order[s:e]] for s, e in zip(bounds, bounds[1:], strict=False)]
+    return indptr, local, counts, [packed_words(data, starts[x], ends[x]) if len(x) else b"" for x in listed]
+
+
+def _build(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 33
+        for rows, data, offsets in text_chunks(batches, "text"):
+            indptr, local, counts, found = local_matrix(data, offsets, buckets)
+            mine = [rows.column("doc_id"), rows.column("part"), rows.column("same"), pa.array(per_row((data & 0xC0) != 0x80, offsets)),
+                    pa.array(per_row((data >= 65) & (data <= 90), offsets)), pa.array(per_row(MARKS[data], offsets) > 0)]
+            blobs = [packed(x.astype("<i4")) for x in (indptr, np.diff(local, prepend=0), counts)]
+            listed = [pa.array([x.to_pylist()], pa.list_(t)) for x, (_, t, _) in zip(mine, _ROWS, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), *listed, *(pa.array([x], pa.binary()) for x in blobs), pa.array([found], pa.list_(pa.binary()))],
+                ["shard", *(n for n, _, _ in _ROWS), *_MATRIX, "words"])
+            shard += 1
 
+    return run
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = TaskContext.get().partitionId() << 33
-    for rows, data, offsets in text_chunks(batches, "text"):
-        indptr, local, counts, found = local_matrix(data, offsets)
-        mine = [rows.column("doc_id"), rows.column("part"), rows.column("same"), pa.array(per_row((data & 0xC0) != 0x80, offsets)),
-                pa.array(per_row((data >= 65) & (data <= 90), offsets)), pa.array(per_row(MARKS[data], offsets) > 0)]
-        blobs = [x.astype(np.int32).tobytes() for x in (indptr, local, counts)]
-        listed = [pa.array([x.to_pylist()], pa.list_(t)) for x, (_, t, _) in zip(mine, _ROWS, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard]), *listed, *(pa.array([x], pa.binary()) for x in blobs), pa.array([found], pa.list_(pa.binary()))],
-            ["shard", *(n for n, _, _ in _ROWS), "indptr", "local", "counts", "words"])
-        shard += 1
 
-
-def columns_of(shards: DataFrame) -> DataFrame:
-    """(shard, columns): the column numbers of each shard's distinct words, dense over the whole corpus."""
-    found = shards.select("shard", F.posexplode("words").alias("local", "word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
-    inside = Window.partitionBy("bucket").orderBy("word")
-    ranked = materialize(found.select("shard", "local", "bucket", F.dense_rank().over(inside).alias("rank")), "matrix-words")
-    sizes = ranked.groupBy("bucket").agg(F.max("rank").cast("long").alias("size"))
-    # as many rows as buckets
-    before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("bucket", before.alias("offset"))
-    numbered = ranked.join(F.broadcast(offsets), "bucket").select("shard", F.struct("local", (F.col("offset") + F.col("rank") - 1).alias("column")).alias("c"))
-    return numbered.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["column"]).alias("columns"))
+def _number(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Numbers a bucket's distinct words, in order."""
+    lists = [unpacked_words(x) for x in pdf.words]
+    coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int32)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    numbers = np.split(rank[coded.indices.to_numpy()], np.cumsum([len(x) for x in lists])[:-1])
+    return pd.DataFrame({"bucket": pdf.bucket, "shard": pdf.shard, "size": len(rank), "ranks": [packed(x.astype("<i4")) for x in numbers]})
 
 
 def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row a chunk of texts: its documents, and its matrix by local word numbers. Written."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), text.alias("text"))
-    return materialize(rows.mapInArrow(_build, _LOCAL), "matrix-shards")
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return materialize(rows.mapInArrow(_build(max(MIN_BUCKETS, -(-total // BUCKET_BYTES))), _LOCAL), "matrix-shards")
+
+
+def columns_of(shards: DataFrame) -> DataFrame:
+    """(shard, columns): for each bucket of a shard's words their ranks and the bucket's offset; together the columns, dense over the whole corpus."""
+    found = shards.select("shard", F.posexplode("words").alias("bucket", "words")).where(F.length("words") > 0)
+    ranked = materialize(found.groupBy("bucket").applyInPandas(_number, "bucket int, shard long, size long, ranks binary"), "matrix-columns")
+    sizes = ranked.groupBy("bucket").agg(F.max("size").alias("size"))
+    # as many rows as buckets
+    before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranked.drop("size").join(sizes.select("bucket", before.alias("offset")), "bucket")
+    return numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "offset", "ranks"))).alias("columns"))
+
+
+def joined(shards: DataFrame) -> DataFrame:
+    return shards.drop("words").join(columns_of(shards), "shard", "left")
 
 
 def _matrix(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indptr, columns, counts) of one shard, local numbers replaced."""
-    indptr, local, counts = (np.frombuffer(b.column(c)[i].as_py(), np.int32) for c in ("indptr", "local", "counts"))
-    known = b.column("columns")[i]
-    return indptr, known.values.to_numpy(zero_copy_only=False)[local] if len(local) else np.zeros(0, np.int64), counts
+    indptr, step, counts = (unpacked(b.column(c)[i].as_py(), np.int32) for c in _MATRIX)
+    known = [unpacked(x["ranks"], np.int32).astype(np.int64) + x["offset"] for x in b.column("columns")[i].as_py() or []]
+    return indptr, np.concatenate(known)[np.cumsum(step, dtype=np.int64)] if known else np.zeros(0, np.int64), counts
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +160,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             indptr, columns, counts = _matrix(b, i)
-            n_words = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr])
-            n_distinct = np.diff(indptr).astype(np.int64)
+            # a row's columns are distinct, since each is one word's
+            n_words, n_distinct = (np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[indptr]) for x in (counts, columns >= 0))
             mine = [b.column(n)[i].values for n, _, _ in _ROWS]
             yield pa.RecordBatch.from_arrays([*mine, pa.array(n_words), pa.array(n_distinct)], [*(n for n, _, _ in _ROWS), "n_words", "n_distinct"])
 
@@ -121,14 +169,13 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def csr_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(shard, doc_id, indptr, columns, counts): the document-term matrix, rows in the order of ``doc_id``."""
     shards = local_shards(docs, id_col, text_col, lang_col)
-    return shards.join(columns_of(shards), "shard", "left").mapInArrow(_encoded, "shard long, doc_id array<long>, indptr array<int>, columns array<long>, counts array<int>")
+    return joined(shards).mapInArrow(_encoded, "shard long, doc_id array<long>, indptr array<int>, columns array<long>, counts array<int>")
 
 
 def document_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, part, same, n_points, n_upper, marked, n_words, n_distinct) of every row."""
-    shards = local_shards(docs, id_col, text_col, lang_col)
     schema = ", ".join(f"{n} {t}" for n, _, t in _ROWS) + ", n_words long, n_distinct long"
-    return shards.drop("words").join(columns_of(shards), "shard", "left").mapInArrow(_totals, schema)
+    return joined(local_shards(docs, id_col, text_col, lang_col)).mapInArrow(_totals, schema)
 
 
 def bit(f: str) -> int:
