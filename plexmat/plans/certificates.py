@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, clustering, distance, graph, grouped, lineage, matrix, models
+from plexmat.operators import align, assignment, clustering, distance, graph, grouped, lineage, matrix, models, spectral
 from plexmat.plans import basket
 from plexmat.plans.basket import r
 from plexmat.plans.fitted import best_match, labelled
@@ -42,10 +42,13 @@ def one_to_one(matches: DataFrame, by: list[str]) -> DataFrame:
 
 @query("joi2_optimality", f"{W}, {SIDES} SELECT least(na, nb) AS n, least(na, nb) AS cells_a, least(na, nb) AS cells_b, true AS feasible, true AS tight FROM s")
 def joi2_optimality(spark, sf):
-    """The matching is one to one, its duals are feasible for all pairs, and their value is its cost: no matching is cheaper."""
+    """The matching is one to one, its distances are those of its points, and their sum is the value of duals that are feasible for all pairs: no matching is cheaper."""
     a, b = halves(spark, sf)
-    d = assignment.duality(a, b).select((F.col("least_slack") > -1e-7).alias("feasible"), (F.abs(F.col("cost") - F.col("dual")) <= 1e-7 * (1 + F.col("cost"))).alias("tight"))
-    return one_to_one(best_match(spark, sf), []).join(d)
+    m = best_match(spark, sf)
+    both = m.join(a.select(F.col("cell_id").alias("cell_a"), F.col("vec").alias("va")), "cell_a").join(b.select(F.col("cell_id").alias("cell_b"), F.col("vec").alias("vb")), "cell_b")
+    cost = both.agg(F.sum(distance.distance("va", "vb")).alias("own"))
+    d = assignment.duality(a, b).join(cost).select((F.col("least_slack") > -1e-7).alias("feasible"), (F.abs(F.col("own") - F.col("dual")) <= 1e-7 * (1 + F.col("own"))).alias("tight"))
+    return one_to_one(m, []).join(d)
 
 
 @query("joi2_rounds", f"{W}, {SIDES} SELECT least(na, nb) AS n, least(na, nb) AS cells_a, least(na, nb) AS cells_b, true AS bounded, true AS near FROM s")
@@ -92,12 +95,11 @@ def joi8_matched(spark, sf):
 def joi10_cost_bounds(spark, sf):
     """The mean cost lies between that of nearest neighbours and that of the match by rank."""
     a, b = halves(spark, sf)
-    near = distance.knn(a.select("cell_id", "vec"), b.select("cell_id", "vec"), 1).agg(F.sum("dist").alias("nearest"))
+    few, many = (a, b) if a.count() <= b.count() else (b, a)  # every point of the smaller side is matched
+    near = distance.knn(few.select("cell_id", "vec"), many.select("cell_id", "vec"), 1).agg(F.sum("dist").alias("nearest"))
     ranks = rank_match(spark, sf).agg(F.sum("dist").alias("ranks"), F.avg("dist").alias("rank_cost"))
     own = best_match(spark, sf).agg(F.sum("dist").alias("cost"), F.count("*").alias("n"))
-    # with unequal sides the surplus of a stays unmatched; its nearest distances then don't bound the cost
-    enough = F.lit(True) if a.count() <= b.count() else F.lit(None).cast("boolean")
-    return own.join(near).join(ranks).select("n", F.coalesce(F.when(enough, F.col("cost") >= F.col("nearest") - 1e-9), F.lit(True)).alias("above_nearest"), (F.col("cost") <= F.col("ranks") + 1e-9).alias("below_ranks"), r("rank_cost"))
+    return own.join(near).join(ranks).select("n", (F.col("cost") >= F.col("nearest") - 1e-9).alias("above_nearest"), (F.col("cost") <= F.col("ranks") + 1e-9).alias("below_ranks"), r("rank_cost"))
 
 
 NORMS = "m AS (SELECT {g} dim, avg(v) AS m FROM long GROUP BY ALL) SELECT l.dataset_id, cell_id, round(sum((v - m) ** 2), 6) AS norm FROM long l JOIN m USING ({k}) GROUP BY 1, 2"
@@ -164,19 +166,44 @@ def clu8_totals(spark, sf):
     return models.kmeans(p, 6).groupBy("dataset_id").agg(F.count_distinct("cell_id").alias("n"))
 
 
-@query("clu3_connected", "SELECT count(*) AS n, true AS connected FROM embeddings")
+KNN8 = f"k AS (SELECT src, dst, d FROM (SELECT a.cell_id AS src, b.cell_id AS dst, {D} AS d, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS r FROM emb a JOIN emb b ON a.cell_id <> b.cell_id) WHERE r <= 8)"
+
+
+@query("clu3_connected", f"{W}, {KNN8} SELECT (SELECT count(*) FROM emb) AS n, round(sum(1 / (1 + d)), 6) AS weight, true AS connected, true AS settled FROM k")
 def clu3_connected(spark, sf):
-    """Refined communities hold every point once and are connected inside."""
+    """Leiden communities hold every point of the weighted graph once, are connected inside, and no point has links below the resolution's bound to the rest of its own."""
+    from plexmat.operators import leiden
     from plexmat.operators.components import connected_components
 
     p = points(spark, sf)
-    c = materialize(grouped.neighbour_communities(p, 8, 0.5, refined=True), "communities")
-    e = distance.knn(p.select("cell_id", "vec"), p.select("cell_id", "vec"), 8, exclude_self=True)
-    of = lambda x: c.select(F.col("cell_id").alias(x), F.col("cluster").alias(f"c{x}"))
-    inner = e.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst").select("src", "dst")
-    parts = connected_components(inner).select(F.col("node").alias("cell_id"), "component")
-    own = c.join(parts, "cell_id", "left").groupBy("cluster").agg(F.count_distinct(F.coalesce("component", "cell_id")).alias("parts"), F.count_distinct("cell_id").alias("n"))
-    return own.agg(F.sum("n").alias("n"), (F.max("parts") == 1).alias("connected"))
+    e = grouped.neighbour_edges(p, 8)
+    c = materialize(leiden.leiden(e, 0.5), "communities")
+    of = lambda x: c.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))
+    inner = materialize(e.join(of("src"), "src").join(of("dst"), "dst").where("csrc = cdst"), "inner")
+    parts = connected_components(inner).select("node", "component")
+    own = c.join(parts, "node", "left").groupBy("community").agg(F.count_distinct(F.coalesce("component", "node")).alias("parts"), F.count_distinct("node").alias("n"))
+    both = leiden.both_ways(leiden.one_weight_a_pair(e))
+    k = materialize(leiden.degrees(both), "degrees")
+    mass = k.join(c, "node").groupBy("community").agg(F.sum("k").alias("mass"), F.count("*").alias("size"))
+    reach = inner.select(F.explode(F.array("src", "dst")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("reach"))
+    total = k.agg(F.sum("k").alias("total"))
+    loose = k.join(c, "node").join(mass, "community").join(reach, "node", "left").join(F.broadcast(total)).where("size > 1").agg(
+        F.count_if(F.coalesce("reach", F.lit(0.0)) < 0.5 * F.col("k") * (F.col("mass") - F.col("k")) / F.col("total") - 1e-9).alias("loose"))
+    weight = e.agg(F.round(F.sum("weight"), 6).alias("weight"))
+    return own.agg(F.sum("n").alias("n"), (F.max("parts") == 1).alias("connected")).join(weight).join(loose).select("n", "weight", "connected", (F.col("loose") == 0).alias("settled"))
+
+
+@query("clu5_residuals", f"{W}, k AS (SELECT src, dst FROM (SELECT a.cell_id AS src, b.cell_id AS dst, row_number() OVER (PARTITION BY a.cell_id ORDER BY {D}, b.cell_id) AS r FROM emb a JOIN emb b ON a.cell_id <> b.cell_id) WHERE r <= 10), w AS (SELECT src, dst, sum(0.5) AS w FROM (SELECT * FROM k UNION ALL SELECT dst, src FROM k) GROUP BY 1, 2), d AS (SELECT src, sum(w) AS d FROM w GROUP BY 1) SELECT (SELECT count(*) FROM d) AS n, round(sum(w * w / (x.d * y.d)), 6) AS squares, true AS residuals, true AS orthonormal, true AS first FROM w JOIN d x ON x.src = w.src JOIN d y ON y.src = w.dst")
+def clu5_residuals(spark, sf):
+    """The graph's matrix has SQL's sum of squares; five vectors are orthonormal eigenvectors of it, the first with eigenvalue 1."""
+    graph = spectral.neighbour_graph(points(spark, sf))
+    matrix, degree = spectral.normalised(graph)
+    vectors, values, off = spectral.embedding(graph, 5)
+    names = [f"x{i}" for i in range(5)]
+    gram = spectral.gram(vectors, names, names)
+    good = max(abs(gram[i][j] - (i == j)) for i in range(5) for j in range(5)) < 1e-6
+    sums = matrix.agg(F.round(F.sum(F.col("s") * F.col("s")), 6).alias("squares")).join(degree.agg(F.count("*").alias("n")))
+    return sums.select("n", "squares", F.lit(bool(max(off) < 1e-6)).alias("residuals"), F.lit(bool(good)).alias("orthonormal"), F.lit(bool(abs(values[0] - 1) < 1e-9)).alias("first"))
 
 
 @query("clu13_tree_shape", f"{S5} SELECT dataset_id, count(*) - 1 AS merges, count(*) AS root_size, 2 * (count(*) - 1) AS children, true AS rising FROM emb GROUP BY 1")
