@@ -72,6 +72,15 @@ def score_difference(a: DataFrame, b: DataFrame) -> DataFrame:
         "gene_id", F.abs(F.col("sa") - F.coalesce("sb", "low")).alias("diff"))
 
 
+def score_differences(scores: DataFrame) -> DataFrame:
+    """(ds_a, ds_b, gene_id, diff) of all ordered pairs of datasets, in one join; a gene that ds_b lacks takes its smallest score."""
+    lows = scores.groupBy(F.col("dataset_id").alias("ds_b")).agg(F.min("score").alias("low"))  # a row a dataset
+    a = scores.select(F.col("dataset_id").alias("ds_a"), "gene_id", F.col("score").alias("sa"))
+    b = scores.select(F.col("dataset_id").alias("ds_b"), "gene_id", F.col("score").alias("sb"))
+    return a.join(F.broadcast(lows), F.col("ds_a") != F.col("ds_b")).join(b, ["ds_b", "gene_id"], "left").select(
+        "ds_a", "ds_b", "gene_id", F.abs(F.col("sa") - F.coalesce("sb", "low")).alias("diff"))
+
+
 def best_f1(labels: DataFrame, truth: str, cluster: str) -> DataFrame:
     """(truth, cluster, f1): for each true label the cluster that consists of it most, and the F1 of that pair."""
     cells = labels.groupBy(truth, cluster).agg(F.count("*").alias("n"))

@@ -32,7 +32,8 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return preprocess.basic_filter(counts(spark, sf), MIN_GENES, MIN_COUNTS)
+    """The filtered counts, written once: every query reads them more than once."""
+    return materialize(preprocess.basic_filter(counts(spark, sf), MIN_GENES, MIN_COUNTS), "kept")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,11 +402,11 @@ def met8(spark, sf):
     return metrics.markers(preprocess.normlog(k), obs, 20).select("label", "gene_id", r("t"), "place")
 
 
-@query("met9_score_difference", f"""{FILTERED}, a AS (SELECT * FROM scores WHERE dataset_id = 0), b AS (SELECT * FROM scores WHERE dataset_id = 1)
-SELECT gene_id, round(abs(a.score - coalesce(b.score, (SELECT min(score) FROM b))), 6) AS diff FROM a LEFT JOIN b USING (gene_id)""")
+@query("met9_score_difference", f"""{FILTERED}, lows AS (SELECT dataset_id, min(score) AS low FROM scores GROUP BY 1)
+SELECT a.dataset_id AS ds_a, l.dataset_id AS ds_b, a.gene_id, round(abs(a.score - coalesce(b.score, low)), 6) AS diff
+FROM scores a JOIN lows l ON l.dataset_id <> a.dataset_id LEFT JOIN scores b ON b.dataset_id = l.dataset_id AND b.gene_id = a.gene_id""")
 def met9(spark, sf):
-    s = scores(spark, sf)
-    return metrics.score_difference(s.where("dataset_id = 0"), s.where("dataset_id = 1")).select("gene_id", r("diff"))
+    return metrics.score_differences(scores(spark, sf)).select("ds_a", "ds_b", "gene_id", r("diff"))
 
 
 FULL = f"{COSINE}, full_sim AS (SELECT ds_a, ds_b, round(value, 9) AS value FROM sim UNION ALL SELECT ds_b, ds_a, round(value, 9) FROM sim WHERE ds_a <> ds_b)"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, clustering, distance, graph, grouped, lineage, matrix, models, spectral
+from plexmat.operators import align, assignment, birch, clustering, distance, graph, grouped, lineage, matrix, models, spectral
 from plexmat.plans import basket
 from plexmat.plans.basket import r
 from plexmat.plans.fitted import best_match, labelled
@@ -159,6 +159,16 @@ def clu6_fixpoint(spark, sf):
     return fixpoint(p, models.kmeans(p, 8))
 
 
+@query("clu6_features", f"{W}, {LONG} SELECT dim, count(*) AS n, round(sum(v), 6) AS total, true AS within FROM long GROUP BY 1")
+def clu6_features(spark, sf):
+    """The features of Birch's tree add up to the number and the sum of all points in every dimension, and each keeps within its radius."""
+    f = materialize(birch.features(points(spark, sf), 0.5), "features")
+    centre = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x) / (F.col("n") * F.col("n"))
+    within = f.agg(F.bool_and(F.col("squares") / F.col("n") - centre <= F.col("threshold") * F.col("threshold") + 1e-9).alias("within"))
+    sums = f.select("n", F.posexplode("total").alias("i", "v")).groupBy((F.col("i") + 1).cast("long").alias("dim")).agg(F.sum("n").alias("n"), F.round(F.sum("v"), 6).alias("total"))
+    return sums.join(F.broadcast(within)).select("dim", "n", "total", "within")
+
+
 @query("clu8_totals", f"{W} SELECT dataset_id, count(*) AS n FROM emb GROUP BY 1")
 def clu8_totals(spark, sf):
     """Joint clusters hold every point of either half once."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexmat.operators import align, assignment, density, distance, grouped, lineage, matrix, metrics, models, spectral
+from plexmat.operators import align, assignment, birch, density, distance, grouped, lineage, matrix, metrics, models, spectral
 from plexmat.plans import basket
 from plexmat.plans.basket import r
 from plexmat.plans.points import D, W, halves, points
@@ -128,6 +128,11 @@ def clu6b(spark, sf):
     return models.bisecting_kmeans(points(spark, sf), 8)
 
 
+@query("clu6_birch")
+def clu6_birch(spark, sf):
+    return birch.birch(points(spark, sf), 8, 0.5)
+
+
 @query("clu16_joint_em")
 def clu16(spark, sf):
     p = aligned(spark, sf)
