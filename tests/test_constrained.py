@@ -4,11 +4,11 @@ import pytest
 from plexmat.operators import constrained, grouped, kernels
 
 
-def case(seed, n=120):
+def case(seed, n=60):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(c, 0.8, (n // 3, 2)) for c in ((0, 0), (4, 0), (0, 4))])
     must = [tuple(int(v) for v in rng.integers(0, n, 2)) for _ in range(12)]
-    cannot = [(i, i + 1) for i in range(0, 40)] + [tuple(int(v) for v in rng.integers(0, n, 2)) for _ in range(15)]
+    cannot = [(i, i + 1) for i in range(0, 20)] + [tuple(int(v) for v in rng.integers(0, n, 2)) for _ in range(15)]
     parent = list(range(n))
 
     def root(i):
@@ -29,7 +29,7 @@ def frames(spark, x, must, cannot, k):
     return p, links(must), links(cannot), centres
 
 
-@pytest.mark.parametrize("seed,k", [(0, 4), (1, 3), (2, 5)])
+@pytest.mark.parametrize("seed,k", [(0, 4), (1, 3)])
 def test_rounds_equal_deciding_one_after_the_other(spark, seed, k):
     x, must, cannot = case(seed)
     p, m, c, centres = frames(spark, x, must, cannot, k)

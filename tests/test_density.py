@@ -17,11 +17,11 @@ def plain_walk(ids, x, min_samples):
     return order
 
 
-@pytest.mark.parametrize("piece", [200_000, 7, 1])
+@pytest.mark.parametrize("piece", [200_000, 4])
 def test_order_equals_a_plain_walk(spark, piece):
     """Also where the tree is walked from its heaviest edges down, a few at a time; equal and repeated points tie."""
     rng = np.random.default_rng(4)
-    x = np.round(np.concatenate([rng.normal(0, 0.3, (25, 2)), rng.normal(3, 0.6, (20, 2)), np.zeros((4, 2)), [[9, 9], [9, 9]]]), 1)
+    x = np.round(np.concatenate([rng.normal(0, 0.3, (14, 2)), rng.normal(3, 0.6, (10, 2)), np.zeros((4, 2)), [[9, 9], [9, 9]]]), 1)
     ids = [3 * i + 1 for i in range(len(x))]
     p = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "cell_id long, vec array<double>")
     got = [(r.cell_id, r.reachability) for r in density.density_ordering(p, 4, piece).orderBy("place").collect()]
