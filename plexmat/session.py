@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -90,6 +91,12 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect plans that nothing refers to any more, so that Spark deletes the shuffle files of steps that are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove this application's written steps; results that still read them can't be used any more."""
     _delete(spark, written_dir(spark))
