@@ -12,10 +12,12 @@ set chooses its own l from 1, 2, 4, ... by estimated cost; a pair is held to the
    what verifying costs if S meetings make at most S / l candidates (a candidate takes l of them).
 3. Postings of the chosen prefixes are written. In each list the member with the most meetings is the hub; a member is verified against the hub that it
    shares most shingles with. That gives most components, by one candidate a set.
+   Before a pair's full sets are compared, the parities of its sets bound their difference from below: a set's hashes are dealt into twice as many
+   slots as it has shingles, and each slot keeps whether it got an odd number. Slots whose parities differ hold a shingle of one side only.
 4. Lists whose members are still in different components are searched across components, whole. In lists of up to ``SMALL`` members the matches of
-   each pair are counted, by hub first and then over all lists; pairs with enough of them are verified on full sets. Longer lists are compared
-   block pair by block pair with prefixes and full sets at hand, each pair in the first long list that it shares, and only links that join
-   components leave a task: a hot list never becomes all its pairs.
+   each pair are counted, by hub first and then over all lists; pairs with enough of them are verified on full sets. In longer lists a count
+   would need all pairs: there members meet block pair by block pair with their sizes and parities, and only a few likely pairs leave a task for
+   each two components that they would join. If verification rejects some, they are barred and the next round takes others.
 
 The result is exact: no link between different sets is lost, whatever the order and the costs are.
 
@@ -31,13 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, linked_sql, linking, set_blobs, set_classes, shingle_sets
+from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, linked_sql, set_classes, shingle_sets, texts_of
 from plexmat.llm.textkit import U, text_chunks
 from plexmat.operators.components import connected_components
-from plexmat.session import materialize
+from plexmat.session import discard, materialize, release_shuffles
 
 SHINGLE = 4
 SLOT_BITS = 18
@@ -46,7 +48,13 @@ MATCHES = [1, 2, 4, 8, 16, 32]
 #: Costs in units of one meeting of two postings: a posting, and verifying a candidate for each shingle of its set.
 POSTING, VERIFY = 4.0, 0.125
 SMALL = 64
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
+#: Postings of short lists that are held at once.
+LISTED = 50_000
+BLOCK = 1000
+#: Pairs of a long list that are verified at once: likely ones for a member and a component, and doubtful ones for a member.
+CHOICES, DOUBTFUL = 4, 64
+#: A pair is likely a link if its expected difference is at most this part of what the threshold allows.
+SURE = 0.9
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +80,37 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """One bit for each of 2n slots (the next power of two, 2 ** 16 at most): whether it holds an odd number of hashes."""
+    slots = min(1 << 16, 1 << max(6, int(2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & U(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many hashes only one of two sets has; the longer row of parities is folded to the shorter one's slots."""
+    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(percent: int):
+    """Pairs whose parities allow the threshold: with difference d the overlap is at most (n_a + n_b - d) / 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differ = np.array([least_difference(x, y) for x, y in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)], np.int64)
+            both = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            ok = 100 * (both - differ) >= percent * (both + differ)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+
+    return run
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible(percent), "a long, b long")
+
+
 def _prefixes(levels: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, "text"):
@@ -82,7 +121,8 @@ def _prefixes(levels: np.ndarray, percent: int):
                 order = np.argsort(levels[(s >> U(64 - SLOT_BITS)).astype(np.int64)], kind="stable")  # equal levels stay in the order of the hashes
                 first.append(s[order[:length]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("key"), *digests(sets), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "key", "n", "d1", "d2", "tokens"])
+                [rows.column("doc_id"), rows.column("key"), *digests(sets), pa.array(first, pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())],
+                ["doc_id", "key", "n", "d1", "d2", "tokens", "bits"])
 
     return run
 
@@ -103,120 +143,170 @@ def chosen_matches(percent: int) -> Column:
     return F.array_min(F.array_compact(F.array(*options)))["matches"]
 
 
-def _pairs(at: np.ndarray, token: np.ndarray, pos: np.ndarray, rep: np.ndarray, n: np.ndarray, matches: np.ndarray, comp: np.ndarray, percent: int) -> list[np.ndarray]:
-    """(a, b, l) of every meeting of one list across components, inside both l-prefixes."""
-    i, j = np.triu_indices(len(at), 1)
-    i, j = at[i], at[j]
-    least = np.minimum(matches[i], matches[j])
+def met_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b, least, met): the pairs across components that meet in whole lists, inside both l-prefixes, with their meetings."""
+    token, pos, rep, n, matches, comp = (pdf[c].to_numpy() for c in ("token", "pos", "rep", "n", "matches", "comp"))
+    edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    after = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(token)) - 1  # members of its list behind each one
+    i = np.repeat(np.arange(len(token)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
     ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    i, j = i[ok], j[ok]
+    least = np.minimum(matches[i], matches[j])
+    ok = np.ones(len(i), bool)
     for k in (i, j):
         ok &= pos[k] < n[k] - needed(n[k], percent) + least
     i, j, least = i[ok], j[ok], least[ok]
-    return [np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j]), least]
+    a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": a[first], "b": b[first], "least": least[first].astype(np.int32), "met": np.diff(np.concatenate([first, [len(a)]]))})
 
 
 def _small_lists(percent: int):
-    """Streams postings sorted by hub and shingle; counted meetings of pairs, added up over the lists of a hub."""
-
-    def counted(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        pdf = pd.concat(parts, ignore_index=True)
-        columns = [pdf[c].to_numpy() for c in ("token", "pos", "rep", "n", "matches", "comp")]
-        edge = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1], [True]]))
-        found = [_pairs(np.arange(s, e), *columns, percent) for s, e in zip(edge, edge[1:], strict=False)]
-        a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "least": least, "met": 1}).groupby(["a", "b", "least"], as_index=False).met.sum()
+    """Streams postings sorted by hub and shingle, some whole lists at a time: lists of one hub are neighbours, so a pair's meetings mostly add up here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hub, held = None, []
+        held, size = [], 0
         for pdf in batches:
-            for at, rows in pdf.groupby("hub", sort=False):
-                if at != hub and held:
-                    yield counted(held)
-                    held = []
-                hub = at
-                held.append(rows)
-        if held:
-            yield counted(held)
+            held.append(pdf)
+            size += len(pdf)
+            if size >= LISTED:
+                whole = pd.concat(held, ignore_index=True)
+                cut = int((whole.token != whole.token.iloc[-1]).to_numpy().nonzero()[0].max(initial=-1)) + 1  # the last list may go on
+                if cut:
+                    yield met_pairs(whole.iloc[:cut], percent)
+                held, size = [whole.iloc[cut:]], len(whole) - cut
+        if size:
+            yield met_pairs(pd.concat(held, ignore_index=True), percent)
 
     return run
 
 
-def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All values, the row of each, and its place in its row."""
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate(lists.to_list()), np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of parities over fewer slots."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
 
 def _large_list(percent: int):
-    """Confirmed links that join components within one block pair of a long list."""
+    """Pairs within one block pair of a long list that parities allow: for a member and each component that it likely joins the ``CHOICES`` likeliest, and doubtful ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, i, j = int(pdf.token.iloc[0]), int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
-        left, right = pdf[pdf.block == i], pdf[pdf.block == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        parent = {c: c for c in pd.unique(pdf.comp).tolist()}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        n_r, m_r, rep_r, comp_r = right.n.to_numpy(), right.matches.to_numpy(), right.rep.to_numpy(), right.comp.tolist()
-        sets_r = [np.frombuffer(x, U) for x in right.shingles]
-        wide, of_wide, _ = _flat(right.wide)
-        prefix, of_prefix, pos = _flat(right.tokens)
-        order = np.argsort(-left.meetings.to_numpy(), kind="stable")  # one that meets many joins most of the others at once
+        i, j = int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
+        left, right = (pdf[pdf.block == x].sort_values("rep", ignore_index=True) for x in (i, j))
+        rep, n, comp = right.rep.to_numpy(), right.n.to_numpy(), right.comp.to_numpy().copy()
+        own_comp = left.comp.to_numpy().copy()
+        sizes = np.array([len(x) for x in right.bits], np.int64)
+        rows = {s: np.frombuffer(b"".join(right.bits[sizes == s]), np.uint8).reshape(-1, s) for s in np.unique(sizes).tolist()}
+        place = np.zeros(len(rep), np.int64)
+        for s in rows:
+            place[sizes == s] = np.arange((sizes == s).sum())
         links = []
-        for k in order:
-            row = left.iloc[k]
-            rep, n, m, own = int(row.rep), int(row.n), int(row.matches), root(int(row.comp))
-            ok = np.array([root(c) != own for c in comp_r])
+        for k in range(len(left)):
+            mine, size = int(left.rep[k]), int(left.n[k])
+            ok = (comp != own_comp[k]) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
             if i == j:
-                ok &= rep_r > rep
-            ok &= 100 * np.minimum(n, n_r) >= percent * np.maximum(n, n_r)
-            if not ok.any():
-                continue
-            earlier = np.asarray(row.wide)
-            ok[of_wide[np.isin(wide, earlier[earlier < token])]] = False  # met in a list before this one
-            least = np.minimum(m, m_r)
-            mine = np.asarray(row.tokens)
-            by_token = np.argsort(mine)
-            place = np.minimum(np.searchsorted(mine, prefix, sorter=by_token), len(mine) - 1)
-            inside = (mine[by_token[place]] == prefix) & (by_token[place] < n - int(needed(n, percent)) + least[of_prefix]) & (pos < (n_r - needed(n_r, percent) + least)[of_prefix])
-            ok &= np.bincount(of_prefix[inside], minlength=len(n_r)) >= least
+                ok &= rep > mine
+            if left.barred[k] is not None:
+                ok &= ~np.isin(rep, left.barred[k])
             at = np.flatnonzero(ok)
-            own_set = np.frombuffer(row.shingles, U)
-            for part in np.array_split(at, max(1, len(at) // 200)):
-                for x in part[linking(own_set, n, [sets_r[x] for x in part], n_r[part], percent)]:
-                    if root(comp_r[x]) != root(own):
-                        parent[root(comp_r[x])] = root(own)
-                        links.append((min(rep, rep_r[x]), max(rep, rep_r[x])))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+            if not len(at):
+                continue
+            bits, differ = np.frombuffer(left.bits[k], np.uint8)[None], np.zeros(len(at), np.int64)
+            for s in np.unique(sizes[at]).tolist():
+                those, short = sizes[at] == s, min(s, bits.shape[1])
+                differ[those] = np.bitwise_count(folded(rows[s][place[at[those]]], short) ^ folded(bits, short)).sum(axis=1)
+            both = size + n[at]
+            fits = 100 * (both - differ) >= percent * (both + differ)
+            at, both, differ = at[fits], both[fits], differ[fits]
+            # slots hide some differences; their expected number tells likely links from doubtful ones
+            slots = 8 * np.minimum(sizes[at], bits.shape[1])
+            expected = -slots / 2 * np.log(np.maximum(1 - 2 * differ / slots, 1e-9))
+            likely = expected <= SURE * both * (100 - percent) / (100 + percent)
+            given: dict[int, int] = {}
+            doubtful = 0
+            for x in np.argsort(differ / both, kind="stable"):
+                c = int(comp[at[x]])
+                if likely[x]:
+                    given[c] = given.get(c, 0) + 1
+                elif c in given or doubtful == DOUBTFUL:
+                    continue
+                else:
+                    doubtful += 1
+                if given.get(c, 0) <= CHOICES:
+                    links.append((mine, int(rep[at[x]])))
+            if given:  # taken for one component from here on
+                joined = [*given, int(own_comp[k])]
+                one = own_comp[k]
+                own_comp[np.isin(own_comp, joined)] = one
+                comp[np.isin(comp, joined)] = one
+        pairs = pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).astype("int64")
 
     return run
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def joins_of_long_lists(large: DataFrame, classes: DataFrame, edges: DataFrame, own: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """``edges`` and the links that join components within long lists (token, rep, n, size).
+
+    A round takes for granted that likely pairs join their components, and verifies some of each; doubtful pairs are verified without joining
+    anything beforehand. Those that are no links are barred, and rounds go on until no possible pair across components is left.
+    """
+    rejected, labels = None, connected_components(edges, "a", "b")
+    for _ in range(rounds):
+        comp = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        of_list = Window.partitionBy("token")
+        apart = comp.withColumn("lo", F.min("comp").over(of_list)).withColumn("hi", F.max("comp").over(of_list)).where("lo <> hi").join(classes.select("rep", "bits"), "rep")
+        if rejected is None:
+            apart = apart.withColumn("barred", F.lit(None).cast("array<long>"))
+        else:
+            ends = rejected.select("a", "b").unionByName(rejected.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            apart = apart.join(ends.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("barred")), "rep", "left")
+        n_blocks = F.ceil(F.col("size") / BLOCK)
+        # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
+        dealt = apart.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))).select(
+            "token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n", "comp", "bits", "barred")
+        tried = materialize(dealt.groupBy("token", "bi", "bj").applyInPandas(_large_list(percent), "a long, b long").distinct(), "join-tried")
+        if tried.isEmpty():
+            return edges
+        found = materialize(confirm(tried, own, percent, SHINGLE), "join-found")
+        wrong = materialize(tried.join(found, ["a", "b"], "left_anti"), "join-wrong")
+        edges = edges.unionByName(found)
+        if wrong.isEmpty():
+            return edges
+        if not found.isEmpty():
+            labels = connected_components(edges, "a", "b")
+        rejected = wrong if rejected is None else rejected.unionByName(wrong)
+    raise RuntimeError(f"long lists still have likely pairs after {rounds} rounds")
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 200) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets; component_id is the smallest doc_id reachable by links.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    rows = materialize(texts.mapInArrow(_prefixes(slot_levels(texts), percent), "doc_id long, key long, n long, d1 long, d2 long, tokens array<long>"), "join-rows")
-    classes = set_classes(rows, "tokens")
+    sketched = materialize(texts.mapInArrow(_prefixes(slot_levels(texts), percent), "doc_id long, key long, n long, d1 long, d2 long, tokens array<long>, bits binary"), "join-rows")
+    classes = set_classes(sketched, "tokens", "bits")
+    rows = materialize(sketched.drop("tokens", "bits"), "join-rows")
+    discard(sketched)
+    release_shuffles(docs.sparkSession)
     postings = lambda sets, length: sets.select("*", F.posexplode(F.slice("tokens", 1, length)).alias("pos", "token"))
 
-    single = postings(classes.select("rep", "n", "tokens"), prefix_length(1, percent)).select("rep", "n", "token")
-    met = single.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    active = single.join(met, "token").groupBy("rep").agg(F.first("n").alias("n"), F.sum(F.col("size") - 1).alias("meetings"))
-    active = materialize(active.withColumn("matches", chosen_matches(percent)), "join-active")
+    single = postings(classes.select("rep", "n", "tokens"), prefix_length(1, percent)).select("rep", "token")
+    met = single.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    meetings = met.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("meetings"))
+    active = materialize(classes.select("rep", "n").join(meetings, "rep").withColumn("matches", chosen_matches(percent)), "join-active")
+    own = texts_of(active, classes, texts)
+    release_shuffles(docs.sparkSession)
 
     sets = classes.select("rep", "tokens").join(active, "rep")
     listed = postings(sets, prefix_length(F.col("matches"), percent)).select("token", "pos", "rep", "n", "meetings", "matches")
-    hubs = listed.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("meetings", "rep", "n", "matches")).alias("top")).where("size > 1")
-    members = materialize(listed.join(hubs, "token"), "join-members")
+    of_list = Window.partitionBy("token")
+    hubs = listed.withColumn("size", F.count("*").over(of_list)).withColumn("top", F.max(F.struct("meetings", "rep", "n", "matches")).over(of_list))
+    members = materialize(hubs.where("size > 1"), "join-members")
+    release_shuffles(docs.sparkSession)
 
     # the best hub of each set first; what this leaves apart is compared below
     fits = (F.col("rep") != F.col("top.rep")) & (100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
@@ -224,34 +314,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .toDF("rep", "hub", "met", "least").where("met >= least")
     best = stars.groupBy("rep").agg(F.max_by("hub", F.struct("met", "hub")).alias("hub"))
     tested = materialize(best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "join-tested")
-    edges = materialize(confirm(tested, classes, texts, percent, SHINGLE), "join-edges")
+    edges = materialize(confirm(materialize(possible(tested, classes, percent), "join-likely"), own, percent, SHINGLE), "join-edges")
 
     labels = connected_components(edges, "a", "b")
-    placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select(
-        "token", "pos", "rep", "n", "meetings", "matches", "size", F.col("top.rep").alias("hub"), "comp")
-    placed = materialize(placed, "join-placed")
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    apart = materialize(placed.join(open_lists, "token"), "join-open")
+    placed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "token", "pos", "rep", "n", "meetings", "matches", "size", F.col("top.rep").alias("hub"), F.coalesce("component", "rep").alias("comp"))
+    ends = placed.withColumn("lo", F.min("comp").over(of_list)).withColumn("hi", F.max("comp").over(of_list))
+    apart = materialize(ends.where("lo <> hi").drop("lo", "hi"), "join-open")
+    discard(members)
+    release_shuffles(docs.sparkSession)
 
     small = apart.where(F.col("size") <= SMALL).select("hub", "token", "pos", "rep", "n", "matches", "comp")
     counted = small.repartition("hub").sortWithinPartitions("hub", "token").mapInPandas(_small_lists(percent), "a long, b long, least int, met long")
     enough = counted.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("least").alias("least")).where("met >= least")
-    fresh = materialize(enough.select("a", "b").join(tested, ["a", "b"], "left_anti"), "join-fresh")
-
-    large = apart.where(F.col("size") > SMALL).select("token", "rep", "n", "meetings", "matches", "size", "comp")
-    weights = large.groupBy("token").agg(F.sum("n").alias("weight"))
-    wide = large.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("wide"))
-    own = wide.join(set_blobs(wide, classes, texts, SHINGLE), "rep").join(classes.select("rep", "tokens"), "rep")
-    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES))
-    # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
-    dealt = (
-        large.join(weights, "token").join(own, "rep").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-        .select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n", "meetings", "matches", "comp", "tokens", "wide", "shingles")
-    )
-    joins = dealt.groupBy("token", "bi", "bj").applyInPandas(_large_list(percent), "a long, b long")
-
-    edges = edges.unionByName(materialize(confirm(fresh, classes, texts, percent, SHINGLE).unionByName(joins), "join-edges"))
+    fresh = materialize(possible(enough.select("a", "b").join(tested, ["a", "b"], "left_anti"), classes, percent), "join-fresh")
+
+    edges = edges.unionByName(materialize(confirm(fresh, own, percent, SHINGLE), "join-edges"))
+    large = apart.where(F.col("size") > SMALL).select("token", "rep", "n", "size")
+    if not large.isEmpty():
+        edges = joins_of_long_lists(large, classes, edges, own, percent, rounds)
     return components(rows, classes, edges).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 

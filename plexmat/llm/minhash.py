@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, linked_sql, linking, set_blobs, set_classes, shingle_sets, size_fits
+from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, linked_sql, linking, set_blobs, set_classes, shingle_sets, size_fits, texts_of
 from plexmat.llm.textkit import U, mix64, text_chunks
 from plexmat.llm.tuning import unused
 from plexmat.operators.components import connected_components
@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = materialize(reps.mapInArrow(_bands(percent), "key long, band int, rep long"), "minhash-bands")
     hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialize(bands.join(hubs, "key").select("key", "band", "rep", "hub", "size"), "minhash-members")
+    own = texts_of(members, classes, source)
     bound = percent / 100 - ESTIMATE_MARGIN_SD * (percent / 100 * (1 - percent / 100) / USED) ** 0.5
 
     def signed(pairs: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the likeliest hub of each document first; what this leaves apart is compared below
     best = signed(stars).groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
     tested = materialize(best, "minhash-tested")
-    edges = materialize(confirm(tested, classes, source, percent, SHINGLE), "minhash-edges")
+    edges = materialize(confirm(tested, own, percent, SHINGLE), "minhash-edges")
     labels = connected_components(edges, "a", "b")
     comp = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
@@ -296,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fresh = materialize(small.join(tested, ["a", "b"], "left_anti"), "minhash-cross")
     weights = apart.where(F.col("size") > SMALL).groupBy("key").agg(F.sum("n").alias("weight"))
     large = apart.where(F.col("size") > SMALL).join(weights, "key")
-    own_sets = set_blobs(large, classes, source, SHINGLE)
+    own_sets = set_blobs(large, own, SHINGLE)
     n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") * 8 / BLOCK_BYTES))
     # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
     dealt = (
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "n", "sig", "shingles")
     )
     joins = dealt.groupBy("key", "bi", "bj").applyInPandas(_large_bucket(bound, percent), "a long, b long")
-    edges = edges.unionByName(materialize(confirm(fresh, classes, source, percent, SHINGLE).unionByName(joins), "minhash-edges"))
+    edges = edges.unionByName(materialize(confirm(fresh, own, percent, SHINGLE).unionByName(joins), "minhash-edges"))
     out = components(sketches, classes, edges)
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_exact")

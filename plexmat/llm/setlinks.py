@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plexmat.llm.textkit import LOWER, U, combine_rows, mix64, span_hashes, text_bytes, text_chunks, words
 from plexmat.operators.components import connected_components
-from plexmat.session import materialize
+from plexmat.session import materialize, materialize_bucketed
 
 DIGEST = ["n", "d1", "d2"]
 
@@ -53,9 +53,9 @@ def set_classes(rows: DataFrame, *carried: str) -> DataFrame:
 
 
 def texts_of(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, text) of the classes in ``needed``; identical rows count once."""
+    """(rep, text) of the classes in ``needed``, written in buckets, so that later joins move pairs and not texts. Identical rows count once."""
     wanted = classes.select("rep", "doc_id", "key").join(needed.select("rep").distinct(), "rep")
-    return texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("rep", "text")
+    return materialize_bucketed(texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("rep", "text"), "rep", "set-texts")
 
 
 def _confirm(percent: int, width: int):
@@ -73,9 +73,8 @@ def _confirm(percent: int, width: int):
     return run
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full shingle sets reach the threshold."""
-    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes, texts)
+def confirm(pairs: DataFrame, own: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full shingle sets reach the threshold; ``own`` is (rep, text)."""
     return (
         pairs.select("a", "b")
         .join(own.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
@@ -109,9 +108,9 @@ def _blobs(width: int):
     return run
 
 
-def set_blobs(needed: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def set_blobs(needed: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """(rep, shingles): the full sets of the classes in ``needed``, 8 bytes a shingle."""
-    return texts_of(needed, classes, texts).mapInArrow(_blobs(width), "rep long, shingles binary")
+    return own.join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(_blobs(width), "rep long, shingles binary")
 
 
 def same_id_edges(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
