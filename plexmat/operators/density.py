@@ -58,7 +58,7 @@ def spanning_tree(points: DataFrame, min_samples: int = 5, rounds: int = 64) ->
     tree = None
     for _ in range(rounds):
         here = p.join(comp, "cell_id")
-        found = block_pairs(here, here, _lightest, "comp long, w double, a long, b long, other long", more=["core", "comp"])
+        found = block_pairs(here, here, _lightest, "comp long, w double, a long, b long, other long", block=1024, more=["core", "comp"])
         best = materialize(found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*"), "density-edges")
         if best.isEmpty():
             return tree if tree is not None else best.select("a", "b", "w")
