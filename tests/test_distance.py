@@ -61,3 +61,58 @@ def test_pairs_once_carry_columns(spark):
     p = spark.range(0, 30).selectExpr("id AS cell_id", "array(cast(id as double)) AS vec", "cast(id % 4 AS int) AS slice")
     got = {tuple(r) for r in distance.pairwise(p, p, once=True, more=["slice"]).collect()}
     assert got == {(i, j, float(j - i), i % 4, j % 4) for i in range(30) for j in range(i + 1, 30)}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_density_clusters_equal_all_pairs(spark, monkeypatch, dense):
+    """Against a plain search; dense: nearly all pairs are in reach, and block pairs give out no more rows than points (they gave all pairs)."""
+    from plexmat.operators import clustering
+
+    monkeypatch.setattr(distance, "SMALL_BLOCK", 60)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.uniform(0, 0.3 if dense else 4, size=(300, 2)), 2)
+    eps, least = 0.25, 5
+    d = distance.METRICS["euclidean"](x, x) <= eps
+    core = d.sum(1) >= least
+    want = np.full(300, -1)
+    for i in np.flatnonzero(core):
+        if want[i] < 0:
+            want[i], heap = i, [i]
+            while heap:
+                for j in np.flatnonzero(d[heap.pop()] & core & (want < 0)):
+                    want[j] = i
+                    heap.append(j)
+    for i in np.flatnonzero(~core):
+        near = np.flatnonzero(d[i] & core)
+        want[i] = want[near].min() if len(near) else -1
+    p = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "cell_id long, vec array<double>")
+    got = {r.cell_id: r.cluster for r in clustering.dbscan(p, eps, least).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    links = distance.block_pairs(p, p, clustering._joined(eps), "src long, dst long")
+    assert 0 < links.count() <= 2 * 25 * 60
+
+
+def test_hops_compare_with_two_frontiers(spark):
+    """A path, a cycle and a tail: distances equal a walk over the graph."""
+    from collections import deque
+
+    from plexmat.operators import graph
+
+    edges = [(i, i + 1) for i in range(9)] + [(20 + i, 20 + (i + 1) % 7) for i in range(7)] + [(22, 30), (30, 31)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want = set()
+    for s in near:
+        at, line = {s: 0}, deque([s])
+        while line:
+            v = line.popleft()
+            for w in near[v]:
+                if w not in at:
+                    at[w] = at[v] + 1
+                    line.append(w)
+        want |= {(s, t, h) for t, h in at.items()}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = [tuple(r) for r in graph.hop_distances(df).collect()]
+    assert len(got) == len(want) and set(got) == want
