@@ -116,3 +116,22 @@ def test_hops_compare_with_two_frontiers(spark):
     df = spark.createDataFrame(edges, "src long, dst long")
     got = [tuple(r) for r in graph.hop_distances(df).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_ward_rounds_ask_for_stale_clusters_only(spark, monkeypatch):
+    """The tree is that of one task; later rounds ask for fewer clusters than there are (they asked for all)."""
+    from plexmat.operators import grouped
+
+    rng = np.random.default_rng(11)
+    rows = [(g, i, [float(v) for v in rng.normal(size=3)]) for g in range(2) for i in range(150)]
+    p = spark.createDataFrame(rows, "dataset_id int, cell_id long, vec array<double>")
+    asked, ask = [], grouped._nearest_cluster
+
+    def counted(asking, now, by):
+        asked.append((asking.count(), now.count()))
+        return ask(asking, now, by)
+
+    monkeypatch.setattr(grouped, "_nearest_cluster", counted)
+    tree = lambda bound: sorted((r.dataset_id, r.node, r.left, r.right, round(r.height, 9), r["size"]) for r in grouped.merge_tree(p, bound=bound).collect())
+    assert tree(20) == tree(1000)
+    assert asked[0] == (300, 300) and len(asked) > 2 and all(a < n for a, n in asked[1:])
