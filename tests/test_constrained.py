@@ -53,3 +53,22 @@ def test_what_cannot_be(spark):
     p, m, c, _ = frames(spark, x, [(0, 1)], [(0, 1)], 2)
     with pytest.raises(ValueError):
         constrained.constrained_kmeans(p, m, c, 2)
+
+
+def test_no_round_sends_groups_to_the_driver(spark, monkeypatch):
+    """Joins with tables of must-link groups don't broadcast (small ones were collected in every round)."""
+    from plexmat.operators import constrained
+
+    plans, write = [], constrained.materialize
+
+    def kept(df, label="step"):
+        plans.append((label, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(constrained, "materialize", kept)
+    p = spark.range(0, 40).selectExpr("0 AS dataset_id", "id AS cell_id", "array(cast(id % 4 AS double), cast(id % 3 AS double)) AS vec")
+    links = lambda lo: spark.range(lo, lo + 6).selectExpr("0 AS dataset_id", "id AS a", "id + 11 AS b")
+    assert constrained.constrained_kmeans(p, links(0), links(20), 3).count() == 40
+    seen = {label: plan for label, plan in plans}
+    for label in ("constrained-done", "constrained-open"):
+        assert "BroadcastHashJoin" not in seen[label], label
