@@ -110,9 +110,12 @@ def hvg_seurat(logged: DataFrame, n_cells: DataFrame, bins: int = 20) -> DataFra
 
 
 def hvg_cell_ranger(logged: DataFrame, n_cells: DataFrame, bins: int = 20) -> DataFrame:
-    """Normalised dispersion: distance from the bin's median over its median absolute deviation; bins by rank of mean."""
+    """Normalised dispersion: distance from the bin's median over its median absolute deviation; bins by rank of mean.
+
+    Means are ranked by nine digits: sums of equal values may differ in the last place, and such ties go by gene.
+    """
     d = dispersion(logged, n_cells).withColumn("disp", F.exp("y"))
-    b = d.withColumn("bin", F.ntile(bins).over(Window.partitionBy("dataset_id").orderBy("mean", "gene_id")))
+    b = d.withColumn("bin", F.ntile(bins).over(Window.partitionBy("dataset_id").orderBy(F.round("mean", 9), "gene_id")))
     m = b.join(b.groupBy("dataset_id", "bin").agg(F.median("disp").alias("med")), ["dataset_id", "bin"])
     mad = m.groupBy("dataset_id", "bin").agg(F.median(F.abs(F.col("disp") - F.col("med"))).alias("mad"))
     return m.join(mad, ["dataset_id", "bin"]).select(

@@ -21,6 +21,13 @@ def test_dispersion_counts_zeros(spark):
     assert math.isclose(got["g3"].y, 1.098612, abs_tol=1e-6) and math.isclose(got["g3"].x, 0.693147, abs_tol=1e-6)
 
 
+def test_means_that_differ_by_rounding_are_ranked_by_gene(spark):
+    rows = [(0, c, g, math.log1p(x)) for g, e in ((1, 1e-12), (2, 0.0)) for c, x in ((1, 1.0 + e), (2, 3.0))]
+    logged = spark.createDataFrame(rows, "dataset_id int, cell_id long, gene_id long, x double")
+    n = spark.createDataFrame([(0, 2)], "dataset_id int, n_cells long")
+    assert {r.gene_id: r.bin for r in selection.hvg_cell_ranger(logged, n, 2).collect()} == {1: 1, 2: 2}
+
+
 def test_bins_are_open(spark):
     s = spark.createDataFrame([(0, str(x), float(x), 1.0) for x in (0.25, 0.26, 0.5, 0.51)], "dataset_id int, gene_id string, x double, y double")
     got = sorted((r.centre, r.n) for r in selection.bin_statistics(s).collect())
