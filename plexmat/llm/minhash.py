@@ -39,7 +39,7 @@ from plexmat.llm.setlinks import components, confirm, digests, keyed_texts, link
 from plexmat.llm.textkit import U, mix64, text_chunks
 from plexmat.llm.tuning import unused
 from plexmat.operators.components import connected_components
-from plexmat.session import materialize
+from plexmat.session import discard, materialize
 
 BUCKETS = 128
 USED = 125
@@ -288,8 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "key", "band", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     comp = materialize(comp, "minhash-comp")
+    discard(members)
     open_keys = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    apart = comp.join(open_keys, "key").join(reps, "rep")
+    # written: small buckets, large ones and their weights read the same rows
+    apart = materialize(comp.join(open_keys, "key").join(reps, "rep"), "minhash-apart")
+    discard(comp)
     small = (
         apart.where(F.col("size") <= SMALL).select("key", "band", "rep", "comp", "n", "sig")
         .repartition("key").sortWithinPartitions("key").mapInArrow(_small_buckets(bound, percent), "a long, b long")

@@ -80,3 +80,19 @@ def test_edges(tricky, nothing):
 def test_dropping_keeps_columns(tricky):
     out = minhash.drop_near_duplicates(tricky)
     assert out.columns == tricky.columns and sorted(r.doc_id for r in out.where("doc_id IS NOT NULL").collect()) == [0, 1, 2, 3, 6, 7, 8, 9, 10]
+
+
+def test_open_buckets_meet_their_classes_once(spark, monkeypatch):
+    """Steps after the stars read what was joined with the classes, and don't join it again for small buckets, large ones and their weights."""
+    read, write = {}, minhash.materialize
+
+    def spied(df, label="step"):
+        read.setdefault(label, []).append(df.inputFiles())
+        return write(df, label)
+
+    monkeypatch.setattr(minhash, "materialize", spied)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    rows = corpus(5)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, 80)
+    assert read["minhash-cross"] and not any("set-classes" in f for f in read["minhash-cross"][0])
