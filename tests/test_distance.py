@@ -1,6 +1,7 @@
 """Screened neighbours against comparing all pairs, and blocks by group."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plexmat.operators import distance
@@ -135,3 +136,23 @@ def test_ward_rounds_ask_for_stale_clusters_only(spark, monkeypatch):
     tree = lambda bound: sorted((r.dataset_id, r.node, r.left, r.right, round(r.height, 9), r["size"]) for r in grouped.merge_tree(p, bound=bound).collect())
     assert tree(20) == tree(1000)
     assert asked[0] == (300, 300) and len(asked) > 2 and all(a < n for a, n in asked[1:])
+
+
+def test_neighbours_travel_seldom_in_many_groups(spark, monkeypatch):
+    """Block pairs are shared out over all groups: a right row travels once for each left block, a left row meets one block, and the neighbours stay the same."""
+    monkeypatch.setattr(distance, "SMALL_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(g, g * 1000 + i, v) for g in range(8) for i, v in enumerate((4 * rng.normal(size=(40, 3))).round().tolist())]
+    p = spark.createDataFrame(rows, "g int, cell_id long, vec array<double>")
+    met = distance.block_pairs(p, p, lambda x, y: pd.DataFrame({"left": [len(x)], "right": [len(y)]}), "left long, right long", ["g"], pairs=distance.PAIRS).collect()
+    assert len(met) == 8 * 3 and {x.right for x in met} == {40} and sum(x.left for x in met) == 8 * 40
+    sent, deal = [], distance._dealt
+    monkeypatch.setattr(distance, "_dealt", lambda *args: sent.append(deal(*args)) or sent[-1])
+    got = {(x.src, x.rank): x.dst for x in distance.knn(p, p, 3, groups=["g"], exclude_self=True).collect()}
+    assert sum(x.count() for x in sent) == 8 * 40 * (1 + 3)
+    for g in range(8):
+        ids, v = zip(*[(i, x) for h, i, x in rows if h == g], strict=True)
+        d = np.sqrt(((np.array(v)[:, None] - np.array(v)[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        for i, near in zip(ids, np.argsort(d, axis=1, kind="stable")[:, :3], strict=True):
+            assert [got[i, k + 1] for k in range(3)] == [ids[x] for x in near]
