@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plexmat.session import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+#: So many edges (3 MB) are joined in one task; more of them in rounds of joins.
+SMALL_EDGES = 200_000
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest reachable node): roots are hooked to smaller ones along the edges, and paths are cut short."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root = further
+
+
+def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(batches)
+    if held:
+        edges = pd.concat(held, ignore_index=True)
+        node, component = joined(edges.a.to_numpy(), edges.b.to_numpy())
+        yield pd.DataFrame({"node": node, "component": component})
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, small: int = SMALL_EDGES) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
-    Every round, each node takes the smallest label among itself and its neighbours (an aggregation with map-side
+    At most ``small`` edges of whole numbers are joined in one task. Otherwise, every round, each node takes the smallest label among itself and its neighbours (an aggregation with map-side
     combine, so a hub costs one row per task) and then jumps to the label of its label, which halves the
     depth; a path of n nodes needs about log2(n) rounds. Labels are written to the shared folder after each round.
 
     Returns (node, component). Self loops keep their node; null ends are ignored. Raises if it has not
     converged after ``max_rounds``.
     """
+    pairs = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("a"), F.col(dst).alias("b")), "cc-pairs")
+    kind = pairs.schema["a"].dataType
+    if isinstance(kind, IntegralType) and pairs.schema["b"].dataType == kind and pairs.count() <= small:
+        return materialize(pairs.coalesce(1).mapInPandas(_in_one_task, f"node {kind.simpleString()}, component {kind.simpleString()}"), "cc-labels")
     both = (
-        edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+        pairs
         .select(F.explode(F.array(
-            F.struct(F.col(src).alias("node"), F.col(dst).alias("peer")),
-            F.struct(F.col(dst).alias("node"), F.col(src).alias("peer")),
+            F.struct(F.col("a").alias("node"), F.col("b").alias("peer")),
+            F.struct(F.col("b").alias("node"), F.col("a").alias("peer")),
         )).alias("e"))
         .select("e.node", "e.peer")
         .distinct()
