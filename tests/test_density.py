@@ -28,6 +28,35 @@ def test_order_equals_a_plain_walk(spark, piece):
     assert got == plain_walk(ids, x, 4)
 
 
+@pytest.mark.parametrize("known", [4, 16])
+def test_lists_and_comparisons_give_the_tree_of_all_pairs(spark, monkeypatch, known):
+    """Groups wider than a list, copies and equal distances: no more than two comparisons of points by blocks, after that of the lists."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.round(rng.normal(c, s, (n, 3)), 2) for c, s, n in ((0, 0.3, 60), (4, 0.1, 40), (9, 1.0, 30))] + [np.ones((25, 3)), np.indices((4, 4, 1)).reshape(3, -1).T + 20.0])
+    ids = [5 * i % 1009 for i in range(1, len(x) + 1)]
+    order = np.argsort(ids)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "cell_id long, vec array<double>")
+    met, pairs = [], density.block_pairs
+    monkeypatch.setattr(density, "block_pairs", lambda *a, **b: met.append(1) or pairs(*a, **b))
+    got = sorted((r.a, r.b, r.w) for r in density.spanning_tree(p, 4, known=known).collect())
+    assert (len(met) > 0) == (known == 4) or len(met) <= 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 3]
+    w = np.round(np.maximum(np.maximum(d, core[:, None]), core[None]), 9)
+    edges = sorted((w[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in order for j in order if i < j)
+    root, tree = {i: i for i in ids}, []
+    for e, a, b in edges:
+        ra, rb = a, b
+        while root[ra] != ra:
+            ra = root[ra]
+        while root[rb] != rb:
+            rb = root[rb]
+        if ra != rb:
+            root[rb] = ra
+            tree.append((a, b, e))
+    assert got == sorted(tree)
+
+
 def test_few_points(spark):
     p = lambda rows: spark.createDataFrame(rows, "cell_id long, vec array<double>")
     assert density.density_ordering(p([])).count() == 0
