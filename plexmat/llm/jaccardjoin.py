@@ -53,6 +53,8 @@ LISTED = 50_000
 BLOCK = 1000
 #: Pairs of a long list that are verified at once: likely ones for a member and a component, and doubtful ones for a member.
 CHOICES, DOUBTFUL = 4, 64
+#: Rounds of verification that take likely pairs for links beforehand.
+PATIENT = 2
 #: A pair is likely a link if its expected difference is at most this part of what the threshold allows.
 SURE = 0.9
 
@@ -189,8 +191,13 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
 
-def _large_list(percent: int):
-    """Pairs within one block pair of a long list that parities allow: for a member and each component that it likely joins the ``CHOICES`` likeliest, and doubtful ones."""
+def _large_list(percent: int, nth: int = 0):
+    """Pairs within one block pair of a long list that parities allow: for a member and each component that it likely joins the ``CHOICES`` likeliest, and doubtful ones.
+
+    From round ``PATIENT`` on what was rejected tells that likely pairs mislead: no component is taken for joined, and a round tries twice as many as the one before.
+    """
+    more = max(0, nth - PATIENT + 1)
+    choices, doubts = CHOICES << more, DOUBTFUL << more
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
@@ -230,13 +237,13 @@ def _large_list(percent: int):
                 c = int(comp[at[x]])
                 if likely[x]:
                     given[c] = given.get(c, 0) + 1
-                elif c in given or doubtful == DOUBTFUL:
+                elif c in given or doubtful == doubts:
                     continue
                 else:
                     doubtful += 1
-                if given.get(c, 0) <= CHOICES:
+                if given.get(c, 0) <= choices:
                     links.append((mine, int(rep[at[x]])))
-            if given:  # taken for one component from here on
+            if given and not more:  # taken for one component from here on
                 joined = [*given, int(own_comp[k])]
                 one = own_comp[k]
                 own_comp[np.isin(own_comp, joined)] = one
@@ -251,10 +258,11 @@ def joins_of_long_lists(large: DataFrame, classes: DataFrame, edges: DataFrame,
     """``edges`` and the links that join components within long lists (token, rep, n, size).
 
     A round takes for granted that likely pairs join their components, and verifies some of each; doubtful pairs are verified without joining
-    anything beforehand. Those that are no links are barred, and rounds go on until no possible pair across components is left.
+    anything beforehand. Those that are no links are barred, and rounds go on until no possible pair across components is left. Rounds from ``PATIENT`` on take
+    nothing for granted and try more pairs each time, so that many rejected pairs between two components don't take as many rounds.
     """
     rejected, labels = None, connected_components(edges, "a", "b")
-    for _ in range(rounds):
+    for nth in range(rounds):
         comp = large.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         of_list = Window.partitionBy("token")
         apart = comp.withColumn("lo", F.min("comp").over(of_list)).withColumn("hi", F.max("comp").over(of_list)).where("lo <> hi").join(classes.select("rep", "bits"), "rep")
@@ -267,7 +275,7 @@ def joins_of_long_lists(large: DataFrame, classes: DataFrame, edges: DataFrame,
         # a member meets every block once: as the left side of (block, x) and the right side of (x, block)
         dealt = apart.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))).select(
             "token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n", "comp", "bits", "barred")
-        tried = materialize(dealt.groupBy("token", "bi", "bj").applyInPandas(_large_list(percent), "a long, b long").distinct(), "join-tried")
+        tried = materialize(dealt.groupBy("token", "bi", "bj").applyInPandas(_large_list(percent, nth), "a long, b long").distinct(), "join-tried")
         if tried.isEmpty():
             return edges
         found = materialize(confirm(tried, own, percent, SHINGLE), "join-found")

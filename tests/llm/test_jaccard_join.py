@@ -90,3 +90,17 @@ def test_edges(tricky, nothing):
     assert len(got) == 13 and by[None].component_id is None
     assert [by[i].component_id for i in (0, 1, 2, 3, 4, 5)] == [0, 1, 2, 3, 3, 3] and by[0].n_shingles == by[2].n_shingles == 0 and by[8].n_shingles == 1
     assert jaccardjoin.similar_sets(nothing).count() == 0
+
+
+def test_rejected_pairs_of_two_components_do_not_take_a_round_each():
+    """Twenty likely pairs a side: the first rounds take four of them for the link, later ones try some for every member."""
+    import numpy as np
+    import pandas as pd
+
+    from plexmat.llm import jaccardjoin
+
+    bits = jaccardjoin.parities(np.arange(1, 41, dtype=np.uint64))
+    rows = pd.DataFrame({"block": 0, "bi": 0, "bj": 0, "rep": range(40), "n": 40, "comp": [i // 20 for i in range(40)], "bits": [bits] * 40, "barred": None})
+    assert [len(jaccardjoin._large_list(85, nth)(rows)) for nth in (0, 1, 2, 3)] == [4, 4, 160, 320]
+    rows["barred"] = [list(range(20, 40))] * 19 + [list(range(20, 37))] + [None] * 20
+    assert sorted(jaccardjoin._large_list(85, 5)(rows).b) == [37, 38, 39]
