@@ -156,3 +156,38 @@ def test_neighbours_travel_seldom_in_many_groups(spark, monkeypatch):
         np.fill_diagonal(d, np.inf)
         for i, near in zip(ids, np.argsort(d, axis=1, kind="stable")[:, :3], strict=True):
             assert [got[i, k + 1] for k in range(3)] == [ids[x] for x in near]
+
+
+def test_hops_write_no_pairs_between_steps(spark, monkeypatch):
+    """All pairs found were written and shuffled once for every number of hops."""
+    from plexmat.operators import graph, hops
+
+    n, rng = 90, np.random.default_rng(4)
+    pairs = [(int(i), int(j)) for i, j in rng.integers(0, n, (110, 2)) if i != j]
+    written, plain = [], hops.materialize
+    monkeypatch.setattr(hops, "materialize", lambda df, label="step": written.append(plain(df, label)) or written[-1])
+    monkeypatch.setattr(hops, "PIECE", 32)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    got = {(r.src, r.dst): r.hops for r in graph.hop_distances(edges).collect()}
+    away = np.full((n, n), np.inf)
+    for i, j in pairs:
+        away[i, j] = away[j, i] = 1
+    for i in {x for p in pairs for x in p}:
+        away[i, i] = 0
+    for k in range(n):
+        away = np.minimum(away, away[:, k, None] + away[None, k])
+    assert got == {(int(i), int(j)): int(away[i, j]) for i, j in zip(*np.nonzero(np.isfinite(away)))}
+    assert written and all(w.count() < 300 for w in written) and len(got) > 3000
+
+
+def test_labels_spread_over_hops_without_a_table_of_pairs(spark):
+    from plexmat.operators import graph, hops
+
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 17] + [(int(i), int(j)) for i, j in rng.integers(0, 15, (10, 2)) if i != j], "src long, dst long")
+    seeds = spark.createDataFrame([(0, 3), (9, 5), (14, 5), (20, 7), (50, 1)], "node long, label int")
+    sim = graph.hop_similarity(graph.hop_distances(edges))
+    want = {(r.src, r.dst): r.sim for r in sim.collect()}
+    assert {(r.src, r.dst): r.sim for r in hops.similarity(edges).collect()} == want
+    got = {r.node: r.label for r in hops.spread_labels(edges, seeds, rounds=6).collect()}
+    assert got == {r.node: r.label for r in graph.spread_labels(sim, seeds, rounds=6).collect()}
