@@ -191,3 +191,18 @@ def test_labels_spread_over_hops_without_a_table_of_pairs(spark):
     assert {(r.src, r.dst): r.sim for r in hops.similarity(edges).collect()} == want
     got = {r.node: r.label for r in hops.spread_labels(edges, seeds, rounds=6).collect()}
     assert got == {r.node: r.label for r in graph.spread_labels(sim, seeds, rounds=6).collect()}
+
+
+def test_points_travel_seldom_where_all_pairs_are_given_out(spark, monkeypatch):
+    """A point travelled once for each block of as few rows as a task gave out in one piece."""
+    from pyspark.sql import functions as F
+
+    dealt, plain = [], distance._dealt
+    monkeypatch.setattr(distance, "_dealt", lambda *args: dealt.append(plain(*args)) or dealt[-1])
+    monkeypatch.setattr(distance, "BLOCK", 50)
+    monkeypatch.setattr(distance, "TILE", (40, 4096))
+    p = spark.range(300).select(F.col("id").alias("cell_id"), F.array((F.col("id") % 17).cast("double"), (F.col("id") % 5).cast("double")).alias("vec"))
+    got = distance.pairwise(p, p, "l1", once=True).toPandas()
+    want = {(i, j): abs(i % 17 - j % 17) + abs(i % 5 - j % 5) for i in range(300) for j in range(i + 1, 300)}
+    assert {(r.src, r.dst): r.dist for r in got.itertuples()} == want and len(got) == len(want)
+    assert sum(d.count() for d in dealt) <= 4 * 300
