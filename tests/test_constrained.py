@@ -72,3 +72,19 @@ def test_no_round_sends_groups_to_the_driver(spark, monkeypatch):
     seen = {label: plan for label, plan in plans}
     for label in ("constrained-done", "constrained-open"):
         assert "BroadcastHashJoin" not in seen[label], label
+
+
+def test_a_round_of_k_means_writes_two_steps_and_decides_alike(spark, monkeypatch):
+    """It wrote six and more: at 20,000 points a group most of the time went into starting jobs."""
+    from plexmat.operators import constrained
+
+    labels, write = [], constrained.materialize
+    monkeypatch.setattr(constrained, "materialize", lambda df, label="step": labels.append(label) or write(df, label))
+    p = spark.range(0, 60).selectExpr("cast(id % 2 AS int) AS dataset_id", "id AS cell_id", "array(cast(id * 7 % 13 AS double), cast(id % 5 AS double)) AS vec")
+    must = spark.range(0, 40, 10).selectExpr("cast(id % 2 AS int) AS dataset_id", "id AS a", "id + 2 AS b")
+    cannot = spark.range(0, 30, 3).selectExpr("cast(id % 2 AS int) AS dataset_id", "id AS a", "id + 6 AS b")
+    got = constrained.constrained_kmeans(p, must, cannot, 4).collect()
+    assert set(labels) <= {"constrained-points", "constrained-links", "constrained-before", "constrained-linked", "constrained-centres", "constrained-open", "constrained-done"}
+    assert labels.count("constrained-open") == labels.count("constrained-done") >= 2 and labels.count("constrained-centres") == 4
+    monkeypatch.setattr(constrained, "TOGETHER", 0)
+    assert sorted(got) == sorted(constrained.constrained_kmeans(p, must, cannot, 4).collect())
